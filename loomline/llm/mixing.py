@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import WORD, Scratch, ranked, tables
+from loomline.llm.shared import WORD, Scratch, fits, ranked, tables
 
 SEED = "mix-1"
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
+BROADCAST_SOURCES = 50_000
 
 
 def source_targets(slim: DataFrame, scratch: Scratch, weights=WEIGHTS, max_epochs=MAX_EPOCHS) -> DataFrame:
@@ -34,7 +35,7 @@ def source_targets(slim: DataFrame, scratch: Scratch, weights=WEIGHTS, max_epoch
     return sizes.select("key", "source_size", F.least("cap", level * F.col("w")).alias("target"))
 
 
-def repetitions(slim: DataFrame, targets: DataFrame) -> DataFrame:
+def repetitions(slim: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds taken: whole repetitions of every document, and one fractional repetition of the source in seeded order.
 
     Documents of a source stand in the order of their digest. Those before the point where the rest of the target is
@@ -43,16 +44,21 @@ def repetitions(slim: DataFrame, targets: DataFrame) -> DataFrame:
     """
     plan = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    plan = scratch.keep(plan, "plan")
+    # A row a source: broadcast while there are few sources, else joined by a shuffle whose skewed parts Spark splits.
+    few = fits(plan, BROADCAST_SOURCES)
+    small = F.broadcast if few else lambda df: df
     point = plan.select("key", "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
     for digits in (2, 4, 6):
-        part = slim.join(point, "key").where(F.substring("digest", 1, digits - 2) == F.col("prefix"))
+        part = slim.join(small(point), "key").where(F.substring("digest", 1, digits - 2) == F.col("prefix"))
         bins = part.groupBy("key", "rest", "before", F.substring("digest", 1, digits).alias("bin")).agg(F.sum("size").alias("n"))
         window = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         upto = bins.withColumn("upto", F.col("before") + F.sum("n").over(window))
         point = upto.where(F.col("upto") > F.col("rest")).groupBy("key").agg(
             F.min(F.struct("bin", "rest", (F.col("upto") - F.col("n")).alias("before"))).alias("at"))
         point = point.select("key", F.col("at.rest").alias("rest"), F.col("at.bin").alias("prefix"), F.col("at.before").alias("before"))
-    joined = slim.join(plan.join(point.drop("rest"), "key", "left"), "key")
+        point = scratch.keep(point, f"point{digits}")
+    joined = slim.join(small(plan.join(point.drop("rest"), "key", "left")), "key")
     here = F.substring("digest", 1, 6)
     edge = here == F.col("prefix")
     # Only rows at the point are dealt by source; the rest are spread, each in a window of its own.
@@ -84,7 +90,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed: s
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(F.coalesce(docs["text"], F.lit("")))))
     slim = docs.select(docs["doc_id"], docs["source"], key.alias("key"), text_size(docs["text"]).alias("size"), digest.alias("digest"))
     slim = scratch.keep(slim, "slim")
-    mixed = repetitions(slim, source_targets(slim, scratch, weights, max_epochs))
+    mixed = repetitions(slim, source_targets(slim, scratch, weights, max_epochs), scratch)
     return mixed.select("doc_id", "source", "size", "source_size", "target", "whole", "taken",
                         F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0).alias("repeats"))
 
