@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from loomline.llm import mixing
+from loomline.llm import mixing, quality, secrets, token_counts
 
 QUERIES = {
     "op1_source_mix": mixing.query,
+    "op3_secret_scan": secrets.query,
+    "op5_token_counts": token_counts.query,
+    "op9_quality_rules": quality.query,
 }
 ORACLES = {
     "op1_source_mix": mixing.oracle(),
+    "op9_quality_rules": quality.oracle(),
 }
