@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from loomline.llm import mixing, quality, secrets, token_counts
+from loomline.llm import decontamination, jaccard, mixing, pii, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.query,
+    "op2_toxicity": toxicity.query,
     "op3_secret_scan": secrets.query,
+    "op4_decontamination": decontamination.query,
     "op5_token_counts": token_counts.query,
+    "op6_jaccard_groups": jaccard.query,
+    "op7_pii_pseudonyms": pii.query,
     "op9_quality_rules": quality.query,
 }
 ORACLES = {
     "op1_source_mix": mixing.oracle(),
+    "op4_decontamination": decontamination.oracle(),
+    "op6_jaccard_groups": jaccard.oracle(),
     "op9_quality_rules": quality.oracle(),
 }
