@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import decontamination, jaccard, mixing, pii, quality, secrets, token_counts, toxicity
+from loomline.llm import decontamination, jaccard, mixing, pii, quality, secrets, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_counts": token_counts.query,
     "op6_jaccard_groups": jaccard.query,
     "op7_pii_pseudonyms": pii.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op9_quality_rules": quality.query,
 }
 ORACLES = {
