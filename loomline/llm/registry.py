@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import decontamination, jaccard, mixing, pii, quality, secrets, suffix_dedup, token_counts, toxicity
+from loomline.llm import decontamination, jaccard, language_model, mixing, pii, quality, secrets, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_pii_pseudonyms": pii.query,
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_quality_rules": quality.query,
+    "op10_language_model": language_model.query,
 }
 ORACLES = {
     "op1_source_mix": mixing.oracle(),
