@@ -35,12 +35,12 @@ def source_targets(slim: DataFrame, scratch: Scratch, weights=WEIGHTS, max_epoch
     return sizes.select("key", "source_size", F.least("cap", level * F.col("w")).alias("target"))
 
 
-def repetitions(slim: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Adds taken: whole repetitions of every document, and one fractional repetition of the source in seeded order.
+def repetitions(rows: DataFrame, slim: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds taken to rows: whole repetitions of every document, and one fractional repetition of its source in seeded order.
 
     Documents of a source stand in the order of their digest. Those before the point where the rest of the target is
     used up are repeated once more, the one at that point in part, those after it not. Digest prefixes of 2, 4 and 6
-    digits narrow the point down by sums, so that no task sorts a source.
+    digits narrow the point down by sums, so that no task sorts a source. Equal rows at the point share alike.
     """
     plan = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
@@ -58,41 +58,50 @@ def repetitions(slim: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFr
             F.min(F.struct("bin", "rest", (F.col("upto") - F.col("n")).alias("before"))).alias("at"))
         point = point.select("key", F.col("at.rest").alias("rest"), F.col("at.bin").alias("prefix"), F.col("at.before").alias("before"))
         point = scratch.keep(point, f"point{digits}")
-    joined = slim.join(small(plan.join(point.drop("rest"), "key", "left")), "key")
+    plan = plan.join(point.drop("rest"), "key", "left").select(F.col("key").alias("_key"), "source_size", "target", "whole", "rest", "prefix", "before")
+    plan = scratch.keep(plan, "point")
+    # The rows at the point: one for each digest, with the words before it and how many equal rows share it.
     here = F.substring("digest", 1, 6)
-    edge = here == F.col("prefix")
-    # Only rows at the point are dealt by source; the rest are spread, each in a window of its own.
-    spread = F.when(edge, F.lit("")).otherwise(F.col("digest"))
-    window = Window.partitionBy("key", spread).orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(window), F.lit(0))))
+    at = slim.join(small(plan), F.col("key") == F.col("_key")).where(here == F.col("prefix"))
+    at = at.groupBy("key", "digest", "size", "before", "rest").agg(F.count(F.lit(1)).alias("n"))
+    window = Window.partitionBy("key").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(window), F.lit(0))
+    at = at.select(F.col("key").alias("_edge_key"), F.col("digest").alias("_edge"), F.floor(F.greatest(F.lit(0), F.least(F.col("n") * F.col("size"), left)) / F.col("n")).alias("_part"))
+    at = scratch.keep(at, "edge")
+    few_at = F.broadcast(at) if fits(at, BROADCAST_SOURCES) else at
+    joined = rows.join(small(plan), F.col("key") == F.col("_key"), "left").join(few_at, (F.col("key") == F.col("_edge_key")) & (F.col("digest") == F.col("_edge")), "left")
     past = F.col("prefix").isNull() | (here < F.col("prefix"))
-    extra = F.when(edge, at_edge).when(past, F.col("size")).otherwise(0)
-    return joined.withColumn("taken", (F.col("whole") * F.col("size") + extra).cast("long"))
+    extra = F.when(here == F.col("prefix"), F.coalesce("_part", F.lit(0))).when(past, F.col("size")).otherwise(0)
+    return joined.withColumn("taken", (F.col("whole") * F.col("size") + extra).cast("long")).drop("_key", "_edge_key", "_edge", "_part")
 
 
 def text_size(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long") * text.isNotNull().cast("long"), F.lit(0).cast("long"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed: str = SEED, texts: bool = False) -> DataFrame:
     """Mixes documents so that each source's words come to its target.
 
-    docs needs doc_id, text and source; other columns, whatever their names, are not read. Returns doc_id, source,
-    size, source_size, target, whole, taken and repeats (taken / size). Sources in order of their code points, null
-    last, weigh 1, 2, 3, repeating, and share all words; none takes more than max_epochs times its own.
+    docs needs doc_id, text and source. Returns doc_id, source, size, source_size, target, whole, taken and repeats
+    (taken / size); with texts, all columns of docs and size .. repeats, which replace columns of these names. Sources in
+    order of their code points, null last, weigh 1, 2, 3, repeating, and share all words; none takes more than
+    max_epochs times its own.
 
-    A null or empty text has size 0 and takes 0. A null source is a source of its own. Repeated rows are each a row
-    of the result. Rows of one source with the same id and text are interchangeable; which of them lies at the point
-    where a fractional repetition ends doesn't change the rows returned. An empty table gives an empty result.
+    A null or empty text has size 0 and takes 0. A null source is a source of its own. Repeated rows are each a row of
+    the result; where a fractional repetition ends among equal rows, they share what is left, rounded down. An empty
+    table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     key = F.when(docs["source"].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), docs["source"]))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(F.coalesce(docs["text"], F.lit("")))))
-    slim = docs.select(docs["doc_id"], docs["source"], key.alias("key"), text_size(docs["text"]).alias("size"), digest.alias("digest"))
-    slim = scratch.keep(slim, "slim")
-    mixed = repetitions(slim, source_targets(slim, scratch, weights, max_epochs), scratch)
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "whole", "taken",
-                        F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0).alias("repeats"))
+    added = ("size", "source_size", "target", "whole", "taken", "repeats")
+    own = [c for c in docs.columns if c not in added] if texts else ["doc_id", "source"]
+    named = lambda *columns: docs.select(*columns, key.alias("key"), text_size(docs["text"]).alias("size"), digest.alias("digest"))
+    slim = scratch.keep(named(F.struct("doc_id", "source").alias("_row")), "slim")
+    rows = named(F.struct(*(docs[c] for c in own)).alias("_row")) if texts else slim
+    mixed = repetitions(rows, slim, source_targets(slim, scratch, weights, max_epochs), scratch)
+    repeats = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0).alias("repeats")
+    return mixed.select(*(F.col("_row")[c].alias(c) for c in own), *added[:-1], repeats)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

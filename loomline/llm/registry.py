@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from loomline.llm import decontamination, jaccard, language_model, mixing, pii, quality, secrets, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_quality_rules": quality.query,
     "op10_language_model": language_model.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_source_mix": mixing.oracle(),
