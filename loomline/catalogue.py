@@ -1,4 +1,6 @@
 """Every query of the engine by name, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomline.plans import extensions, intervals, signal, text  # noqa: F401
+from loomline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
