@@ -8,6 +8,8 @@ once from each block only.
 
 from __future__ import annotations
 
+import ctypes
+import time
 from contextlib import contextmanager
 
 import numpy as np
@@ -20,7 +22,7 @@ from loomline.llm.shared import Scratch
 
 BLOCKS = "block long, ids array<bigint>, lens array<int>, data binary"
 #: Answers of up to so many bytes in all are broadcast to the blocks; beyond it blocks are joined to them by a shuffle.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 64 << 20
 #: What a part sorts at once, at most, in bytes of keys.
 PART_BYTES = 16 << 20
 #: Parts that are open at a time; more of them are dealt in several passes.
@@ -41,6 +43,14 @@ def arrow_rows(spark: SparkSession, rows: int = 64, size: int = 24 << 20):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets at most so many rows of whole texts go to Python at once. Plans run later than they are made, so the setting
+    stays; a lower one is left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def _pack(size: int):
     def run(batches):
         number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -67,7 +77,7 @@ def _pack(size: int):
 def blocks(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     """docs' ids and texts in written blocks of about that size; a longer text has a block of its own."""
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return scratch.keep(base.mapInArrow(_pack(size), BLOCKS), "blocks")
+    return scratch.keep(base.mapInArrow(lean(_pack(size)), BLOCKS), "blocks")
 
 
 def deal(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -84,9 +94,32 @@ def parts_for(spark: SparkSession, size: int) -> tuple[int, int]:
     return -(-parts // passes) * passes, passes
 
 
+def lean(f):
+    """f for mapInArrow, giving freed memory back to the system now and then: two workers share an executor with its JVM."""
+
+    def run(batches):
+        try:
+            trim = ctypes.CDLL(None).malloc_trim
+        except (AttributeError, OSError):  # another C library
+            trim = None
+        last = 0.0
+        for out in f(batches):
+            yield out
+            del out
+            if trim and time.monotonic() - last > 0.5:
+                pa.default_memory_pool().release_unused()
+                trim(0)
+                last = time.monotonic()
+        if trim:
+            pa.default_memory_pool().release_unused()
+            trim(0)
+
+    return run
+
+
 def answered(sent: DataFrame, parts: int, answer, schema: str) -> DataFrame:
     """Rows of sent (part, block, ...) go to their part; answer turns a task's rows into rows of the schema."""
-    return sent.repartition(parts, "part").mapInArrow(answer, schema)
+    return sent.repartition(parts, "part").mapInArrow(lean(answer), schema)
 
 
 def with_answers(block_table: DataFrame, answers: DataFrame, size_column: str, columns: list[str], name: str) -> DataFrame:

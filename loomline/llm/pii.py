@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.llm.exchange import small_batches
 from loomline.llm.shared import tables
 
 KEY = "pseudonyms-1"
@@ -241,6 +242,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, way: str = "encrypt", report:
     the added names are replaced. A null text stays null and counts 0; an empty one stays empty. Texts are read whole.
     Repeated rows stay repeated rows; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     added = [*(f"n_{k}" for k in KINDS), "pii_spans"] if report else []
     own = [c for c in docs.columns if c not in added]
     rest = [c for c in own if c != "text"]

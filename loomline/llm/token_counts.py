@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from loomline.llm.exchange import small_batches
 from loomline.llm.shared import fits, shared_dir, tables
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -78,6 +79,7 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str | Non
     Repeated rows and null ids are rows of the result like any other. An empty table encodes nothing.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     cache = cache or f"{shared_dir(spark)}/token-counts"
     tokenizer = tokenizer or tokenizer_path(TOKENIZER)
     version = version_of(tokenizer)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm.exchange import small_batches
 from loomline.llm.shared import tables
 
 BITS = 20
@@ -159,6 +160,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     repeated rows are rows of the result; a null id is not held out. An empty table gives an empty result. Without
     labels the machine gives every text the same low score.
     """
+    small_batches(docs.sparkSession)
     scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(_score_batches(machine), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
