@@ -24,9 +24,10 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Under so many words a histogram says little, and the verdict is left to the base rules.
 GUARD_WORDS = 50
-#: Jensen-Shannon distances (base 2, 0 to 1) beyond which a text doesn't look like its language.
-MAX_CLASS_DISTANCE = 0.25
-MAX_COMMON_DISTANCE = 0.5
+#: Jensen-Shannon distances (base 2, 0 to 1) beyond which a text doesn't look like its language, and what chance adds for
+#: n words: over k cells about sqrt((k - 1) / (8 n ln 2)), so 2 / sqrt(n) for the common words.
+MAX_CLASS_DISTANCE, CLASS_NOISE = 0.2, 0.5
+MAX_COMMON_DISTANCE, COMMON_NOISE = 0.12, 2.0
 
 SPAN = 5
 
@@ -50,20 +51,20 @@ def repeated_words(ws: Column, span: int = SPAN) -> Column:
     return F.when(F.size(ws) >= span, let(hashes, covered)).otherwise(F.lit(0).cast("long"))
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    ws = words(text)
+def base_counts(text: Column, ws: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(ws).cast("long"),
-        "word_chars": F.length(F.array_join(ws, "")).cast("long"),
+        "word_chars": F.col("_word_chars"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": let(ws, lambda x: repeated_words(x)),
     }
 
 
 def histograms(docs: DataFrame, lang: str) -> DataFrame:
-    """Adds _classes and _common, arrays of counts; docs has _text, _chars and _word_chars."""
-    kept = F.regexp_replace("_text", r"[^\p{Lu}\p{N}\p{P}\p{S}]+", "")
+    """Adds _classes and _common, arrays of counts; docs has _text, _ws (its words), _chars and _word_chars."""
+    # The plain letters go first: the property classes cost more for each character.
+    kept = F.regexp_replace(F.regexp_replace("_text", r"[a-z\x20\x09-\x0D]+", ""), r"[^\p{Lu}\p{N}\p{P}\p{S}]+", "")
     docs = docs.withColumn("_marks", kept)
     n = {"upper": r"\p{Lu}", "digits": r"\p{N}", "symbols": r"[#*$%&|<>]"}
     docs = docs.withColumns({f"_{k}": F.regexp_count("_marks", F.lit(p)).cast("long") for k, p in n.items()})
@@ -74,16 +75,17 @@ def histograms(docs: DataFrame, lang: str) -> DataFrame:
     }
     lists = F.lit(None).cast("array<string>")
     for name, listed in COMMON.items():
-        lists = F.when(F.col(lang) == name, F.array(*map(F.lit, listed.split()))).otherwise(lists)
+        lists = F.when(F.col(lang) == name, F.lit(listed.split())).otherwise(lists)
     every = sorted({w for listed in COMMON.values() for w in listed.split()})
-    tokens = F.filter(F.split(F.lower("_text"), r"[^\p{L}]+"), lambda w: w != "")
 
-    def tally(found: Column) -> Column:
-        hits = F.filter(found, lambda w: w.isin(every))
-        each = let(hits, lambda h: F.transform(lists, lambda r: F.size(F.filter(h, lambda w: w == r)).cast("long")))
-        return F.concat(each, F.array(F.size(found).cast("long") - F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)))
-
-    return docs.withColumns({"_classes": F.array(*(counts[c].cast("long") for c in CLASSES)), "_common": let(tokens, tally)})
+    # Each common word becomes one letter, so that counting it is one scan of a short string.
+    alphabet = "." + "".join(chr(65 + i) for i in range(N_COMMON))
+    hits = F.filter(F.col("_ws"), lambda w: F.lower(w).isin(every))
+    codes = F.array_join(F.transform(hits, lambda w: F.substring(F.lit(alphabet), F.array_position(lists, F.lower(w)).cast("int") + 1, F.lit(1))), "")
+    docs = docs.withColumn("_codes", codes)
+    each = [(F.length("_codes") - F.length(F.replace("_codes", F.lit(c), F.lit("")))).cast("long") for c in alphabet[1:]]
+    other = F.size("_ws").cast("long") - F.length(F.replace("_codes", F.lit("."), F.lit("")))
+    return docs.withColumns({"_classes": F.array(*(counts[c].cast("long") for c in CLASSES)), "_common": F.when(lists.isNotNull(), F.array(*each, other.cast("long")))})
 
 
 def references(hist: DataFrame, lang: str) -> DataFrame:
@@ -125,9 +127,10 @@ def assess(docs: DataFrame) -> DataFrame:
     own = [c for c in docs.columns if c not in added]
     # The input's columns travel in one struct, so that no name of theirs can clash.
     base = docs.select(F.struct(*(docs[c] for c in own)).alias("_row"), docs["lang"].alias("_lang"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
-    slim = base.select("_lang", "_text", F.length("_text").cast("long").alias("_chars"), F.length(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("_word_chars"))
-    refs = references(histograms(slim, "_lang"), "_lang")
-    counted = base.withColumns(base_counts(F.col("_text"))).withColumn("_chars", F.length("_text").cast("long")).withColumn("_word_chars", F.col("word_chars"))
+    base = base.withColumns({"_ws": words(F.col("_text")), "_chars": F.length("_text").cast("long")})
+    base = base.withColumn("_word_chars", F.length(F.array_join("_ws", "")).cast("long"))
+    refs = references(histograms(base.drop("_row"), "_lang"), "_lang")
+    counted = base.withColumns(base_counts(F.col("_text"), F.col("_ws")))
     # At most one row for each listed language, so the broadcast is bounded by COMMON.
     joined = histograms(counted, "_lang").join(F.broadcast(refs), F.col("_lang") == F.col("_ref"), "left")
     long_enough = F.col("n_words") >= GUARD_WORDS
@@ -137,7 +140,8 @@ def assess(docs: DataFrame) -> DataFrame:
         "common_distance": F.when(long_enough, js_distance(F.col("_common"), F.col("_ref_common"))),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     })
-    far = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("common_distance") > MAX_COMMON_DISTANCE, F.lit(False))
+    over = lambda c, most, noise: F.coalesce(F.col(c) > most + noise / F.sqrt("n_words"), F.lit(False))
+    far = over("class_distance", MAX_CLASS_DISTANCE, CLASS_NOISE) | over("common_distance", MAX_COMMON_DISTANCE, COMMON_NOISE)
     judged = joined.withColumn("kept", ~F.col("base_failed") & ~far)
     return judged.select(*(F.col("_row")[c].alias(c) for c in own), *added)
 
@@ -164,7 +168,7 @@ WITH base AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
     regexp_replace(coalesce(text, ''), '[^\p{{Lu}}\p{{N}}\p{{P}}\p{{S}}]+', '', 'g') AS marks,
-    regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}]+') AS toks,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: lower(w)) AS toks,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
     CASE lang {lists} END AS listed FROM {documents}),
 grams AS (SELECT rid, i, ws[i:i+4] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM base)),
@@ -185,5 +189,5 @@ dist AS (SELECT f.*, CASE WHEN n_words >= {GUARD_WORDS} THEN {js('cls', 'rcls')}
     n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed
   FROM full_ f LEFT JOIN refs USING (lang) LEFT JOIN refw USING (lang))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(cd > {MAX_CLASS_DISTANCE}, false) AND NOT coalesce(wd > {MAX_COMMON_DISTANCE}, false) AS kept,
+  NOT base_failed AND NOT coalesce(cd > {MAX_CLASS_DISTANCE} + {CLASS_NOISE} / sqrt(n_words), false) AND NOT coalesce(wd > {MAX_COMMON_DISTANCE} + {COMMON_NOISE} / sqrt(n_words), false) AS kept,
   round(cd, 6) AS class_distance, round(wd, 6) AS common_distance FROM dist"""
