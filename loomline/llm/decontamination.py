@@ -48,21 +48,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df, BROADCAST_ROWS) else df
 
 
-def search(docs: DataFrame, items: DataFrame, percent: int = SHARE_PERCENT) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared: documents that hold at least that share of an item's distinct shingles.
+def row_key(docs: DataFrame) -> Column:
+    """A row is known by its id and its text's digest, so that any scan finds it again."""
+    return F.struct(docs["doc_id"].alias("id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("h"))
 
-    docs needs doc_id and text, items item_id and text. Case of A-Z doesn't count. Items of fewer than five words have
-    no shingle and are found nowhere; null and empty texts hold none. Pairs are a set: repeated rows give one pair, and
-    for an id with several texts the largest n_shared counts. Null ids are ids like any other. Of an item id with
-    several texts each text is an item. Empty tables give an empty result.
-    """
+
+def matches(docs: DataFrame, items: DataFrame, percent: int = SHARE_PERCENT) -> DataFrame:
+    """row, item_id (both structs of id and text digest), n_item, n_shared for every text that holds an item."""
     scratch = Scratch(docs.sparkSession, "leaks")
     base = items.select(F.struct(items["item_id"].alias("id"), F.xxhash64(items["text"]).alias("h")).alias("item_id"), F.coalesce(items["text"], F.lit("")).alias("text")).distinct()
     sketch = scratch.keep(sketches(base.withColumn("hashes", hashes(F.col("text"))), percent), "sketch")
     grams = scratch.keep(base.select("item_id", F.explode(shingles(F.col("text"))).alias("gram")), "grams")
-    text = F.coalesce(docs["text"], F.lit(""))
-    # A row is known by its id and its text's digest, so that any scan finds it again.
-    named = docs.select(F.struct(docs["doc_id"].alias("id"), F.xxhash64(text).alias("h")).alias("row"), text.alias("text"))
+    named = docs.select(row_key(docs).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     probes = named.select("row", F.explode(hashes(F.col("text"))).alias("hash"))
     found = probes.join(small(sketch), "hash").groupBy("row").agg(F.collect_set("item_id").alias("items"))
     found = scratch.keep(found, "candidates")
@@ -71,19 +68,28 @@ def search(docs: DataFrame, items: DataFrame, percent: int = SHARE_PERCENT) -> D
     shared = held.join(small(grams), "gram").groupBy("row", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
     pairs = found.select("row", F.explode("items").alias("item_id")).join(shared, ["row", "item_id"])
     sizes = sketch.groupBy("item_id").agg(F.first("n").cast("long").alias("n_item"))
-    pairs = pairs.join(small(sizes), "item_id").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    return pairs.join(small(sizes), "item_id").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+
+
+def search(docs: DataFrame, items: DataFrame, percent: int = SHARE_PERCENT) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared: documents that hold at least that share of an item's distinct shingles.
+
+    docs needs doc_id and text, items item_id and text. Case of A-Z doesn't count. Items of fewer than five words have
+    no shingle and are found nowhere; null and empty texts hold none. Pairs are a set: repeated rows give one pair, and
+    for an id with several texts the largest n_shared counts. Null ids are ids like any other. Of an item id with
+    several texts each text is an item. Empty tables give an empty result.
+    """
+    pairs = matches(docs, items, percent)
     best = pairs.groupBy(F.col("row.id").alias("doc_id"), F.col("item_id.id").alias("item_id")).agg(F.max(F.struct("n_shared", "n_item")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n_item").alias("n_item"), F.col("b.n_shared").alias("n_shared"))
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = SHARE_PERCENT) -> DataFrame:
-    """The rows of docs whose id is in no pair, with all their columns."""
+    """The rows of docs whose text holds no item, with all their columns."""
     scratch = Scratch(docs.sparkSession, "clean")
-    leaked = scratch.keep(search(docs, items, percent).select(F.struct("doc_id").alias("_leaked")).distinct(), "leaked")
-    row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
-    packed = docs.select(row, F.struct(docs["doc_id"].alias("doc_id")).alias("_id"))
-    kept = packed.join(small(leaked), F.col("_id") == F.col("_leaked"), "left_anti")
-    return kept.select("_row.*")
+    leaked = scratch.keep(matches(docs, items, percent).select(F.col("row").alias("_leaked")).distinct(), "leaked")
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), row_key(docs).alias("_key"))
+    return packed.join(small(leaked), F.col("_key") == F.col("_leaked"), "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
