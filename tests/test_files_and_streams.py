@@ -1,6 +1,7 @@
 """Sources, sinks and streams on small files."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,21 +54,24 @@ def test_text_rows(spark, tmp_path):
         files.accept_list(str(tmp_path / "a.json"))
 
 
-def run(query, name, tmp_path, mode="append"):
-    q = query.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
-    assert q.awaitTermination(90)
+def run(query, name, tmp_path, rows):
+    q = query.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"cp-{name}")).start()
+    until = time.time() + 60  # timeouts keep a stateful query busy, so it is stopped when its rows are there
+    while time.time() < until and query.sparkSession.table(name).count() < rows and q.isActive:
+        time.sleep(0.5)
+    q.stop()
 
 
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, f"2024-01-0{d} 00:00:00", "a", 1.0) for d in (1, 2, 9)], "user_id long, t string, event_type string, value double").select(
         "user_id", F.to_timestamp("t").alias("ts"), "event_type", "value").write.parquet(str(tmp_path / "e"))
     events = spark.readStream.schema("user_id long, ts timestamp, event_type string, value double").parquet(str(tmp_path / "e"))
-    run(st.gap_sessions(events, "2 days", "1 hour"), "gaps", tmp_path)
+    run(st.gap_sessions(events, "2 days", "1 hour"), "gaps", tmp_path, 1)
     assert [(r.user_id, r.n) for r in spark.table("gaps").collect()] == [(1, 2)]
-    run(st.tumbling_counts(events, "1 day", "1 hour"), "days", tmp_path)
+    run(st.tumbling_counts(events, "1 day", "1 hour"), "days", tmp_path, 2)
     assert spark.table("days").count() == 2
     rows = [(1, 0, "one", 0, 100), (1, 1, "two", 120, 200), (1, 2, "three", 1200, 1300), (2, 0, "x", 0, 10)]
     spark.createDataFrame(rows, "source long, idx long, text string, start_ms long, end_ms long").coalesce(1).write.parquet(str(tmp_path / "w"))
     words = spark.readStream.schema("source long, idx long, text string, start_ms long, end_ms long").parquet(str(tmp_path / "w"))
-    run(st.utterances(words), "said", tmp_path)
+    run(st.utterances(words), "said", tmp_path, 1)
     assert [(r.source, r.seq, r.text, r.n_words) for r in spark.table("said").collect()] == [(1, 0, "one two", 2)]
