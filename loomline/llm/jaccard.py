@@ -4,12 +4,15 @@ Sets of similar size form a size band. In a band, a hash deals the universe of s
 reach the similarity differ in at most H shingles, so with m = H + 1 + spare segments at least 1 + spare segments are
 identical in both. Each set is indexed by its segments' contents.
 
-Allocation by cost: an empty segment is what many sets share, so its list would be long. While a set has no more than
-spare of them, none is indexed, for one of the identical segments is not empty. A set with more indexes its empty
-segments too, each together with the one-deletion neighbourhood of the segment after it: since the differences can be
-laid round a ring so that a first segment has none and it and the next have at most floor(2H / m) <= 1 together, two
-such sets meet in one of the neighbours. Sets of a list are linked to its least set; what isn't connected then is
-compared across. All candidates are verified exactly.
+Allocation by cost: spare segments may be left out, and the dear ones are: those that are empty, and those whose content
+so many sets share that the list is long. While a set has no more than spare of them, one of the identical segments is
+cheap, and its list finds the pair. A set with more empty ones has them indexed after all, each together with the
+one-deletion neighbourhood of the segment after it: the differences can be laid round a ring so that a first segment has
+none and it and the next have at most floor(2H / m) <= 1 together, so two such sets meet in one of the neighbours. Sets
+with too many segments of long lists (a passage that many documents share) meet by the rarest of their shingles.
+
+Sets of a list are compared with its hub; in a list that isn't one component then, the rest is compared across. All
+candidates are verified exactly.
 """
 
 from __future__ import annotations
@@ -23,11 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.components import components
+from loomline.llm.exchange import arrow_rows, lean
 from loomline.llm.hashing import U, mix, shingle_sets
 from loomline.llm.shared import Scratch, fits, tables
 
 PERCENT = 80
 RATIO = 1.3
+#: A list of more sets than this that isn't one component is long: its content is dear.
+LONG = 8
 #: Up to so many rows of 24 bytes are broadcast; beyond it the same join goes by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -43,7 +49,7 @@ def bands(largest: int, percent: int) -> list[tuple[int, int, int, int]]:
         for _ in range(8):
             m = differ + 1 + spare
             empty = m * exp(-low / m)
-            spare = ceil(empty + 2 * sqrt(empty * (1 - exp(-low / m))))
+            spare = ceil(empty + 2 * sqrt(empty * (1 - exp(-low / m))) + differ / 8)
             spare = min(spare, 2 * differ + 2)
         out.append((low, high, differ + 1 + spare, spare))
         low = high + 1
@@ -54,31 +60,58 @@ def band_of(n: int, table: list) -> int:
     return next(i for i in range(len(table)) if n <= table[i][1])
 
 
+class Segments:
+    """A set's segments in a band: the sums of their contents, and keys of those that aren't empty."""
+
+    def __init__(self, tokens: np.ndarray, b: int, m: int):
+        self.of = (mix(tokens, 1000 + b) % U(m)).astype(np.int64)
+        self.content, self.m = mix(tokens, 77), m
+        self.sums, self.count = np.zeros(m, np.uint64), np.bincount(self.of, minlength=m)
+        np.add.at(self.sums, self.of, self.content)
+        self.names = mix((np.arange(m, dtype=np.uint64) + U(b << 32)) * U(0xD6E8FEB86659FD93))
+        self.full = np.flatnonzero(self.count)
+        self.keys = mix(self.sums[self.full] ^ self.names[self.full], 1)
+
+    def chained(self, j: int) -> np.ndarray:
+        """Keys of segment j's content with each one-deletion neighbour of the next one's."""
+        after = (j + 1) % self.m
+        around = np.concatenate([self.sums[after : after + 1], self.sums[after] - self.content[self.of == after]])
+        return mix(around ^ mix(self.sums[j : j + 1] ^ self.names[j : j + 1], 4), 2)
+
+
+def segmented(tokens: np.ndarray, percent: int, table: list | None = None):
+    """(segments, spare) for each band that sets of that similarity to this one can be in, none larger than its own."""
+    n = len(tokens)
+    if n:
+        table = table or bands(1 << max(10, n.bit_length() + 1), percent)
+        for b in range(band_of(n, table), -1, -1):
+            if table[b][1] * 100 < n * percent:
+                break
+            yield Segments(tokens, b, table[b][2]), table[b][3]
+
+
+def _joined(keys: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+
+
 def index_keys(tokens: np.ndarray, percent: int = PERCENT, table: list | None = None) -> np.ndarray:
     """The keys of a set of hashes. Sets of that similarity have a key in common."""
-    n = len(tokens)
-    if not n:
-        return np.zeros(0, np.uint64)
-    table = table or bands(1 << max(10, n.bit_length() + 1), percent)
-    own = band_of(n, table)
     keys = []
-    for b in range(own, -1, -1):
-        if table[b][1] * 100 < n * percent:  # no set of this band is large enough
-            break
-        _, _, m, spare = table[b]
-        segment = (mix(tokens, 1000 + b) % U(m)).astype(np.int64)
-        content = mix(tokens, 77)
-        sums, count = np.zeros(m, np.uint64), np.bincount(segment, minlength=m)
-        np.add.at(sums, segment, content)
-        names = (np.arange(m, dtype=np.uint64) + U(b << 32)) * U(0xD6E8FEB86659FD93)
-        full = np.flatnonzero(count)
-        keys.append(mix(sums[full] ^ mix(names[full]), 1))
-        if m - len(full) > spare:
-            for j in np.flatnonzero(count == 0):
-                after = (j + 1) % m
-                around = np.concatenate([[sums[after]], sums[after] - content[segment == after]])
-                keys.append(mix(around ^ mix(names[j : j + 1]), 2))
-    return np.unique(np.concatenate(keys))
+    for s, spare in segmented(tokens, percent, table):
+        keys.append(s.keys)
+        if s.m - len(s.full) > spare:
+            keys += [s.chained(j) for j in np.flatnonzero(s.count == 0)]
+    return _joined(keys)
+
+
+def is_dear(tokens: np.ndarray, long: np.ndarray, percent: int = PERCENT, table: list | None = None) -> bool:
+    """Whether in some band more segments of the set than may be left out are empty or have long lists. A pair that no
+    other list finds consists of two such sets."""
+    for s, spare in segmented(tokens, percent, table):
+        empty = s.m - len(s.full)
+        if empty + int(np.isin(s.keys, long).sum()) > spare:
+            return True
+    return False
 
 
 def set_digest(tokens: np.ndarray) -> int:
@@ -88,6 +121,33 @@ def set_digest(tokens: np.ndarray) -> int:
     return int(np.array([(a ^ (b * 0x9E3779B97F4A7C15 + len(tokens))) % 2**64], np.uint64).view(np.int64)[0])
 
 
+SLOTS = 64
+
+
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """How many of the set's hashes fall into each of 64 slots, 255 at most, as 8 longs. Two sets differ in at least as
+    many hashes as the slots' differences come to."""
+    count = np.bincount((mix(tokens, 21) >> U(58)).astype(np.int64), minlength=SLOTS)
+    return np.minimum(count, 255).astype(np.uint8).view(np.int64)
+
+
+SIGNATURE = [f"s{i}" for i in range(SLOTS // 8)]
+
+
+def _close(percent: int):
+    """Of candidate pairs those whose sizes and signatures allow the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.stack([batch.column(f"{side}{c}").to_numpy() for c in SIGNATURE], 1).view(np.uint8).astype(np.int16) for side in "xy")
+            n, m = batch.column("xn").to_numpy(), batch.column("yn").to_numpy()
+            apart = np.maximum(np.abs(x - y).sum(1), np.abs(n - m))
+            keep = apart * (100 + percent) <= (n + m) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in "ab"], ["a", "b"])
+
+    return run
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -95,18 +155,23 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _digests(batches):
     for batch in batches:
         sets = shingle_sets(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64())], ["doc_id", "n", "node"])
+        marks = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, len(SIGNATURE)), np.int64)
+        columns = [batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(m)) for m in marks.T)], ["doc_id", "h", "n", "node", *SIGNATURE])
 
 
 def _keys(percent: int):
     def run(batches):
         for batch in batches:
             nodes, sets = batch.column("node").to_numpy(), shingle_sets(batch.column("text").to_pylist())
-            keys = [index_keys(s, percent) for s in sets]
+            if "long" in batch.schema.names:  # the shingles themselves, of the sets that need them
+                keys = [s if is_dear(s, np.array(long, np.int64).view(np.uint64), percent) else s[:0] for s, long in zip(sets, batch.column("long").to_pylist())]
+            else:
+                keys = [index_keys(s, percent) for s in sets]
             at = 0
-            while at < len(keys):  # about a million rows at a time
+            while at < len(keys):  # about a quarter of a million rows at a time
                 to, n = at, 0
-                while to < len(keys) and (to == at or n + len(keys[to]) < 1 << 20):
+                while to < len(keys) and (to == at or n + len(keys[to]) < 1 << 18):
                     n, to = n + len(keys[to]), to + 1
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys[at:to])), pa.array(np.repeat(nodes[at:to], [len(k) for k in keys[at:to]]), pa.int64())], ["key", "node"])
                 at = to
@@ -115,19 +180,26 @@ def _keys(percent: int):
 
 
 def _sets(batches):
+    """node, tokens; with partners one row for each of them, which the tokens are sent to."""
     for batch in batches:
-        sets = shingle_sets(batch.column("text").to_pylist())
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))], ["node", "tokens"])
-
-
-def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
-    common = F.size(F.array_intersect("left", "right"))
-    return both.where(100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b")
+        nodes, sets = batch.column("node").to_pylist(), shingle_sets(batch.column("text").to_pylist())
+        to = batch.column("partners").to_pylist() if "partners" in batch.schema.names else [[n] for n in nodes]
+        rows = [(a, n, t) for n, t, partners in zip(nodes, sets, to) for a in partners]
+        at = 0
+        while at < len(rows):  # about a quarter of a million tokens at a time
+            to, n = at, 0
+            while to < len(rows) and (to == at or n + len(rows[to][2]) < 1 << 18):
+                n, to = n + len(rows[to][2]), to + 1
+            part, at = rows[at:to], to
+            offsets = np.concatenate([[0], np.cumsum([len(t) for *_, t in part])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), _signed(np.concatenate([t for *_, t in part])))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, *_ in part], pa.int64()), pa.array([n for _, n, _ in part], pa.int64()), tokens], ["a", "b", "tokens"])
+
+
+def close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    side = lambda on, p: nodes.select(F.col("node").alias(on), F.col("n").alias(f"{p}n"), *(F.col(c).alias(p + c) for c in SIGNATURE))
+    bounded = F.broadcast if fits(nodes, BROADCAST_ROWS) else lambda df: df
+    return pairs.join(bounded(side("a", "x")), "a").join(bounded(side("b", "y")), "b").mapInArrow(lean(_close(percent)), "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -141,68 +213,118 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     null doc_id link like others, but are no component's least id unless it has no other: then component_id is null.
     Repeated rows are rows of the result. Texts are read whole. An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    slim = scratch.keep(base.mapInArrow(_digests, "doc_id long, n long, node long"), "slim")
+    with arrow_rows(docs.sparkSession, 2000):
+        return _groups(docs, percent, Scratch(docs.sparkSession, "jaccard")).select("doc_id", "n_shingles", "component_id")
+
+
+def rarest(tokens: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """tokens(key, node): for each set the shingles among its n - ceil(similarity * n) + 1 rarest that other sets have too.
+    Similar sets have one of these in common, however many share their frequent ones."""
+    theirs = tokens.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("sets > 1").distinct()
+    order = Window.partitionBy("node").orderBy("sets", "key")
+    placed = theirs.withColumns({"place": F.row_number().over(order), "shared": F.count(F.lit(1)).over(Window.partitionBy("node"))}).join(nodes.select("node", "n"), "node")
+    alone = F.col("n") - F.col("shared")  # shingles of no other set come first
+    return placed.where(alone + F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "node")
+
+
+def _groups(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Rows of docs with doc_id, h (the text's digest), n_shingles, component_id and label (the component's least node)."""
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("h"), docs["text"].alias("text"))
+    slim = scratch.keep(base.mapInArrow(lean(_digests), f"doc_id long, h long, n long, node long, {', '.join(f'{c} long' for c in SIGNATURE)}"), "slim")
     # Equal sets are one node from here on; the row with the least id stands for it.
-    nodes = slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    nodes = slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in SIGNATURE))
     nodes = scratch.keep(nodes, "nodes")
     few = fits(nodes, BROADCAST_ROWS)
 
-    def texts(of: DataFrame) -> DataFrame:
-        """node, text of the rows that stand for these nodes."""
-        rows = slim.where("n > 0").select("doc_id", "node").distinct()
-        picked = nodes.join(of, "node", "left_semi").join(rows, "node").where(F.col("doc_id").eqNullSafe(F.col("first")))
-        picked = picked.select(F.col("doc_id").alias("_id"), "node")
-        picked = F.broadcast(picked) if few else picked
-        return base.join(picked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-
-    lists = texts(nodes).mapInArrow(_keys(percent), "key long, node long")
+    def texts(of: DataFrame, also: tuple[str, ...] = (), small: bool = True) -> DataFrame:
+        """node, text of the rows that stand for these nodes, and further columns of theirs."""
+        picked = nodes.select("node", "first").join(of, "node", "inner" if also else "left_semi")
+        rows = picked.join(slim.where("n > 0").select("doc_id", F.col("node").alias("_node")).distinct(), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first")))
+        rows = rows.select(F.col("doc_id").alias("_id"), "node", *also)
+        return base.join(F.broadcast(rows) if few and small else rows, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text", *also)
+
+    def verified(candidates: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose sets reach the similarity: each b's set goes to its partners, and no other set moves."""
+        pairs = scratch.keep(candidates.distinct(), f"{name}-pairs")
+        schema = "a long, b long, tokens array<bigint>"
+        partners = pairs.groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("partners"))
+        sent = texts(partners, ("partners",), fits(pairs, BROADCAST_ROWS)).mapInArrow(lean(_sets), schema)
+        held = texts(pairs.select(F.col("a").alias("node")).distinct()).mapInArrow(lean(_sets), schema).select("a", F.col("tokens").alias("own"))
+        common = F.size(F.array_intersect("tokens", "own"))
+        near = sent.join(held, "a").where(100 * common >= percent * (F.size("tokens") + F.size("own") - common))
+        found = scratch.keep(near.select("a", "b").distinct(), f"{name}-links")
+        scratch.drop(f"{name}-pairs")
+        return found
+
+    lists = texts(nodes.select("node")).mapInArrow(lean(_keys(percent)), "key long, node long")
     window = Window.partitionBy("key")
-    lists = lists.withColumns({"hub": F.min("node").over(window), "top": F.max("node").over(window)}).where("hub < top").select("key", "node", "hub")
-    lists = scratch.keep(lists, "lists")
-    pairs = scratch.keep(lists.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    sizes = nodes.select("node", "n")
-    met = lists.select("node").distinct()
-    sets = scratch.keep(texts(met).mapInArrow(_sets, "node long, tokens array<bigint>").dropDuplicates(["node"]), "sets")
-    near = scratch.keep(links(pairs, sets, percent), "near")
+    lists = lists.withColumns({"lo": F.min("node").over(window), "hi": F.max("node").over(window)}).where("lo < hi").select("key", "node")
+    lists = scratch.keep(lists, "met")
+    # A list's hub is the set that is in most lists: an original shares more with each of its copies than they among them.
+    degree = lists.groupBy("node").agg(F.count(F.lit(1)).alias("lists"))
+    ranked = lists.join(F.broadcast(degree) if few else degree, "node").withColumn("hub", F.max(F.struct("lists", "node")).over(window)["node"])
+    lists = scratch.keep(ranked.select("key", "node", "hub"), "lists")
+    scratch.drop("met")
+    # First each set against the hub that most of its lists have: large groups are mostly one component then.
+    often = lists.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "hub")).alias("top"))
+    near = verified(close(often.select(F.col("top.hub").alias("a"), F.col("node").alias("b")), nodes, percent), "near")
     labels = components(near, scratch, "first")
-    # Lists whose sets aren't one component yet: every pair of them across components that sizes allow is compared.
-    named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sizes, "node")
-    open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = scratch.keep(named.join(open_, "key", "left_semi").where("node <> hub"), "open")
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("node", "label", "n"))) for i in (1, 2))
-    cross = x.join(y, "key").where(f"node1 < node2 AND label1 <> label2 AND n1 * 100 >= n2 * {percent} AND n2 * 100 >= n1 * {percent}")
-    more = scratch.keep(links(cross.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), sets, percent), "more")
+
+    def opened(lists: DataFrame, labels: DataFrame) -> DataFrame:
+        """The lists that aren't one component, with each set's label and the list's size."""
+        named = lists.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = named.withColumns({"lo": F.min("label").over(window), "hi": F.max("label").over(window), "members": F.count(F.lit(1)).over(window), "hub_label": F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).over(window)})
+        return named.where("lo < hi").select("key", "node", "hub", "label", "hub_label", "members")
+
+    # Then the sets of long lists against their hubs.
+    rest = scratch.keep(opened(lists, labels), "open1")
+    star = rest.where((F.col("members") > LONG) & (F.col("label") != F.col("hub_label"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    near = near.unionByName(verified(close(star, nodes, percent), "star"))
+    labels = components(near, scratch, "second")
+    # Then short lists across, every pair that sizes and signatures allow, and sets of long lists by their rarest shingles.
+    rest = scratch.keep(opened(rest.select("key", "node", "hub"), labels), "open2")
+    scratch.drop("open1", "lists")
+    long = scratch.keep(rest.where(F.col("members") > LONG).groupBy("node").agg(F.collect_list("key").alias("long")), "long")
+    dear = texts(long, ("long",), fits(rest.where(F.col("members") > LONG), BROADCAST_ROWS)).mapInArrow(lean(_keys(percent)), "key long, node long")
+    refined = rarest(dear, nodes, percent).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    across = rest.where(F.col("members") <= LONG).select("key", "node", "label").unionByName(refined.select("key", "node", "label"))
+    marked = nodes.select("node", "n", *SIGNATURE)
+    across = scratch.keep(across.join(F.broadcast(marked) if few else marked, "node"), "across")
+    x, y = (across.select("key", F.col("node").alias(a), F.col("label").alias(f"{p}l"), F.col("n").alias(f"{p}n"), *(F.col(c).alias(p + c) for c in SIGNATURE)) for a, p in (("a", "x"), ("b", "y")))
+    cross = x.join(y, "key").where(f"a < b AND xl <> yl AND xn * 100 >= yn * {percent} AND yn * 100 >= xn * {percent}")
+    more = verified(cross.mapInArrow(lean(_close(percent)), "a long, b long"), "more")
     labels = components(near.unionByName(more), scratch, "last")
     least = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     ids = least.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_node = scratch.keep(least.join(ids, "label").select("node", "component_id"), "components")
-    scratch.drop("lists", "pairs", "sets", "open")
+    by_node = scratch.keep(least.join(ids, "label").select("node", "label", "component_id"), "components")
+    scratch.drop("open2", "long", "across")
     of_set = slim.join(F.broadcast(by_node) if few else by_node, "node", "left")
-    return of_set.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return of_set.select("doc_id", "h", "label", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stand first in their group, with all columns: one document of each group stays.
+    """One row of docs from each group, with all columns: that with the least id (null last), then the least text digest.
 
-    Rows that share the id that stays are told apart by their text's digest and then their place in the order of all
-    columns' digests, so that of repeated rows one stays. Documents without words all stay.
+    Of repeated rows one stays. Documents without words are in no group and all stay.
     """
-    groups = jaccard_groups(docs, percent)
     scratch = Scratch(docs.sparkSession, "firsts")
-    # An id may have several texts: only a document whose group's least id is not its own goes by this list.
-    gone = scratch.keep(groups.where("NOT doc_id <=> component_id").select(F.struct("doc_id").alias("_gone")).distinct(), "gone")
-    stay = groups.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.struct("doc_id").alias("_many"))
-    many = scratch.keep(stay, "many")
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.struct(docs["doc_id"].alias("doc_id")).alias("_id"))
+    with arrow_rows(docs.sparkSession, 2000):
+        groups = scratch.keep(_groups(docs, percent, Scratch(docs.sparkSession, "jaccard")).where("n_shingles > 0"), "groups")
+    # doc_id and digest name a row; the order of the struct puts null ids last.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h"))
+    best = groups.groupBy("label").agg(F.min(key).alias("best"))
+    judged = groups.select("label", key.alias("_k")).join(best, "label").groupBy("_k").agg(F.bool_or(F.col("_k") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    judged = scratch.keep(judged.where("NOT stays OR n > 1"), "judged")
+    gone, many = judged.where("NOT stays").select("_k"), judged.where("stays").select("_k")
+    own = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("h"))
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), own.alias("_own"))
     bounded = lambda df: F.broadcast(df) if fits(df, BROADCAST_ROWS) else df
-    kept = packed.join(bounded(gone), F.col("_id") == F.col("_gone"), "left_anti")
-    single = kept.join(bounded(many), F.col("_id") == F.col("_many"), "left_anti").select("_row")
-    again = kept.join(bounded(many), F.col("_id") == F.col("_many"), "left_semi")
-    worded = F.col("_row.text").rlike(r"[^\x20\x09-\x0D]")
-    one = again.where(worded).withColumn("_d", F.sha2(F.to_json("_row"), 256)).groupBy("_id").agg(F.min_by("_row", "_d").alias("_row")).select("_row")
-    return single.unionByName(again.where(~F.coalesce(worded, F.lit(False))).select("_row")).unionByName(one).select("_row.*")
+    kept = packed.join(bounded(gone), F.col("_own") == F.col("_k"), "left_anti")
+    if not many.limit(1).count():
+        return kept.select("_row.*")
+    single = kept.join(bounded(many), F.col("_own") == F.col("_k"), "left_anti").select("_row")
+    again = kept.join(bounded(many), F.col("_own") == F.col("_k"), "left_semi").withColumn("_d", F.sha2(F.to_json("_row"), 256))
+    return single.unionByName(again.groupBy("_own").agg(F.min_by("_row", "_d").alias("_row")).select("_row")).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
