@@ -122,11 +122,11 @@ def answered(sent: DataFrame, parts: int, answer, schema: str) -> DataFrame:
     return sent.repartition(parts, "part").mapInArrow(lean(answer), schema)
 
 
-def with_answers(block_table: DataFrame, answers: DataFrame, size_column: str, columns: list[str], name: str) -> DataFrame:
-    """Adds to each block the array of its answers (structs of part and columns)."""
+def with_answers(block_table: DataFrame, answers: DataFrame, size_column: str, columns: list[str], name: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Adds to each block the array of its answers (structs of part and columns); most: bytes that may be broadcast."""
     size = answers.agg(F.sum(F.octet_length(size_column))).first()[0] or 0
     grouped = answers.groupBy("block").agg(F.collect_list(F.struct("part", *columns)).alias(name))
-    return block_table.join(F.broadcast(grouped) if size <= BROADCAST_BYTES else grouped, "block", "left")
+    return block_table.join(F.broadcast(grouped) if size <= most else grouped, "block", "left")
 
 
 def all_rows(batches) -> dict[str, list]:

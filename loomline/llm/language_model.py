@@ -18,6 +18,7 @@ sums by word. Counts are of all training tokens: nothing is pruned.
 from __future__ import annotations
 
 import gc
+import time
 import zlib
 
 import numpy as np
@@ -26,14 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.exchange import all_rows, answered, arrow_rows, blocks, deal, parts_for, with_answers
+from loomline.llm.exchange import BROADCAST_BYTES, all_rows, answered, arrow_rows, blocks, deal, lean, parts_for, with_answers
 from loomline.llm.hashing import LOWER, U, chunks, mix, word_hashes
 from loomline.llm.shared import Scratch, tables
 
 THETA, THETA0 = 1.0, 1.0
 ROUNDS, SWEEPS, BURN_IN = 2, 4, 1
 SAMPLES = SWEEPS - BURN_IN
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: The end of a text, a token that no word hashes to but by chance.
 END = 0x5851F42D4C957F2D
 FOLDS, HELD = 5, 1
@@ -112,7 +113,7 @@ class Block:
         """Reads the answers: count and id of each distinct word (id -1 where it isn't in the training texts)."""
         got = [(a["part"], *unpack(a["body"])) for a in sorted(row["words"] or [], key=lambda a: a["part"])]
         self.count = np.concatenate([c for _, c, _ in got]).astype(np.int64) if got else np.zeros(0, np.int64)
-        self.id = np.concatenate([i.astype(np.int64) + starts[p] for p, _, i in got]) if got else np.zeros(0, np.int64)
+        self.id = np.concatenate([np.cumsum(i, dtype=np.int64) + starts[p] for p, _, i in got]) if got else np.zeros(0, np.int64)
         self.id[self.count == 0] = -1
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +158,7 @@ def _answer_words(batches):
         for g in got:
             own = back.reshape(-1)[at : at + g["n"]]
             at += g["n"]
-            yield rows([(p, g["block"], g["n"], pack(total[own].astype(np.uint64), ids[own].astype(np.uint32)))])
+            yield rows([(p, g["block"], g["n"], pack(total[own].astype(np.uint64), steps(ids[own].astype(np.uint32))))])
         yield rows([(p, -1, int((total > 0).sum()), pack(total[total > 0].astype(np.uint64)))])
 
 
@@ -353,14 +354,14 @@ def _answer_pairs(batches):
                 at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
                 there = keys[at] == own if len(keys) else np.zeros(len(own), bool)
                 count, tabs = (np.where(there, x[at] if len(keys) else 0, 0).astype(np.uint32) for x in (c, t))
-                yield rows([(row["part"], ask["block"], ask["n"], pack(count, tabs))])
+                yield rows([(row["part"], ask["block"], ask["n"], pack(count, tabs[count > 1]))])
 
 
 def _answer_words_last(batches):
     """For each block, by its words: tables in the word's restaurant, customers and tables in the parent."""
     for batch in batches:
         for row in batch.to_pylist():
-            _, ids = unpack(row["body"])
+            ids = np.cumsum(unpack(row["body"])[1], dtype=np.int64)
             own, customers, t = unpack(row["stats"]) if row["stats"] else (np.zeros(1, np.uint64),) * 3
             if not len(own):
                 own = customers = t = np.zeros(1, np.uint64)
@@ -376,7 +377,7 @@ def _score(starts: dict[int, int], parts: int, parent: Parent, d: float, tokens:
             for row in batch.to_pylist():
                 b = Block(row)
                 b.known(row, starts)
-                got = [unpack(a["body"]) for a in sorted(row["stats"] or [], key=lambda a: a["part"])]
+                got = [unpack(a["body"]) for a in sorted(row["answers"] or [], key=lambda a: a["part"]) if a["kind"] == 0]
                 own, customers, t = (np.concatenate(x).astype(np.float64) / SAMPLES for x in zip(*got)) if got else (np.zeros(0),) * 3
                 count = b.count[b.at]
                 known = count > 0
@@ -384,10 +385,12 @@ def _score(starts: dict[int, int], parts: int, parent: Parent, d: float, tokens:
                 hashed, keys, _, place = b.pairs()
                 c_pair, t_pair = np.zeros(len(keys)), np.zeros(len(keys))
                 cut = deal(hashed, parts)
-                for a in row["pairs"] or []:
+                for a in (a for a in row["answers"] or [] if a["kind"] == 1):
                     s, e = cut[a["part"]], cut[a["part"] + 1]
                     order = np.argsort(keys[s:e])
-                    x, y = unpack(a["body"])
+                    x, many = unpack(a["body"])
+                    y = np.minimum(x, 1) * float(SAMPLES)
+                    y[x > 1] = many
                     c_pair[s + order], t_pair[s + order] = x, y / SAMPLES
                 p = p_word[b.at]
                 # The restaurant of the word before: its customers and tables.
@@ -427,42 +430,45 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def tidy() -> None:
         """Lets Spark remove the shuffle files of steps that are written."""
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
-    with arrow_rows(spark, 16):
+    with arrow_rows(spark, 16, 8 << 20):
         table = blocks(docs, scratch, BLOCK_BYTES)
         size = table.agg(F.sum(F.octet_length("data"))).first()[0] or 0
 
         word_parts, _ = parts_for(spark, size // 4)
-        words = scratch.keep(answered(table.mapInArrow(_send_words(word_parts), ROW), word_parts, _answer_words, ROW), "words")
+        words = scratch.keep(answered(table.mapInArrow(lean(_send_words(word_parts)), ROW), word_parts, _answer_words, ROW), "words")
         sizes, starts, tokens, at = {}, {}, 0, 0
         for row in words.where("block < 0").select("part", "n").collect():  # one number for each part
             sizes[row[0]] = row[1]
         for p in range(word_parts):
             starts[p], at = at, at + sizes.setdefault(p, 0)
+        tidy()
         n_words = at
         if n_words >= 1 << 32:
             raise ValueError("more than 2 ** 32 distinct words")
-        sums = words.where("block < 0").select("body").mapInArrow(_token_sums, "n long")
+        sums = words.where("block < 0").select("body").mapInArrow(lean(_token_sums), "n long")
         tokens = sums.agg(F.sum("n")).first()[0] or 0
         answers = words.where("block >= 0")
         edges = np.array([starts[p] for p in range(word_parts)], np.uint64)
 
-        pair_parts, _ = parts_for(spark, size * 5 // 4)
+        pair_parts, _ = parts_for(spark, size * 2)
         known = with_answers(table, answers, "body", ["body"], "words")
-        desk = scratch.keep(answered(known.mapInArrow(_send_pairs(pair_parts, starts), ROW), pair_parts, _desks, DESK), "desk")
+        desk = scratch.keep(answered(known.mapInArrow(lean(_send_pairs(pair_parts, starts)), ROW), pair_parts, _desks, DESK), "desk")
         tidy()
         once, twice = desk.agg(F.sum("once"), F.sum("twice")).first()
         d = _discount(once or 0, twice or 0)
 
         seated = desk.select("part", "state", F.lit(None).cast("binary").alias("tables"))
         for turn in range(rounds + 1):
-            sent = scratch.keep(seated.mapInArrow(_send_sums(word_parts, edges), ROW), f"sums{turn}")
+            sent = scratch.keep(seated.mapInArrow(lean(_send_sums(word_parts, edges)), ROW), f"sums{turn}")
             stats = scratch.keep(answered(sent, word_parts, _word_tables(starts, sizes), WORDS), f"stats{turn}")
             customers, one, two = stats.agg(F.sum("customers"), F.sum("once"), F.sum("twice")).first()
             d0 = _discount(one or 0, two or 0)
-            parents = scratch.keep(stats.mapInArrow(_seat_parent(n_words, d0, turn), "part int, n int, body binary, tables long"), f"parents{turn}")
+            parents = scratch.keep(stats.mapInArrow(lean(_seat_parent(n_words, d0, turn)), "part int, n int, body binary, tables long"), f"parents{turn}")
             tables_ = parents.agg(F.sum("tables")).first()[0] or 0
             parent = Parent(n_words, (customers or 0) / SAMPLES, tables_ / SAMPLES, d0)
             if turn == rounds:
@@ -471,19 +477,23 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             replies = answered(both, word_parts, _answer_sums(parent, starts), ROW)
             replies = scratch.keep(replies.groupBy("part").agg(F.collect_list(F.struct("block", "body")).alias("answers")), f"replies{turn}")
             todo = desk.select("part", "state", F.lit(None).cast("binary").alias("tables")).join(replies, "part", "left")
-            new = scratch.keep(todo.mapInArrow(_reseat(d, turn), "part int, tables binary"), f"tables{turn}")
+            new = scratch.keep(todo.mapInArrow(lean(_reseat(d, turn)), "part int, tables binary"), f"tables{turn}")
             scratch.drop(f"sums{turn}", f"stats{turn}", f"parents{turn}", f"replies{turn}")
             tidy()
+            # Tables are a byte or so for each pair seen twice or more; beyond the bound the desks are joined by a shuffle.
+            few = (new.agg(F.sum(F.octet_length("tables"))).first()[0] or 0) <= BROADCAST_BYTES
+            new = F.broadcast(new) if few else new
             seated = desk.select("part", "state").join(new, "part", "left")
-        asked = desk.select("part", "state", "asked").join(seated.select("part", "tables"), "part")
-        pairs = scratch.keep(asked.mapInArrow(_answer_pairs, ROW), "pairs")
+        asked = desk.select("part", "state", "asked").join(new, "part", "left") if rounds else desk.withColumn("tables", F.lit(None).cast("binary"))
+        pairs = scratch.keep(asked.mapInArrow(lean(_answer_pairs), ROW), "pairs")
         last = parents.select("part", F.col("body").alias("stats"))
-        of_words = scratch.keep(answers.join(last, "part", "left").mapInArrow(_answer_words_last, ROW), "of_words")
+        of_words = scratch.keep(answers.join(last, "part", "left").mapInArrow(lean(_answer_words_last), ROW), "of_words")
         scratch.drop("desk", f"sums{rounds}")
         tidy()
-        full = with_answers(known, of_words, "body", ["body"], "stats")
-        full = with_answers(full, pairs, "body", ["body"], "pairs")
-        done = scratch.keep(full.mapInArrow(_score(starts, pair_parts, parent, d, tokens), SCORED), "result")
+        # One table, so that the texts move once; they always do, as these answers grow as the texts do.
+        both = of_words.withColumn("kind", F.lit(0)).unionByName(pairs.withColumn("kind", F.lit(1)))
+        full = with_answers(known, both, "body", ["kind", "body"], "answers", most=0)
+        done = scratch.keep(full.mapInArrow(lean(_score(starts, pair_parts, parent, d, tokens)), SCORED), "result")
     scratch.drop("blocks", "words", "pairs", "of_words")
     return done
 
