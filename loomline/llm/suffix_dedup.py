@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.exchange import all_rows, answered, arrow_rows, blocks, deal, parts_for, with_answers
+from loomline.llm.exchange import all_rows, answered, arrow_rows, blocks, deal, lean, parts_for, with_answers
 from loomline.llm.hashing import U, mix, powers
 from loomline.llm.shared import Scratch, tables
 
@@ -203,7 +203,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True)
         size = table.agg(F.sum(F.octet_length("data"))).first()[0] or 0
 
         # Texts that are copies of each other as a whole: later ones need no comparison.
-        wholes = scratch.keep(table.mapInArrow(_send_wholes(length), "key long, block long, i int"), "wholes")
+        wholes = scratch.keep(table.mapInArrow(lean(_send_wholes(length)), "key long, block long, i int"), "wholes")
         firsts = wholes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("block", "i")).alias("first")).where("n > 1").select("key", "first")
         copies = wholes.join(firsts, "key").select("block", "i", (F.struct("block", "i") != F.col("first")).alias("later"))
         copies = scratch.keep(copies.groupBy("block").agg(F.collect_list(F.struct("i", "later")).alias("copies")), "copies")
@@ -213,14 +213,14 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True)
             done = None
             for k in range(passes):
                 only = (k * parts // passes, (k + 1) * parts // passes)
-                one = scratch.keep(answered(source.mapInArrow(send(parts, only, length), SENT), parts // passes, _answer, SENT), f"{name}{k}")
+                one = scratch.keep(answered(source.mapInArrow(lean(send(parts, only, length)), SENT), parts // passes, _answer, SENT), f"{name}{k}")
                 done = one if done is None else done.unionByName(one)
             return done
 
         ranks = rounds(table, _send_sample, size * len(COVER) * 8 // PERIOD, "ranks")
         known = with_answers(table, ranks, "body", ["body", "n"], "ranks").join(copies, "block", "left")
         ties = rounds(known, _send_places, size * 2, "ties")
-        done = with_answers(known, ties, "body", ["body", "n"], "ties").mapInArrow(_cut(length, with_bytes), RESULT)
+        done = with_answers(known, ties, "body", ["body", "n"], "ties").mapInArrow(lean(_cut(length, with_bytes)), RESULT)
         done = scratch.keep(done, "result")
     scratch.drop("blocks", "wholes")
     return done
