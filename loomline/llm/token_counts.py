@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from loomline.llm.exchange import small_batches
-from loomline.llm.shared import fits, shared_dir, tables
+from loomline.llm.shared import Scratch, fits, shared_dir, tables
 
 TOKENIZER = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -100,5 +100,6 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str | Non
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts with an empty cache of its own, so that a run's figures include all encoding."""
     docs = spark.read.parquet(tables(sf_dir, "documents"))
-    return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return count_tokens(docs, Scratch(spark, "token-counts").path("cache")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
