@@ -141,12 +141,12 @@ def cell_deviation(spark, sf):
 
 
 @query("grade_rules", f"""WITH {FRAMES_SQL}, s AS (SELECT source, avg(level) AS m, (max(level) - min(level)) / 4 AS r FROM frames GROUP BY source)
-SELECT source, CAST(CASE WHEN m < 40 THEN 1.1 WHEN m > 80 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS gain, CAST(round(least(1.1, greatest(0.9, 1.0 + (60 - r) / 600)), 4) AS DOUBLE) AS contrast FROM s""")
+SELECT source, CAST(CASE WHEN m < 40 THEN 1.1 WHEN m > 80 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS gain, CAST(round(least(1.1, greatest(0.9, 1.0 + (60 - r) / 600)), 9) AS DOUBLE) AS contrast FROM s""")
 def grade_rules(spark, sf):
     """Clamped piecewise rules over a source's mean level and range."""
     s = fx.frames(spark, sf).groupBy("source").agg(F.avg("level").alias("m"), ((F.max("level") - F.min("level")) / 4).alias("r"))
     gain = F.when(F.col("m") < 40, 1.1).when(F.col("m") > 80, 0.9).otherwise(1.0)
-    return s.select("source", F.round(F.least(F.lit(1.2), F.greatest(F.lit(0.8), gain)), 6).alias("gain"), F.round(F.least(F.lit(1.1), F.greatest(F.lit(0.9), 1.0 + (60 - F.col("r")) / 600)), 4).alias("contrast"))
+    return s.select("source", F.round(F.least(F.lit(1.2), F.greatest(F.lit(0.8), gain)), 6).alias("gain"), F.round(F.least(F.lit(1.1), F.greatest(F.lit(0.9), 1.0 + (60 - F.col("r")) / 600)), 9).alias("contrast"))
 
 
 @query("sampled_reference", f"""WITH {FRAMES_SQL}, r AS (SELECT source, i // 50 AS block, least(30, count(*)) AS n, coalesce(sum(least(30, count(*))) OVER (PARTITION BY source ORDER BY i // 50 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM frames GROUP BY source, i // 50)
