@@ -23,15 +23,23 @@ KEY = "pseudonyms-1"
 ROUNDS = 10
 KINDS = ("email", "card", "phone", "ip", "ssn", "date")
 
-# Formats.
+# Formats. A phone that is whole without a further group ends there, as what follows may be another value
+# (an address, a year, a card); NEXT and CARD are where another value begins.
+CARD = r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w|[.-]\d)"
+NEXT = r"""[\w.+-]+@ | \d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d) | \d{3}-\d{2}-\d{4}(?![\w-]) | \d{3}[.-]\d{3}[.-]\d{4}(?![\w-])
+  | (?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)"""
 PATTERN = re.compile(r"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
   | (?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))
-  | (?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\w) | (?<![\w(])\(\d{3}\)\ ?\d{3}[ .-]\d{4}(?!\w) | (?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))
+  | (?P<phone>(?<![\w+])\+(?:
+        (?:\d{9,15} | \d{1,3}[ .-]\d{8,12} | \d{1,3}[ .-]?(?:(?:\(\d{3,4}\)|\d{3,4})[ .-]?\d{3,4}|(?:\(\d\d\)|\d\d)[ .-]?\d{4})[ .-]?\d{4})(?!\w|[.-]\d)
+      | \d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?(?:\d{3,4}[ .-]?\d{4}|\d{6})(?=\ (?:NEXT|CARD|(?:19|20)\d\d(?!\w|[.-]\d)))
+      | \d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:(?:[.-]?|\ (?!NEXT))\d{2,4}){2}(?:(?:[.-]?|\ (?!NEXT|CARD))\d{2,4})?(?!\w))
+    | (?<![\w(])\(\d{3}\)\ ?\d{3}[ .-]\d{4}(?!\w) | (?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))
   | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
   | (?P<date>(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))
   | (?P<card>(?<![\w.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w]|[.-]\d))
-""", re.X | re.A)
+""".replace("NEXT", NEXT).replace("CARD", CARD), re.X | re.A)
 MAYBE = re.compile(r"[0-9]|@", re.A)
 FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
