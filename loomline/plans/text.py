@@ -251,11 +251,13 @@ TOPIC_SQL = r"""a AS (SELECT doc_id, list_distinct(list_transform(string_split(t
 
 @query("topic_overlap_suppression", f"WITH {TOPIC_SQL} SELECT doc_id FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE len(list_intersect(a.ws, c.ws)) >= 6)")
 def topic_overlap_suppression(spark, sf):
-    """Cues (here the first words of documents) that share six words or more with a card are dropped. Words meet by an
-    equi-join on the word, not by pairing every cue with every card."""
+    """Cues (here whole documents) that share six words or more with a card are dropped. Words meet by an equi-join on
+    the word, not by pairing every cue with every card; texts are dealt by document before they are split, so counting
+    a document's words by card needs no further exchange."""
     low = lambda c: F.array_distinct(F.transform(c, lambda x: F.lower(x)))
-    cues_ = fx.table(spark, sf, "documents").select("doc_id", F.explode(low(F.slice(F.split("text", " "), 1, 40))).alias("w"))
-    cards = fx.table(spark, sf, "benchmark").where("item_id < 20").select("item_id", F.explode(low(F.split("text", " "))).alias("w"))
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    cues_ = docs.select("doc_id", F.explode(low(F.split("text", " "))).alias("w"))
+    cards = fx.table(spark, sf, "benchmark").select("item_id", F.explode(low(F.split("text", " "))).alias("w"))
     hit = cues_.join(cards, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 6")
     return fx.table(spark, sf, "documents").select("doc_id").join(hit, "doc_id", "left_anti")
 
