@@ -176,12 +176,14 @@ def gap_cuts_emit(spark, sf):
 @query("token_frequency_first_seen", r"""WITH t AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{12,}')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z]{12,}'), 1) AS i FROM documents))
 SELECT w AS token, count(*) AS n, min(doc_id * 1000000 + i - 1) AS first_at, list_sort(list(doc_id * 1000000 + i - 1))[1:8] AS firsts FROM t GROUP BY w""")
 def token_frequency_first_seen(spark, sf):
-    """Long Latin tokens: how often, where first, and the first eight places. Each task passes on eight places a token."""
+    """Latin tokens: how often, where first, and the first eight places. Each task passes on a count and eight places a
+    token, so that hot tokens stay cheap: counts are summed and ranks are limited before the shuffle."""
     docs = fx.table(spark, sf, "documents")
-    t = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]{12,}"), 0)).alias("i", "token"))
-    at = F.col("doc_id") * 1_000_000 + F.col("i")
-    ranked = t.withColumn("at", at).withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("at")))
-    return ranked.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.array_sort(F.collect_list(F.when(F.col("k") <= 8, F.col("at")))).alias("firsts"))
+    t = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9._-]*"), 0)).alias("i", "token"))
+    t = t.select("token", (F.col("doc_id") * 1_000_000 + F.col("i")).alias("at"))
+    counted = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
+    ranked = t.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("at"))).where("k <= 8")
+    return counted.join(ranked.groupBy("token").agg(F.array_sort(F.collect_list("at")).alias("firsts")), "token")
 
 
 @query("utterances_gap", f"""WITH {WORDS_SQL}, f AS (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY source ORDER BY idx) >= 800 THEN 1 ELSE 0 END AS b FROM words),

@@ -25,3 +25,11 @@ def test_topic_overlap_takes_all_cards_and_whole_texts(spark, sf_dir, duck, tmp_
     docs = [(1, filler + " A b C d E f"), (2, "f e d c b a"), (3, filler + " a a a b c d e"), (4, ""), (5, filler), (6, None)]
     at = save(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([(i, f"z{i}") for i in range(30)] + [(77, six)], "item_id long, text string"))
     assert sorted(r.doc_id for r in catalogue.QUERIES[name](spark, at).collect()) == [3, 4, 5, 6]
+
+
+def test_token_frequency_lists_every_latin_token(spark, sf_dir, duck, tmp_path):
+    name = "token_frequency_first_seen"
+    assert rows(catalogue.QUERIES[name](spark, sf_dir)) == oracle_rows(duck, uncut(name, ("[A-Za-z]{12,}", "[A-Za-z][A-Za-z0-9._-]*")))
+    docs = [(3, "a b2.c-d_e a"), (2, "x " + "a " * 9), (1, "9a. é"), (4, ""), (5, None)]
+    got = {r.token: (r.n, r.first_at, r.firsts) for r in catalogue.QUERIES[name](spark, save(spark, tmp_path, documents=(docs, "doc_id long, text string"))).collect()}
+    assert got == {"a": (11, 2_000_001, [2_000_000 + i for i in range(1, 9)]), "a.": (1, 1_000_000, [1_000_000]), "b2.c-d_e": (1, 3_000_001, [3_000_001]), "x": (1, 2_000_000, [2_000_000])}
