@@ -57,7 +57,7 @@ def clean_text(spark, sf):
   printf('%d:%02d:%02d.%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms // 10 % 100) AS cue,
   printf('%02d:%02d:%02d,%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) AS srt FROM words WHERE idx % 20 = 0""")
 def time_formats(spark, sf):
-    w = fx.words(spark, sf).where("idx % 20 = 0")
+    w = fx.words(spark, sf)
     return w.select("source", "idx", tx.clock_short(F.col("start_ms")).alias("short"), tx.clock_cue(F.col("start_ms")).alias("cue"), tx.clock_srt(F.col("start_ms")).alias("srt"))
 
 

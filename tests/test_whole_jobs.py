@@ -33,3 +33,13 @@ def test_token_frequency_lists_every_latin_token(spark, sf_dir, duck, tmp_path):
     docs = [(3, "a b2.c-d_e a"), (2, "x " + "a " * 9), (1, "9a. é"), (4, ""), (5, None)]
     got = {r.token: (r.n, r.first_at, r.firsts) for r in catalogue.QUERIES[name](spark, save(spark, tmp_path, documents=(docs, "doc_id long, text string"))).collect()}
     assert got == {"a": (11, 2_000_001, [2_000_000 + i for i in range(1, 9)]), "a.": (1, 1_000_000, [1_000_000]), "b2.c-d_e": (1, 3_000_001, [3_000_001]), "x": (1, 2_000_000, [2_000_000])}
+
+
+def test_time_formats_takes_every_word(spark, sf_dir, duck, tmp_path):
+    name = "time_formats"
+    got = rows(catalogue.QUERIES[name](spark, sf_dir))
+    assert got == oracle_rows(duck, uncut(name, (" WHERE idx % 20 = 0", "")))
+    assert oracle_rows(duck, catalogue.ORACLES[name])[1] <= got[1]
+    docs = [(1, "a bb c."), (2, "x")]
+    few = catalogue.QUERIES[name](spark, save(spark, tmp_path, documents=(docs, "doc_id long, text string"))).collect()
+    assert sorted((r.source, r.idx, r.srt) for r in few) == [(1, 0, "00:00:00,000"), (1, 1, "00:00:00,120"), (1, 2, "00:00:00,300"), (2, 0, "00:00:00,000")]
