@@ -277,7 +277,7 @@ SELECT source, idx, greatest(coalesce(pe + least(30, (start_ms - pe) // 2), 0),
 def edge_from_words(spark, sf):
     """Where to cut one word out: close to it, and clear of its neighbours."""
     w = sq.by_source()
-    e = fx.words(spark, sf).withColumns({"pe": F.lag("end_ms").over(w), "ns": F.lead("start_ms").over(w)}).where("idx % 10 = 3")
+    e = fx.words(spark, sf).withColumns({"pe": F.lag("end_ms").over(w), "ns": F.lead("start_ms").over(w)})
     a = F.greatest(F.coalesce(F.col("pe") + F.least(F.lit(30), F.floor((F.col("start_ms") - F.col("pe")) / 2)), F.lit(0)), F.col("start_ms") - 120)
     b = F.least(F.coalesce(F.col("ns") - F.least(F.lit(30), F.floor((F.col("ns") - F.col("end_ms")) / 2)), F.col("end_ms") + 120), F.col("end_ms") + 120)
     return e.select("source", "idx", a.alias("a"), b.alias("b"))

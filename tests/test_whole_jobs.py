@@ -43,3 +43,14 @@ def test_time_formats_takes_every_word(spark, sf_dir, duck, tmp_path):
     docs = [(1, "a bb c."), (2, "x")]
     few = catalogue.QUERIES[name](spark, save(spark, tmp_path, documents=(docs, "doc_id long, text string"))).collect()
     assert sorted((r.source, r.idx, r.srt) for r in few) == [(1, 0, "00:00:00,000"), (1, 1, "00:00:00,120"), (1, 2, "00:00:00,300"), (2, 0, "00:00:00,000")]
+
+
+def test_edges_come_from_every_word(spark, sf_dir, duck, tmp_path):
+    name = "edge_from_words"
+    got = rows(catalogue.QUERIES[name](spark, sf_dir))
+    assert got == oracle_rows(duck, uncut(name, (" WHERE idx % 10 = 3", "")))
+    assert oracle_rows(duck, catalogue.ORACLES[name])[1] <= got[1]
+    docs = [(1, "a bb c."), (2, "x")]
+    few = catalogue.QUERIES[name](spark, save(spark, tmp_path, documents=(docs, "doc_id long, text string"))).collect()
+    # Words at 0-100, 120-280 and 300-460: no word before the first, none after the last.
+    assert sorted(map(tuple, few)) == [(1, 0, 0, 110), (1, 1, 110, 290), (1, 2, 290, 580), (2, 0, 0, 220)]
