@@ -72,7 +72,7 @@ def quiet_runs(spark, sf):
 @query("nearest_quiet_point", f"""WITH {QUIET_SQL}, ats AS (SELECT source, i FROM frames WHERE i % 5 = 0), n AS (SELECT a.source, a.i, arg_min(b.i, abs(b.i - a.i) * 1000000 + b.i) AS moved FROM ats a JOIN quiet b ON a.source = b.source AND b.quiet AND b.i BETWEEN a.i - 6 AND a.i + 6 GROUP BY a.source, a.i)
 SELECT a.source, a.i, coalesce(n.moved, a.i) AS moved FROM ats a LEFT JOIN n USING (source, i)""")
 def nearest_quiet_point(spark, sf):
-    at = fx.frames(spark, sf).where("i % 5 = 0").select("source", "i")
+    at = fx.frames(spark, sf).select("source", "i")
     return sg.nearest_quiet(at, quiet_frames(spark, sf), 6)
 
 

@@ -54,3 +54,11 @@ def test_edges_come_from_every_word(spark, sf_dir, duck, tmp_path):
     few = catalogue.QUERIES[name](spark, save(spark, tmp_path, documents=(docs, "doc_id long, text string"))).collect()
     # Words at 0-100, 120-280 and 300-460: no word before the first, none after the last.
     assert sorted(map(tuple, few)) == [(1, 0, 0, 110), (1, 1, 110, 290), (1, 2, 290, 580), (2, 0, 0, 220)]
+
+
+def test_nearest_quiet_point_takes_every_frame(spark, sf_dir, duck):
+    name = "nearest_quiet_point"
+    got = rows(catalogue.QUERIES[name](spark, sf_dir))
+    assert got == oracle_rows(duck, uncut(name, (" WHERE i % 5 = 0", "")))
+    assert oracle_rows(duck, catalogue.ORACLES[name])[1] <= got[1]
+    assert sum(got[1].values()) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
