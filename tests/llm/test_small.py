@@ -180,6 +180,22 @@ def test_tokens_and_cache(spark, odd, tmp_path):
     assert other.where("doc_id = 3").first().n_tokens == 0
 
 
+def test_token_counts_over_splits(spark, tmp_path):
+    """Equal texts in several files: each is encoded by one split, and the query finds all of them in its cache after that."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    texts = [f"{PROSE[: rng.randint(1, 90)]} {rng.randint(0, 30)}" for _ in range(300)] + ["", None, "copy"] * 20
+    rng.shuffle(texts)
+    spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA).repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    cache = f"file://{tmp_path}/cache"
+    want = sorted((i, len((t or "").encode()), len(model.encode(t or "")), False) for i, t in enumerate(texts))
+    for _ in range(2):
+        assert sorted(map(tuple, token_counts.query(spark, str(tmp_path), cache).collect())) == want
+        assert spark.read.parquet(cache).count() == len({t or "" for t in texts})
+
+
 # ---- jaccard ----
 
 
