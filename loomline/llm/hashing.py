@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -48,22 +49,37 @@ def chunks(texts: list[bytes]):
         yield first, len(texts)
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the words of texts in order, and the offset of each text's words in them (one more than texts).
 
-    Words are runs of bytes other than the six ASCII white-space characters.
+    Words are runs of bytes other than the six ASCII white-space characters. A word is taken in steps of eight bytes, each
+    mixed with what came before, so that words of up to eight bytes never share a hash, and longer ones by chance only; a
+    very long word goes by a cryptographic digest.
     """
     data = b"\n".join(texts) + b"\n"
-    a = np.frombuffer(data, np.uint8)
-    space = SPACES[a]
+    a = np.frombuffer(data + b"\n" * 8, np.uint8)
+    space = SPACES[a[: len(data)]]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[0::2], edge[1::2]
-    up, down = powers(len(a))
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + U(1)) * up[: len(a)], out=total[1:])
-    words = mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) << U(56))
+    lens = ends - starts
+    eight = np.lib.stride_tricks.sliding_window_view(a, 8)
+    words = mix((eight[starts].view("<u8").reshape(-1) & FIRST[np.minimum(lens, 8)]) if len(starts) else np.zeros(0, np.uint64))
+    left = np.flatnonzero((lens > 8) & (lens <= LONG_WORD))
+    for k in range(8, LONG_WORD, 8):
+        left = left[lens[left] > k]
+        if not len(left):
+            break
+        words[left] = mix(words[left] ^ mix(eight[starts[left] + k].view("<u8").reshape(-1) & FIRST[np.minimum(lens[left] - k, 8)], k), k + 1)
+    words = mix(words ^ lens.astype(np.uint64))
+    for i in np.flatnonzero(lens > LONG_WORD):
+        words[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
     begin = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=begin[1:])
     return words, np.searchsorted(starts, begin)

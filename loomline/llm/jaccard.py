@@ -4,15 +4,16 @@ Sets of similar size form a size band. In a band, a hash deals the universe of s
 reach the similarity differ in at most H shingles, so with m = H + 1 + spare segments at least 1 + spare segments are
 identical in both. Each set is indexed by its segments' contents.
 
-Allocation by cost: spare segments may be left out, and the dear ones are: those that are empty, and those whose content
-so many sets share that the list is long. While a set has no more than spare of them, one of the identical segments is
-cheap, and its list finds the pair. A set with more empty ones has them indexed after all, each together with the
-one-deletion neighbourhood of the segment after it: the differences can be laid round a ring so that a first segment has
-none and it and the next have at most floor(2H / m) <= 1 together, so two such sets meet in one of the neighbours. Sets
-with too many segments of long lists (a passage that many documents share) meet by the rarest of their shingles.
-
-Sets of a list are compared with its hub; in a list that isn't one component then, the rest is compared across. All
-candidates are verified exactly.
+Allocation by cost: each set leaves out as many segments as the spare ones, empty ones first and then those whose content
+most sets share. Of the identical segments of a pair, spare at least are dearer than the cheapest one, for either set, so
+neither leaves that one out and its list finds the pair. A set that shares no more segments than the spare ones with all
+others, as passages that many documents carry make it do, is in no list any more. A set with more empty segments than
+spare ones leaves none out and has the empty ones indexed after all, each together with the one-deletion neighbourhood of
+the segment after it: the differences can be laid round a ring so that a first segment has none and it and the next have at
+most floor(2H / m) <= 1 together, so two such sets meet in one of the neighbours.
+
+Sets of a list are compared with its hub; in a list that isn't one component then, the rest is compared across, and sets
+of long lists meet by the rarest of their shingles. All candidates are verified exactly.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from loomline.llm.shared import Scratch, fits, tables
 
 PERCENT = 80
 RATIO = 1.3
-#: A list of more sets than this that isn't one component is long: its content is dear.
-LONG = 8
+#: The sets of a list of more than this that isn't one component meet by their rarest shingles, not pair by pair.
+LONG = 32
+#: A key's lowest bits are its band's number modulo 4; a set is in fewer bands than that.
+SLOT_BITS = 2
 #: Up to so many rows of 24 bytes are broadcast; beyond it the same join goes by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -70,24 +73,35 @@ class Segments:
         np.add.at(self.sums, self.of, self.content)
         self.names = mix((np.arange(m, dtype=np.uint64) + U(b << 32)) * U(0xD6E8FEB86659FD93))
         self.full = np.flatnonzero(self.count)
-        self.keys = mix(self.sums[self.full] ^ self.names[self.full], 1)
+        self.slot = b & 3
+        self.keys = self.named(mix(self.sums[self.full] ^ self.names[self.full], 1))
+
+    def named(self, keys: np.ndarray) -> np.ndarray:
+        return keys >> U(SLOT_BITS) << U(SLOT_BITS) | U(self.slot)
 
     def chained(self, j: int) -> np.ndarray:
         """Keys of segment j's content with each one-deletion neighbour of the next one's."""
         after = (j + 1) % self.m
         around = np.concatenate([self.sums[after : after + 1], self.sums[after] - self.content[self.of == after]])
-        return mix(around ^ mix(self.sums[j : j + 1] ^ self.names[j : j + 1], 4), 2)
+        return self.named(mix(around ^ mix(self.sums[j : j + 1] ^ self.names[j : j + 1], 4), 2))
+
+
+def bands_of(n: int, percent: int, table: list) -> list[int]:
+    """The bands that sets of that similarity to one of n can be in, none larger than its own."""
+    out = []
+    for b in range(band_of(n, table) if n else -1, -1, -1):
+        if table[b][1] * 100 < n * percent:
+            break
+        out.append(b)
+    return out
 
 
 def segmented(tokens: np.ndarray, percent: int, table: list | None = None):
-    """(segments, spare) for each band that sets of that similarity to this one can be in, none larger than its own."""
+    """(segments, spare) for each of the set's bands."""
     n = len(tokens)
-    if n:
-        table = table or bands(1 << max(10, n.bit_length() + 1), percent)
-        for b in range(band_of(n, table), -1, -1):
-            if table[b][1] * 100 < n * percent:
-                break
-            yield Segments(tokens, b, table[b][2]), table[b][3]
+    table = table or bands(1 << max(10, n.bit_length() + 1), percent)
+    for b in bands_of(n, percent, table):
+        yield Segments(tokens, b, table[b][2]), table[b][3]
 
 
 def _joined(keys: list[np.ndarray]) -> np.ndarray:
@@ -104,14 +118,16 @@ def index_keys(tokens: np.ndarray, percent: int = PERCENT, table: list | None =
     return _joined(keys)
 
 
-def is_dear(tokens: np.ndarray, long: np.ndarray, percent: int = PERCENT, table: list | None = None) -> bool:
-    """Whether in some band more segments of the set than may be left out are empty or have long lists. A pair that no
-    other list finds consists of two such sets."""
-    for s, spare in segmented(tokens, percent, table):
-        empty = s.m - len(s.full)
-        if empty + int(np.isin(s.keys, long).sum()) > spare:
-            return True
-    return False
+def allowances(tokens: np.ndarray, percent: int = PERCENT, table: list | None = None) -> int:
+    """How many of its lists the set leaves out in each band: spare segments less empty ones, 16 bits at the place of the
+    band's number modulo 4."""
+    out, n = 0, len(tokens)
+    table = table or bands(1 << max(10, n.bit_length() + 1), percent)
+    for b in bands_of(n, percent, table):
+        _, _, m, spare = table[b]
+        empty = m - np.count_nonzero(np.bincount((mix(tokens, 1000 + b) % U(m)).astype(np.int64), minlength=m))
+        out |= min(max(0, spare - int(empty)), 0xFFFF) << 16 * (b & 3)
+    return out
 
 
 def set_digest(tokens: np.ndarray) -> int:
@@ -134,40 +150,71 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 SIGNATURE = [f"s{i}" for i in range(SLOTS // 8)]
 
 
+def _may_be_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and signatures (rows of 8 longs) allow the similarity."""
+    x, y = (np.ascontiguousarray(z).view(np.uint8).astype(np.int16) for z in (x, y))
+    apart = np.maximum(np.abs(x - y).sum(1), np.abs(n - m))
+    return apart * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _close(percent: int):
     """Of candidate pairs those whose sizes and signatures allow the similarity."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.stack([batch.column(f"{side}{c}").to_numpy() for c in SIGNATURE], 1).view(np.uint8).astype(np.int16) for side in "xy")
-            n, m = batch.column("xn").to_numpy(), batch.column("yn").to_numpy()
-            apart = np.maximum(np.abs(x - y).sum(1), np.abs(n - m))
-            keep = apart * (100 + percent) <= (n + m) * (100 - percent)
+            x, y = (np.stack([batch.column(f"{side}{c}").to_numpy() for c in SIGNATURE], 1) for side in "xy")
+            keep = _may_be_near(x, y, batch.column("xn").to_numpy(), batch.column("yn").to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in "ab"], ["a", "b"])
 
     return run
 
 
+def _across(percent: int):
+    """From lists of sets (arrays of node, label, n and signature) the distinct pairs of different labels that may be near."""
+
+    def run(batches):
+        for batch in batches:
+            sets = batch.column("sets")
+            ends = sets.offsets.to_numpy()
+            ends = ends - ends[0]
+            flat = sets.flatten()
+            node, label, n = (flat.field(c).to_numpy() for c in ("node", "label", "n"))
+            marks = np.stack([flat.field(c).to_numpy() for c in SIGNATURE], 1)
+            of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            found = [np.zeros((0, 2), np.int64)]
+            for d in range(1, int(np.diff(ends).max(initial=0))):
+                i = np.flatnonzero((of[:-d] == of[d:]) & (label[:-d] != label[d:]))
+                i = i[_may_be_near(marks[i], marks[i + d], n[i], n[i + d], percent)]
+                found.append(np.unique(np.stack([np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])], 1), axis=0))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], ["a", "b"])
+
+    return run
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def _digests(batches):
-    for batch in batches:
-        sets = shingle_sets(batch.column("text").to_pylist())
-        marks = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, len(SIGNATURE)), np.int64)
-        columns = [batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64())]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(m)) for m in marks.T)], ["doc_id", "h", "n", "node", *SIGNATURE])
+def _digests(percent: int):
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column("text").to_pylist())
+            marks = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, len(SIGNATURE)), np.int64)
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64()),
+                       _signed(np.array([allowances(s, percent) for s in sets], np.uint64))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(m)) for m in marks.T)], ["doc_id", "h", "n", "node", "allowed", *SIGNATURE])
+
+    return run
+
 
+def _keys(percent: int, segments: bool = True):
+    """key, node: the keys of each set's segments, or its shingles."""
 
-def _keys(percent: int):
     def run(batches):
         for batch in batches:
             nodes, sets = batch.column("node").to_numpy(), shingle_sets(batch.column("text").to_pylist())
-            if "long" in batch.schema.names:  # the shingles themselves, of the sets that need them
-                keys = [s if is_dear(s, np.array(long, np.int64).view(np.uint64), percent) else s[:0] for s, long in zip(sets, batch.column("long").to_pylist())]
-            else:
-                keys = [index_keys(s, percent) for s in sets]
+            keys = [index_keys(s, percent) for s in sets] if segments else sets
             at = 0
             while at < len(keys):  # about a quarter of a million rows at a time
                 to, n = at, 0
@@ -229,19 +276,22 @@ def rarest(tokens: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _groups(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Rows of docs with doc_id, h (the text's digest), n_shingles, component_id and label (the component's least node)."""
+    if percent < 50:
+        raise ValueError("the similarity must be 50 at least")
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("h"), docs["text"].alias("text"))
-    slim = scratch.keep(base.mapInArrow(lean(_digests), f"doc_id long, h long, n long, node long, {', '.join(f'{c} long' for c in SIGNATURE)}"), "slim")
-    # Equal sets are one node from here on; the row with the least id stands for it.
-    nodes = slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in SIGNATURE))
+    slim = scratch.keep(base.mapInArrow(lean(_digests(percent)), f"doc_id long, h long, n long, node long, allowed long, {', '.join(f'{c} long' for c in SIGNATURE)}"), "slim")
+    # Equal sets are one node from here on; the row with the least id and digest stands for it.
+    sums = [F.max(c).alias(c) for c in ("n", "allowed", *SIGNATURE)]
+    nodes = slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "h")).alias("stand_in"), *sums)
     nodes = scratch.keep(nodes, "nodes")
     few = fits(nodes, BROADCAST_ROWS)
 
     def texts(of: DataFrame, also: tuple[str, ...] = (), small: bool = True) -> DataFrame:
         """node, text of the rows that stand for these nodes, and further columns of theirs."""
-        picked = nodes.select("node", "first").join(of, "node", "inner" if also else "left_semi")
-        rows = picked.join(slim.where("n > 0").select("doc_id", F.col("node").alias("_node")).distinct(), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first")))
-        rows = rows.select(F.col("doc_id").alias("_id"), "node", *also)
-        return base.join(F.broadcast(rows) if few and small else rows, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text", *also)
+        rows = nodes.select("node", "stand_in").join(of, "node", "inner" if also else "left_semi")
+        rows = rows.select(F.col("stand_in.doc_id").alias("_id"), F.col("stand_in.h").alias("_h"), "node", *also)
+        mine = (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+        return base.join(F.broadcast(rows) if few and small else rows, mine).select("node", "text", *also)
 
     def verified(candidates: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose sets reach the similarity: each b's set goes to its partners, and no other set moves."""
@@ -256,15 +306,22 @@ def _groups(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         scratch.drop(f"{name}-pairs")
         return found
 
-    lists = texts(nodes.select("node")).mapInArrow(lean(_keys(percent)), "key long, node long")
-    window = Window.partitionBy("key")
-    lists = lists.withColumns({"lo": F.min("node").over(window), "hi": F.max("node").over(window)}).where("lo < hi").select("key", "node")
-    lists = scratch.keep(lists, "met")
+    keyed = texts(nodes.select("node")).mapInArrow(lean(_keys(percent)), "key long, node long")
+    of_key, of_band = Window.partitionBy("key"), Window.partitionBy("node", "slot")
+    met = keyed.withColumns({"lo": F.min("node").over(of_key), "hi": F.max("node").over(of_key), "sets": F.count(F.lit(1)).over(of_key)})
+    met = scratch.keep(met.where("lo < hi").select("key", "node", "sets"), "met")
+    # Each set leaves out its dearest lists, as many as are spare in the band.
+    slots = met.withColumn("slot", F.col("key").bitwiseAND((1 << SLOT_BITS) - 1).cast("int"))
+    placed = slots.withColumn("place", F.row_number().over(of_band.orderBy(F.desc("sets"), "key")))
+    allowed = F.expr("shiftright(allowed, 16 * slot) & 65535")
+    cheap = placed.join(nodes.select("node", "allowed"), "node").where(F.col("place") > allowed).select("key", "node")
+    cheap = cheap.withColumns({"lo": F.min("node").over(of_key), "hi": F.max("node").over(of_key)}).where("lo < hi").select("key", "node")
+    cheap = scratch.keep(cheap, "cheap")
     # A list's hub is the set that is in most lists: an original shares more with each of its copies than they among them.
-    degree = lists.groupBy("node").agg(F.count(F.lit(1)).alias("lists"))
-    ranked = lists.join(F.broadcast(degree) if few else degree, "node").withColumn("hub", F.max(F.struct("lists", "node")).over(window)["node"])
+    degree = cheap.groupBy("node").agg(F.count(F.lit(1)).alias("lists"))
+    ranked = cheap.join(degree, "node").withColumn("hub", F.max(F.struct("lists", "node")).over(of_key)["node"])
     lists = scratch.keep(ranked.select("key", "node", "hub"), "lists")
-    scratch.drop("met")
+    scratch.drop("met", "cheap")
     # First each set against the hub that most of its lists have: large groups are mostly one component then.
     often = lists.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "hub")).alias("top"))
     near = verified(close(often.select(F.col("top.hub").alias("a"), F.col("node").alias("b")), nodes, percent), "near")
@@ -272,8 +329,9 @@ def _groups(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 
     def opened(lists: DataFrame, labels: DataFrame) -> DataFrame:
         """The lists that aren't one component, with each set's label and the list's size."""
-        named = lists.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = named.withColumns({"lo": F.min("label").over(window), "hi": F.max("label").over(window), "members": F.count(F.lit(1)).over(window), "hub_label": F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).over(window)})
+        named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = named.withColumns({"lo": F.min("label").over(of_key), "hi": F.max("label").over(of_key), "members": F.count(F.lit(1)).over(of_key),
+                                   "hub_label": F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).over(of_key)})
         return named.where("lo < hi").select("key", "node", "hub", "label", "hub_label", "members")
 
     # Then the sets of long lists against their hubs.
@@ -284,21 +342,21 @@ def _groups(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     # Then short lists across, every pair that sizes and signatures allow, and sets of long lists by their rarest shingles.
     rest = scratch.keep(opened(rest.select("key", "node", "hub"), labels), "open2")
     scratch.drop("open1", "lists")
-    long = scratch.keep(rest.where(F.col("members") > LONG).groupBy("node").agg(F.collect_list("key").alias("long")), "long")
-    dear = texts(long, ("long",), fits(rest.where(F.col("members") > LONG), BROADCAST_ROWS)).mapInArrow(lean(_keys(percent)), "key long, node long")
+    long = scratch.keep(rest.where(F.col("members") > LONG).select("node").distinct(), "long")
+    dear = texts(long).mapInArrow(lean(_keys(percent, False)), "key long, node long")
     refined = rarest(dear, nodes, percent).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    across = rest.where(F.col("members") <= LONG).select("key", "node", "label").unionByName(refined.select("key", "node", "label"))
-    marked = nodes.select("node", "n", *SIGNATURE)
-    across = scratch.keep(across.join(F.broadcast(marked) if few else marked, "node"), "across")
-    x, y = (across.select("key", F.col("node").alias(a), F.col("label").alias(f"{p}l"), F.col("n").alias(f"{p}n"), *(F.col(c).alias(p + c) for c in SIGNATURE)) for a, p in (("a", "x"), ("b", "y")))
+    short = rest.where(F.col("members") <= LONG).select("key", "node", "label").join(nodes.select("node", "n", *SIGNATURE), "node")
+    short = short.groupBy("key").agg(F.collect_list(F.struct("node", "label", "n", *SIGNATURE)).alias("sets")).select("sets").mapInArrow(lean(_across(percent)), "a long, b long")
+    refined = scratch.keep(refined.select("key", "node", "label").join(nodes.select("node", "n", *SIGNATURE), "node"), "refined")
+    x, y = (refined.select("key", F.col("node").alias(a), F.col("label").alias(f"{p}l"), F.col("n").alias(f"{p}n"), *(F.col(c).alias(p + c) for c in SIGNATURE)) for a, p in (("a", "x"), ("b", "y")))
     cross = x.join(y, "key").where(f"a < b AND xl <> yl AND xn * 100 >= yn * {percent} AND yn * 100 >= xn * {percent}")
-    more = verified(cross.mapInArrow(lean(_close(percent)), "a long, b long"), "more")
+    more = verified(short.unionByName(cross.mapInArrow(lean(_close(percent)), "a long, b long")), "more")
     labels = components(near.unionByName(more), scratch, "last")
     least = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     ids = least.groupBy("label").agg(F.min("first").alias("component_id"))
     by_node = scratch.keep(least.join(ids, "label").select("node", "label", "component_id"), "components")
-    scratch.drop("open2", "long", "across")
-    of_set = slim.join(F.broadcast(by_node) if few else by_node, "node", "left")
+    scratch.drop_but("slim", "components")
+    of_set = slim.select("doc_id", "h", "n", "node").join(by_node, "node", "left")
     return of_set.select("doc_id", "h", "label", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -49,6 +49,16 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+    def drop_but(self, *names: str) -> None:
+        """Removes all tables but these."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        found = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+        gone = [n for n in (f.getPath().getName() for f in found) if n not in names]
+        if gone:
+            self.drop(*gone)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 

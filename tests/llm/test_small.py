@@ -210,7 +210,21 @@ def test_sets_and_index_never_miss():
             gone = int(rng.integers(0, min(k, n) + 1))
             y = np.concatenate([x[gone:], rng.integers(0, 2**63, k - gone).astype(np.uint64)])
             if len(y) and 100 * (n - gone) >= 80 * (n + k - gone):
-                assert np.intersect1d(jaccard.index_keys(np.sort(x)), jaccard.index_keys(np.sort(y))).size
+                kept = []
+                for z in (np.sort(x), np.sort(y)):  # each leaves out its dearest lists, here the largest keys
+                    keys, allowed = jaccard.index_keys(z), jaccard.allowances(z)
+                    by = [np.sort(keys[keys & np.uint64(3) == s]) for s in range(4)]
+                    kept.append(np.concatenate([own[: max(0, len(own) - (allowed >> 16 * s & 0xFFFF))] for s, own in enumerate(by)]))
+                assert np.intersect1d(*kept).size
+
+
+def test_words_are_told_apart():
+    """Words of 2,048 letters that differ by the signs of the Thue-Morse sequence, and words that share long beginnings."""
+    signs = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = "".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)
+    words = [a, b, a[:300], b[:300], a[:299], "a", "aa", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "b" + "a" * 16]
+    assert len(np.unique(np.concatenate(shingle_sets(words)))) == len(words)
+    assert np.array_equal(*shingle_sets([f" {a}\n{b} ", f"{a} {b}"]))
 
 
 def plain_groups(texts, percent=80):
@@ -264,6 +278,9 @@ def test_first_of_groups_with_repeated_rows(spark, odd):
     data = [(0, PROSE, "en", "a", 0), (1, PROSE + "end", "en", "a", 0), (1, "five other words of text here", "en", "a", 0), (None, PROSE, "en", "a", 0)]
     stay = jaccard.first_of_groups(spark.createDataFrame(data, SCHEMA)).collect()
     assert sorted((r.doc_id, len(r.text)) for r in stay) == [(0, len(PROSE)), (1, 29)]
+    # Two texts of one id that are close to nothing: both stay.
+    data2 = [(1, " ".join(f"a{i}" for i in range(2)), "en", "a", 0), (1, " ".join(f"b{i}" for i in range(15)), "en", "a", 0)]
+    assert jaccard.first_of_groups(spark.createDataFrame(data2, SCHEMA)).count() == 2
     bench = items(spark, ["five other words of text here"])
     assert sorted(len(r.text) for r in decontamination.clean(spark.createDataFrame(data, SCHEMA), bench).collect()) == [len(PROSE), len(PROSE), len(PROSE) + 3]
 
