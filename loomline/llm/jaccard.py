@@ -148,6 +148,14 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 
 SIGNATURE = [f"s{i}" for i in range(SLOTS // 8)]
+PARITY = [f"o{i}" for i in range(16)]
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's hashes falls into each of 1,024 slots, as 16 longs. Two sets differ in at least as
+    many hashes as slots in which their parities do."""
+    odd = np.bincount((mix(tokens, 22) >> U(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _may_be_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -208,13 +216,13 @@ def _digests(percent: int):
     return run
 
 
-def _keys(percent: int, segments: bool = True):
-    """key, node: the keys of each set's segments, or its shingles."""
+def _keys(percent: int):
+    """key, node: the keys of each set's segments."""
 
     def run(batches):
         for batch in batches:
             nodes, sets = batch.column("node").to_numpy(), shingle_sets(batch.column("text").to_pylist())
-            keys = [index_keys(s, percent) for s in sets] if segments else sets
+            keys = [index_keys(s, percent) for s in sets]
             at = 0
             while at < len(keys):  # about a quarter of a million rows at a time
                 to, n = at, 0
@@ -243,6 +251,15 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array([a for a, *_ in part], pa.int64()), pa.array([n for _, n, _ in part], pa.int64()), tokens], ["a", "b", "tokens"])
 
 
+def _dear(batches):
+    """node, its shingles and their parities."""
+    for batch in batches:
+        sets = shingle_sets(batch.column("text").to_pylist())
+        odd = np.stack([parity(s) for s in sets]) if sets else np.zeros((0, len(PARITY)), np.int64)
+        tokens = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), tokens, *(pa.array(np.ascontiguousarray(c)) for c in odd.T)], ["node", "tokens", *PARITY])
+
+
 def close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     side = lambda on, p: nodes.select(F.col("node").alias(on), F.col("n").alias(f"{p}n"), *(F.col(c).alias(p + c) for c in SIGNATURE))
     bounded = F.broadcast if fits(nodes, BROADCAST_ROWS) else lambda df: df
@@ -343,14 +360,17 @@ def _groups(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     rest = scratch.keep(opened(rest.select("key", "node", "hub"), labels), "open2")
     scratch.drop("open1", "lists")
     long = scratch.keep(rest.where(F.col("members") > LONG).select("node").distinct(), "long")
-    dear = texts(long).mapInArrow(lean(_keys(percent, False)), "key long, node long")
-    refined = rarest(dear, nodes, percent).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    dear = scratch.keep(texts(long).mapInArrow(lean(_dear), f"node long, tokens array<bigint>, {', '.join(f'{c} long' for c in PARITY)}"), "dear")
+    refined = rarest(dear.select(F.explode("tokens").alias("key"), "node"), nodes, percent).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     short = rest.where(F.col("members") <= LONG).select("key", "node", "label").join(nodes.select("node", "n", *SIGNATURE), "node")
     short = short.groupBy("key").agg(F.collect_list(F.struct("node", "label", "n", *SIGNATURE)).alias("sets")).select("sets").mapInArrow(lean(_across(percent)), "a long, b long")
-    refined = scratch.keep(refined.select("key", "node", "label").join(nodes.select("node", "n", *SIGNATURE), "node"), "refined")
-    x, y = (refined.select("key", F.col("node").alias(a), F.col("label").alias(f"{p}l"), F.col("n").alias(f"{p}n"), *(F.col(c).alias(p + c) for c in SIGNATURE)) for a, p in (("a", "x"), ("b", "y")))
-    cross = x.join(y, "key").where(f"a < b AND xl <> yl AND xn * 100 >= yn * {percent} AND yn * 100 >= xn * {percent}")
-    more = verified(short.unionByName(cross.mapInArrow(lean(_close(percent)), "a long, b long")), "more")
+    refined = refined.select("key", "node", "label").join(nodes.select("node", "n"), "node").join(dear.drop("tokens"), "node")
+    refined = scratch.keep(refined, "refined")
+    x, y = (refined.select("key", F.col("node").alias(a), F.col("label").alias(f"{p}l"), F.col("n").alias(f"{p}n"), *(F.col(c).alias(p + c) for c in PARITY)) for a, p in (("a", "x"), ("b", "y")))
+    apart = sum((F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in PARITY), F.lit(0))
+    may_be = (F.col("a") < F.col("b")) & (F.col("xl") != F.col("yl")) & (apart * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)) & (F.abs(F.col("xn") - F.col("yn")) * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
+    cross = x.join(y, (x["key"] == y["key"]) & may_be).select("a", "b")
+    more = verified(close(short.unionByName(cross).distinct(), nodes, percent), "more")
     labels = components(near.unionByName(more), scratch, "last")
     least = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     ids = least.groupBy("label").agg(F.min("first").alias("component_id"))
