@@ -51,14 +51,10 @@ def asof(left: DataFrame, right: DataFrame, t: str, s: str, values: list[str], d
     payload = F.struct(F.col(s).alias("_s"), *values)
     l_rows = left.select(*keys, F.col(t).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_r"))
     r_rows = right.select(*keys, F.col(s).alias("_t"), F.lit(None).cast(l_rows.schema["_l"].dataType).alias("_l"), payload.alias("_r"))
-    # At equal times right rows stand first (backward) or last (forward), so that "at" counts.
-    side = F.col("_l").isNotNull()
-    window = Window.partitionBy(*keys)
-    if direction == "backward":
-        window = window.orderBy("_t", side, "_r").rowsBetween(Window.unboundedPreceding, 0)
-        found = F.last("_r", ignorenulls=True).over(window)
-    else:
-        window = window.orderBy("_t", side.desc(), "_r").rowsBetween(0, Window.unboundedFollowing)
-        found = F.first("_r", ignorenulls=True).over(window)
+    # Forward is backward in descending order. At equal times right rows stand first, so that "at" counts; frames end at
+    # the row itself, so that Spark carries the last right row along.
+    side, window = F.col("_l").isNotNull(), Window.partitionBy(*keys)
+    order = ["_t", side, "_r"] if direction == "backward" else [F.desc("_t"), side, F.desc("_r")]
+    found = F.last("_r", ignorenulls=True).over(window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     both = l_rows.unionByName(r_rows).withColumn("_f", found).where("_l IS NOT NULL")
     return both.select("_l.*", *(F.col(f"_f.{v}").alias(v if v not in left.columns else f"r_{v}") for v in values))

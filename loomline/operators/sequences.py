@@ -20,45 +20,53 @@ def by_source() -> Window:
     return Window.partitionBy("source").orderBy("idx")
 
 
-def grams(words: DataFrame, n: int) -> DataFrame:
-    """Runs of n normalised words, none of them empty: source, idx, gram."""
-    w = by_source()
-    parts = [F.col("norm") if k == 0 else F.lead("norm", k).over(w) for k in range(n)]
-    named = words.withColumn("gram", F.array(*parts))
-    return named.where(F.forall("gram", lambda x: x.isNotNull() & (x != ""))).select("source", "idx", "start_ms", "gram")
-
-
-def repeats(words: DataFrame, n: int, window: int, distinct: int | None = None, drop_last: bool = False) -> DataFrame:
-    """Runs of n words said again within window words: source, idx, n, back (words since the last time).
-
-    words has norm. distinct: least number of different words. drop_last leaves out each source's very last run."""
-    found = grams(words, n)
-    if drop_last:
-        last = words.groupBy("source").agg(F.max("idx").alias("_last"))
-        found = found.join(last, "source").where(F.col("idx") < F.col("_last") - n + 1).drop("_last")
-    if distinct:
-        found = found.where(F.size(F.array_distinct("gram")) >= distinct)
-    back = F.col("idx") - F.lag("idx").over(Window.partitionBy("source", "gram").orderBy("idx"))
-    return found.withColumn("back", back).where(F.col("back") <= window).select("source", "idx", F.lit(n).cast("long").alias("n"), "back", "gram")
+def repeats(words: DataFrame, sought: list[tuple[int, int, int]], drop_last: bool = False) -> DataFrame:
+    """Runs of n normalised words said again soon after: source, idx, n, back (words since the last time).
+
+    words has norm; no word of a run is empty. sought: (n, window, distinct) for each length: the most words back, and the
+    least number of different words. drop_last leaves out each source's very last run. All lengths go through one window:
+    runs are named by two 64-bit hashes of their words, so the rows that are sorted are a few numbers each.
+    """
+    most, w = max(n for n, _, _ in sought), by_source()
+    word = F.when(F.col("norm") != "", F.xxhash64("norm"))
+    hashed = words.select("source", "idx", *(word.alias("h0") if k == 0 else F.lead(word, k).over(w).alias(f"h{k}") for k in range(most)),
+                          *([F.count(F.lit(1)).over(Window.partitionBy("source")).alias("words")] if drop_last else []))
+    runs = []
+    for n, window, distinct in sought:
+        own = [F.col(f"h{k}") for k in range(n)]
+        stands = F.size(F.array_distinct(F.array(*own))) >= distinct
+        for h in own:
+            stands = stands & h.isNotNull()
+        if drop_last:
+            stands = stands & (F.col("idx") < F.col("words") - n)
+        runs.append(F.when(stands, F.struct(F.lit(n).cast("long").alias("n"), F.lit(window).cast("long").alias("window"), F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(n), *own).alias("b"))))
+    named = hashed.select("source", "idx", F.explode(F.array_compact(F.array(*runs))).alias("run")).select("source", "idx", "run.*")
+    before = F.lag("idx").over(Window.partitionBy("source", "n", "a", "b").orderBy("idx"))
+    return named.withColumn("back", F.col("idx") - before).where(F.col("back") <= F.col("window")).select("source", "idx", "n", "back")
 
 
 def gate_repeats(words: DataFrame) -> DataFrame:
     """All lengths of the gate together."""
-    out = None
-    for n, window in GATE:
-        one = repeats(words, n, window, max(2, n - 2))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return repeats(words, [(n, window, max(2, n - 2)) for n, window in GATE])
 
 
 def spaced(hits: DataFrame, apart: int = SPACING) -> DataFrame:
     """Greedy suppression, longest run first, then earliest: a hit stands if none that stands starts within apart words.
-    Each source's hits are folded in one array; only starts that stand are compared."""
-    listed = hits.groupBy("source").agg(F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("order"), "idx"))).alias("hits"))
-    empty = F.array().cast("array<struct<n:bigint,idx:bigint>>")
-    taken = F.aggregate("hits", empty, lambda acc, h: F.when(F.exists(acc, lambda t: F.abs(t["idx"] - h["idx"]) < apart), acc).otherwise(
-        F.concat(acc, F.array(F.struct((-h["order"]).alias("n"), h["idx"].alias("idx"))))))
-    return listed.select("source", F.explode(taken).alias("h")).select("source", "h.idx", "h.n")
+
+    A source's hits are folded in order. Hits that stand are at least apart words from each other, so that a cell of so
+    many words holds one of them at most and a hit is compared with three cells only: linear in the hits."""
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        cells: dict[int, int] = {}
+        stays = []
+        for n, idx in sorted({(-n, i) for n, i in zip(part["n"].tolist(), part["idx"].tolist())}):
+            cell = idx // apart
+            if all(abs(cells.get(c, idx + apart) - idx) >= apart for c in (cell - 1, cell, cell + 1)):
+                cells[cell] = idx
+                stays.append((idx, -n))
+        return pd.DataFrame({"source": [part["source"].iloc[0]] * len(stays), "idx": [i for i, _ in stays], "n": [n for _, n in stays]})
+
+    return hits.select("source", "idx", "n").groupBy("source").applyInPandas(fold, "source long, idx long, n long")
 
 
 def gaps(words: DataFrame) -> DataFrame:

@@ -201,10 +201,11 @@ def marks(words):
     return k.select("source", (F.col("k") * 30_000).alias("t"))
 
 
-@query("asof_prev_end", f"WITH {MARKS_SQL} SELECT m.source, m.t, w.idx, w.end_ms FROM marks m ASOF LEFT JOIN words w ON m.source = w.source AND m.t >= w.end_ms")
+@query("asof_prev_end", f"WITH {MARKS_SQL} SELECT m.source, m.t, w.idx, w.end_ms FROM marks m ASOF LEFT JOIN words w ON m.source = w.source AND m.t + 10 >= w.end_ms")
 def asof_prev_end(spark, sf):
+    """The last word that ends before each mark, or up to 10 ms after it."""
     words = fx.words(spark, sf)
-    return joins.asof(marks(words), words, "t", "end_ms", ["idx", "end_ms"])
+    return joins.asof(marks(words).withColumn("to", F.col("t") + 10), words, "to", "end_ms", ["idx", "end_ms"]).select("source", "t", "idx", "end_ms")
 
 
 @query("asof_next_word", f"""WITH {MARKS_SQL}, n AS (SELECT source, count(*) AS words_n FROM words GROUP BY source)

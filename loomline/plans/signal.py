@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomline.operators import signal as sg
 from loomline.plans.registry import query
 from loomline.sources import fixtures as fx
-from loomline.sources.fixtures import FRAMES_SQL, PICTURES_SQL
+from loomline.sources.fixtures import FRAMES_SQL, KEPT_SQL, PICTURES_SQL, SOUND_SQL
 
 FLOOR_SQL = "fl AS (SELECT source, greatest(quantile_cont(level, 0.9) * 0.1, quantile_cont(level, 0.1) * 1.8) AS floor_words, greatest(quantile_cont(level, 0.9) * 0.1, quantile_cont(level, 0.2) * pow(10, 0.5)) AS floor_gaps FROM frames GROUP BY source)"
 ROUNDED = "SELECT source, round(floor_words, 6) AS floor_words, round(floor_gaps, 6) AS floor_gaps FROM fl"
@@ -69,43 +69,13 @@ def quiet_runs(spark, sf):
     return sg.true_runs(quiet_frames(spark, sf).withColumn("flag", F.col("quiet")), 2)
 
 
-@query("nearest_quiet_point", f"""WITH {QUIET_SQL}, ats AS (SELECT source, i FROM frames WHERE i % 5 = 0), n AS (SELECT a.source, a.i, arg_min(b.i, abs(b.i - a.i) * 1000000 + b.i) AS moved FROM ats a JOIN quiet b ON a.source = b.source AND b.quiet AND b.i BETWEEN a.i - 6 AND a.i + 6 GROUP BY a.source, a.i)
+@query("nearest_quiet_point", f"""WITH {QUIET_SQL}, ats AS (SELECT source, i FROM frames), n AS (SELECT a.source, a.i, arg_min(b.i, abs(b.i - a.i) * 1000000 + b.i) AS moved FROM ats a JOIN quiet b ON a.source = b.source AND b.quiet AND b.i BETWEEN a.i - 6 AND a.i + 6 GROUP BY a.source, a.i)
 SELECT a.source, a.i, coalesce(n.moved, a.i) AS moved FROM ats a LEFT JOIN n USING (source, i)""")
 def nearest_quiet_point(spark, sf):
     at = fx.frames(spark, sf).select("source", "i")
     return sg.nearest_quiet(at, quiet_frames(spark, sf), 6)
 
 
-@query("uncovered_loud_runs", f"""WITH {FRAMES_SQL}, p AS (SELECT source, quantile_cont(level, 0.5) AS mid FROM frames GROUP BY source), u AS (SELECT f.source, f.i FROM frames f JOIN p USING (source) WHERE level > mid AND i % 7 <> 0), {RUN_SQL.format('u', 'true', 3)}""")
-def uncovered_loud_runs(spark, sf):
-    """Runs of loud frames that no word covers (here every seventh frame is covered), found by an anti join."""
-    frames = fx.frames(spark, sf)
-    mid = frames.groupBy("source").agg(F.percentile("level", F.lit(0.5)).alias("mid"))
-    covered = frames.where("i % 7 = 0").select("source", "i")
-    loud = frames.join(mid, "source").where("level > mid").join(covered, ["source", "i"], "left_anti")
-    return sg.true_runs(loud.withColumn("flag", F.lit(True)), 3)
-
-
-@query("measured_extent", f"""WITH {FRAMES_SQL}, {FLOOR_SQL}, l AS (SELECT f.source, i // 20 AS word, i FROM frames f JOIN fl USING (source) WHERE level > floor_words * 3),
-g AS (SELECT source, word, i, sum(CASE WHEN p IS NULL OR i - p > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY source, word ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY source, word ORDER BY i) AS p FROM l)),
-r AS (SELECT source, word, min(i) AS a, max(i) AS b FROM g GROUP BY source, word, run)
-SELECT source, word, arg_max(a, (b - a) * 1000000000 - a) AS first, arg_max(b, (b - a) * 1000000000 - a) AS last FROM r GROUP BY source, word""")
-def measured_extent(spark, sf):
-    """For each stretch of twenty frames the longest run of loud ones, gaps of up to three bridged; the first of equals."""
-    from pyspark.sql import Window
-
-    frames = fx.frames(spark, sf)
-    p = lambda q: F.percentile("level", F.lit(q))
-    floor = frames.groupBy("source").agg((F.greatest(p(0.9) * 0.1, p(0.1) * 1.8) * 3).alias("floor"))
-    loud = frames.join(floor, "source").where("level > floor").withColumn("word", F.floor(F.col("i") / 20))
-    w = Window.partitionBy("source", "word").orderBy("i")
-    fresh = F.when(F.col("i") - F.lag("i").over(w) <= 3, 0).otherwise(1)
-    runs = loud.withColumn("_f", fresh).withColumn("run", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    each = runs.groupBy("source", "word", "run").agg(F.min("i").alias("a"), F.max("i").alias("b"))
-    best = each.groupBy("source", "word").agg(F.max(F.struct((F.col("b") - F.col("a")).alias("n"), (-F.col("a")).alias("neg"), "b")).alias("m"))
-    return best.select("source", "word", (-F.col("m.neg")).alias("first"), F.col("m.b").alias("last"))
-
-
 @query("head_tail_onset", f"""WITH {FRAMES_SQL}, p AS (SELECT source, quantile_cont(level, 0.95) AS p95, max(i) AS n FROM frames GROUP BY source)
 SELECT f.source, max(CASE WHEN i = 0 THEN level END) > any_value(p95) * pow(10, -15 / 20.0) AS head_clipped, max(CASE WHEN i = n THEN level END) > any_value(p95) * pow(10, -15 / 20.0) AS tail_clipped FROM frames f JOIN p USING (source) GROUP BY f.source""")
 def head_tail_onset(spark, sf):
@@ -116,54 +86,65 @@ def head_tail_onset(spark, sf):
     return ends.select("source", (F.col("head") > line).alias("head_clipped"), (F.col("tail") > line).alias("tail_clipped"))
 
 
-CHANGE_SQL = f"{PICTURES_SQL}, pv AS (SELECT source, sec, vec, lag(vec) OVER (PARTITION BY source ORDER BY sec) AS b FROM pictures), dd AS (SELECT source, sec, list_transform(range(1, len(vec) + 1), lambda k: abs(CAST(vec[k] AS DOUBLE) - CAST(b[k] AS DOUBLE))) AS d FROM pv WHERE b IS NOT NULL), ch AS (SELECT source, sec, CAST(len(list_filter(d, lambda x: x > 0.2)) AS BIGINT) AS changed, round(list_max(d), 6) AS largest, round(list_sum(d) / len(d), 6) AS mean FROM dd)"
+@query("cell_deviation", f"WITH {PICTURES_SQL}, c AS (SELECT source, unnest(range(0, 64)) AS cell, unnest(vec) AS v FROM pictures) SELECT source, cell, round(stddev_pop(v), 6) AS deviation FROM c GROUP BY source, cell")
+def cell_deviation(spark, sf):
+    cells = fx.pictures(spark, sf).select("source", F.posexplode("vec").alias("cell", "v"))
+    return cells.groupBy("source", F.col("cell").cast("long").alias("cell")).agg(F.round(F.stddev_pop("v"), 6).alias("deviation"))
+
+
+# A picture of 64 numbers is eight rows of eight cells; blocks are two by two, and the inset (the two lowest rows' first two
+# cells) is left out.
+BLOCKS = [[8 * (2 * r + i) + 2 * c + j for i in (0, 1) for j in (0, 1)] for r in range(4) for c in range(4)]
+INSET = (48, 49, 56, 57)
+DELTA, LIVE_CELLS = 0.2, 4
+DIFF_SQL = f"{PICTURES_SQL}, pv AS (SELECT source, sec, vec, lag(vec) OVER (PARTITION BY source ORDER BY sec) AS b FROM pictures), dd AS (SELECT source, sec, list_transform(range(1, 65), lambda k: CASE WHEN list_contains({[k + 1 for k in INSET]}, k) THEN 0.0 ELSE abs(CAST(vec[k] AS DOUBLE) - CAST(b[k] AS DOUBLE)) END) AS d FROM pv WHERE b IS NOT NULL)"
+COUNT_SQL = lambda f: "CAST(" + " + ".join(f"CAST({f.format('[' + ', '.join(f'd[{k + 1}]' for k in block) + ']')} > {DELTA} AS INTEGER)" for block in BLOCKS) + " AS BIGINT)"
+CHANGE_SQL = f"{DIFF_SQL}, ch AS (SELECT source, sec, {COUNT_SQL('list_max({})')} AS changed, {COUNT_SQL('(list_sum({}) / 4)')} AS changed_mean FROM dd)"
 
 
-@query("blocks_changed_max", f"WITH {CHANGE_SQL} SELECT source, sec, changed, largest FROM ch")
+@query("blocks_changed_max", f"WITH {CHANGE_SQL} SELECT source, sec, changed FROM ch")
 def blocks_changed_max(spark, sf):
-    return sg.changes(fx.pictures(spark, sf), 0.2).drop("mean")
+    """Blocks of which some cell changed, outside the inset."""
+    return sg.blocks_changed(fx.pictures(spark, sf), BLOCKS, INSET, DELTA).select("source", "sec", F.col("changed_max").alias("changed"))
 
 
-@query("blocks_changed_mean", f"WITH {CHANGE_SQL} SELECT source, sec, mean FROM ch")
+@query("blocks_changed_mean", f"WITH {CHANGE_SQL} SELECT source, sec, changed_mean AS changed, changed_mean > {LIVE_CELLS} AS live FROM ch")
 def blocks_changed_mean(spark, sf):
-    return sg.changes(fx.pictures(spark, sf), 0.2).select("source", "sec", "mean")
+    """Blocks whose cells changed in the mean; a second with more than four of them is live."""
+    return sg.blocks_changed(fx.pictures(spark, sf), BLOCKS, INSET, DELTA).select("source", "sec", F.col("changed_mean").alias("changed"), (F.col("changed_mean") > LIVE_CELLS).alias("live"))
 
 
-@query("live_ratio", f"WITH {CHANGE_SQL} SELECT source, CAST(sum(CASE WHEN changed > 4 THEN 1 ELSE 0 END) AS BIGINT) AS live, count(*) AS total, sum(CASE WHEN changed > 4 THEN 1 ELSE 0 END) > count(*) / 3 AS keep FROM ch GROUP BY source")
+@query("live_ratio", f"WITH {CHANGE_SQL} SELECT source, CAST(sum(CASE WHEN changed > {LIVE_CELLS} THEN 1 ELSE 0 END) AS BIGINT) AS live, count(*) AS total, sum(CASE WHEN changed > {LIVE_CELLS} THEN 1 ELSE 0 END) > count(*) / 3 AS keep FROM ch GROUP BY source")
 def live_ratio(spark, sf):
-    return sg.live_share(sg.changes(fx.pictures(spark, sf), 0.2), 4)
+    return sg.live_share(sg.blocks_changed(fx.pictures(spark, sf), BLOCKS, INSET, DELTA).withColumnRenamed("changed_max", "changed"), LIVE_CELLS)
 
 
-@query("cell_deviation", f"WITH {PICTURES_SQL}, c AS (SELECT source, unnest(range(0, 64)) AS cell, unnest(vec) AS v FROM pictures) SELECT source, cell, round(stddev_pop(v), 6) AS deviation FROM c GROUP BY source, cell")
-def cell_deviation(spark, sf):
-    cells = fx.pictures(spark, sf).select("source", F.posexplode("vec").alias("cell", "v"))
-    return cells.groupBy("source", F.col("cell").cast("long").alias("cell")).agg(F.round(F.stddev_pop("v"), 6).alias("deviation"))
+@query("silence_verdict", f"""WITH {CHANGE_SQL}, w AS (SELECT label AS source, k * 7 AS a, k * 7 + 5 + k % 4 AS b FROM (SELECT DISTINCT label FROM embeddings), range(0, 12) r(k))
+SELECT w.source, w.a, w.b, count(c.sec) AS total, CAST(coalesce(sum(CASE WHEN changed > {LIVE_CELLS} THEN 1 ELSE 0 END), 0) AS BIGINT) AS live, CASE WHEN count(c.sec) = 0 THEN 'not sampled' WHEN coalesce(sum(CASE WHEN changed > {LIVE_CELLS} THEN 1 ELSE 0 END), 0) <= count(c.sec) / 3 THEN 'dead air' ELSE 'kept' END AS verdict
+FROM w LEFT JOIN ch c ON c.source = w.source AND c.sec > w.a AND c.sec <= w.b GROUP BY w.source, w.a, w.b""")
+def silence_verdict(spark, sf):
+    """Silent windows by how many of their seconds the picture moved; a window without pictures fails too."""
+    seconds = sg.blocks_changed(fx.pictures(spark, sf), BLOCKS, INSET, DELTA)
+    labels = fx.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("source")).distinct()
+    k = labels.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
+    return sg.silence_verdicts(k.select("source", (F.col("k") * 7).alias("a"), (F.col("k") * 7 + 5 + F.col("k") % 4).alias("b")), seconds, LIVE_CELLS)
 
 
-@query("grade_rules", f"""WITH {FRAMES_SQL}, s AS (SELECT source, avg(level) AS m, (max(level) - min(level)) / 4 AS r FROM frames GROUP BY source)
-SELECT source, CAST(CASE WHEN m < 40 THEN 1.1 WHEN m > 80 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS gain, CAST(round(least(1.1, greatest(0.9, 1.0 + (60 - r) / 600)), 9) AS DOUBLE) AS contrast FROM s""")
+@query("grade_rules", f"""WITH {PICTURES_SQL}, c AS (SELECT source, unnest(vec) AS v FROM pictures), m AS (SELECT source, avg(abs(CAST(v AS DOUBLE))) * 4 AS y, (max(CAST(v AS DOUBLE)) - min(CAST(v AS DOUBLE))) * 0.8 AS r, avg(CAST(v AS DOUBLE) * CAST(v AS DOUBLE)) * 16 AS s FROM c GROUP BY source)
+SELECT source, round(greatest(0.94, least(1.08, CASE WHEN r < 0.65 THEN 1.08 - 0.05 * greatest(0.0, least(1.0, (r - 0.50) / 0.15)) ELSE 1.03 END)), 6) AS contrast,
+round(greatest(0.94, least(1.10, CASE WHEN y < 0.42 THEN 1.10 - 0.08 * greatest(0.0, least(1.0, (y - 0.30) / 0.12)) WHEN y > 0.60 THEN 0.97 ELSE 1.0 END)), 6) AS gamma,
+CAST(CASE WHEN s < 0.18 THEN 1.04 WHEN s > 0.38 THEN 0.96 ELSE 0.98 END AS DOUBLE) AS saturation FROM m""")
 def grade_rules(spark, sf):
-    """Clamped piecewise rules over a source's mean level and range."""
-    s = fx.frames(spark, sf).groupBy("source").agg(F.avg("level").alias("m"), ((F.max("level") - F.min("level")) / 4).alias("r"))
-    gain = F.when(F.col("m") < 40, 1.1).when(F.col("m") > 80, 0.9).otherwise(1.0)
-    return s.select("source", F.round(F.least(F.lit(1.2), F.greatest(F.lit(0.8), gain)), 6).alias("gain"), F.round(F.least(F.lit(1.1), F.greatest(F.lit(0.9), 1.0 + (60 - F.col("r")) / 600)), 9).alias("contrast"))
+    """Contrast, gamma and saturation by clamped piecewise rules over three means of a source's pictures."""
+    v = F.col("v").cast("double")
+    cells = fx.pictures(spark, sf).select("source", F.explode("vec").alias("v"))
+    stats = cells.groupBy("source").agg((F.avg(F.abs(v)) * 4).alias("y_mean"), ((F.max(v) - F.min(v)) * 0.8).alias("y_range"), (F.avg(v * v) * 16).alias("sat_mean"))
+    return sg.graded(stats)
 
 
-@query("sampled_reference", f"""WITH {FRAMES_SQL}, r AS (SELECT source, i // 50 AS block, least(30, count(*)) AS n, coalesce(sum(least(30, count(*))) OVER (PARTITION BY source ORDER BY i // 50 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM frames GROUP BY source, i // 50)
-SELECT f.source, count(*) AS frames, round(quantile_cont(level, 0.95), 6) AS reference FROM frames f JOIN r ON f.source = r.source AND f.i // 50 = r.block AND r.taken < 60 AND f.i % 50 < 30 GROUP BY f.source""")
+@query("sampled_reference", f"""WITH {SOUND_SQL}, {KEPT_SQL}, tk AS (SELECT *, least(900, end_ms - start_ms) AS take FROM kept WHERE end_ms - start_ms >= 500), sp AS (SELECT *, coalesce(sum(take) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span FROM tk)
+SELECT s.source, count(*) AS frames, round(quantile_cont(20 * log10(level + 1e-9), 0.95), 6) AS reference FROM sp r JOIN sound s ON s.source = r.source AND r.span < 2500 AND s.i >= r.start_ms // 20 AND s.i < (r.start_ms + take) // 20 GROUP BY s.source""")
 def sampled_reference(spark, sf):
-    """The loud level of the first sixty frames, at most thirty of each stretch."""
-    from pyspark.sql import Window
-
-    frames = fx.frames(spark, sf).withColumn("block", F.floor(F.col("i") / 50))
-    n = frames.groupBy("source", "block").agg(F.least(F.lit(30), F.count(F.lit(1))).alias("n"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    some = n.withColumn("taken", F.coalesce(F.sum("n").over(before), F.lit(0))).where("taken < 60").select("source", "block")
-    return frames.join(some, ["source", "block"]).where("i % 50 < 30").groupBy("source").agg(F.count(F.lit(1)).alias("frames"), F.round(F.percentile("level", F.lit(0.95)), 6).alias("reference"))
-
-
-@query("stream_checks", "SELECT user_id AS source, event_id, CASE WHEN value > 450 THEN 'peak' WHEN value < 1 THEN 'too low' WHEN event_type = 'error' THEN 'error' END AS failed FROM events WHERE value > 450 OR value < 1 OR event_type = 'error'")
-def stream_checks(spark, sf):
-    p = fx.points(spark, sf)
-    failed = F.when(F.col("value") > 450, "peak").when(F.col("value") < 1, "too low").when(F.col("event_type") == "error", "error")
-    return p.select("source", "event_id", failed.alias("failed")).where("failed IS NOT NULL")
+    """The speech level of a take: up to 0.9 s from each kept range of 0.5 s and more, until 2.5 s are together."""
+    sound = fx.sound(spark, sf)
+    return sg.reference_level(sound, fx.kept_ranges(sound), 900, 500, 2500)

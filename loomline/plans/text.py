@@ -47,15 +47,10 @@ def strip_marks(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", F.length(tx.strip_marks(F.col("text"))).cast("long").alias("n"))
 
 
-@query("clean_text")
-def clean_text(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.md5(tx.clean(F.col("text"))).alias("cleaned"))
-
-
 @query("time_formats", f"""WITH {WORDS_SQL} SELECT source, idx,
   printf('%02d:%02d.%02d', start_ms // 60000, start_ms // 1000 % 60, start_ms // 10 % 100) AS short,
   printf('%d:%02d:%02d.%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms // 10 % 100) AS cue,
-  printf('%02d:%02d:%02d,%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) AS srt FROM words WHERE idx % 20 = 0""")
+  printf('%02d:%02d:%02d,%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) AS srt FROM words""")
 def time_formats(spark, sf):
     w = fx.words(spark, sf)
     return w.select("source", "idx", tx.clock_short(F.col("start_ms")).alias("short"), tx.clock_cue(F.col("start_ms")).alias("cue"), tx.clock_srt(F.col("start_ms")).alias("srt"))
@@ -63,12 +58,12 @@ def time_formats(spark, sf):
 
 @query("ngram_repeats_gate", f"WITH {NORM_WORDS}, {GATE_SQL} " + " UNION ALL ".join(f"SELECT * FROM hits{n}" for n, _ in sq.GATE))
 def ngram_repeats_gate(spark, sf):
-    return sq.gate_repeats(sq.with_norm(fx.words(spark, sf))).drop("gram")
+    return sq.gate_repeats(sq.with_norm(fx.words(spark, sf)))
 
 
 @query("ngram_repeats_authoring", f"WITH {NORM_WORDS}, {repeats_sql(4, 70, 1, drop_last=True)} SELECT * FROM hits4")
 def ngram_repeats_authoring(spark, sf):
-    return sq.repeats(sq.with_norm(fx.words(spark, sf)), 4, 70, drop_last=True).drop("gram")
+    return sq.repeats(sq.with_norm(fx.words(spark, sf)), [(4, 70, 1)], drop_last=True)
 
 
 @query("ngram_repeats_greedy")
@@ -89,12 +84,6 @@ def two_word_restart(spark, sf):
     return x.where("a = c AND b = d AND a <> '' AND b <> '' AND length(a) + length(b) >= 5").select("source", "idx", "a", "b")
 
 
-@query("truncated_tokens", f"WITH {WORDS_SQL} SELECT source, idx, text FROM words WHERE contains(text, '--') OR suffix(text, '-') OR suffix(text, ',')")
-def truncated_tokens(spark, sf):
-    t = F.col("text")
-    return fx.words(spark, sf).where(t.contains("--") | t.endswith("-") | t.endswith(",")).select("source", "idx", "text")
-
-
 PAUSE_SQL = f"""{NORM_WORDS}, pz AS (SELECT source, idx, lead(start_ms) OVER w - end_ms AS gap_ms, list(norm) OVER (PARTITION BY source ORDER BY idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS l,
   list(norm) OVER (PARTITION BY source ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS r FROM nw WINDOW w AS (PARTITION BY source ORDER BY idx)), pause AS (SELECT * FROM pz WHERE gap_ms >= 800)"""
 
@@ -114,35 +103,6 @@ def restart_run(spark, sf):
     return p.select("source", "idx", sq.run_restart(F.col("left"), F.col("right")).alias("words_again")).where("words_again > 0")
 
 
-@query("restart_lcs")
-def restart_lcs(spark, sf):
-    """At least three content words in the same order before and after a pause."""
-    p = sq.around_pause(sq.with_norm(fx.words(spark, sf)), 800, 10, 10)
-    content = lambda c: F.filter(c, lambda x: F.length(x) > 3)
-    tail = p.select("source", "idx", F.reverse(F.slice(F.reverse(content(F.col("left"))), 1, 6)).alias("l"), F.slice(content(F.col("right")), 1, 6).alias("r"))
-    return tail.withColumn("n", sq.common_order_udf("l", "r")).where("n >= 3").select("source", "idx", "n")
-
-
-ACCEPT_SQL = r"""phrases AS (SELECT DISTINCT lower(regexp_replace(w, '[^\p{L}\p{N}_]', '', 'g')) AS norm FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark))"""
-
-
-@query("accepted_findings_removed", f"WITH {NORM_WORDS}, {ACCEPT_SQL} SELECT source, idx, norm FROM (SELECT *, lag(norm) OVER (PARTITION BY source ORDER BY idx) AS p FROM nw) d WHERE p = norm AND length(norm) > 2 AND NOT EXISTS (SELECT 1 FROM phrases a WHERE a.norm = d.norm)")
-def accepted_findings_removed(spark, sf):
-    """Doubled words, but for those on the accept list (here the benchmark's words)."""
-    w = sq.with_norm(fx.words(spark, sf)).withColumn("p", F.lag("norm").over(sq.by_source()))
-    found = w.where((F.col("p") == F.col("norm")) & (F.length("norm") > 2))
-    accepts = fx.table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).select(tx.norm(F.col("w")).alias("norm")).distinct()
-    return found.join(accepts, "norm", "left_anti").select("source", "idx", "norm")
-
-
-@query("accepted_gram_prefix", f"WITH {NORM_WORDS}, {GATE_SQL}, {ACCEPT_SQL}, h AS (SELECT hits3.*, n0 AS first FROM hits3 JOIN g3 USING (source, idx)) SELECT source, idx FROM h WHERE NOT EXISTS (SELECT 1 FROM phrases a WHERE a.norm = h.first)")
-def accepted_gram_prefix(spark, sf):
-    """Three-word repeats whose first word isn't on the accept list."""
-    hits = sq.repeats(sq.with_norm(fx.words(spark, sf)), 3, 8, 2).withColumn("norm", F.col("gram")[0])
-    accepts = fx.table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).select(tx.norm(F.col("w")).alias("norm")).distinct()
-    return hits.join(accepts, "norm", "left_anti").select("source", "idx")
-
-
 @query("context_window", f"WITH {WORDS_SQL} SELECT source, idx, context FROM (SELECT source, idx, text, string_agg(text, ' ') OVER (PARTITION BY source ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 13 FOLLOWING) AS context FROM words) WHERE length(text) > 20")
 def context_window(spark, sf):
     w = fx.words(spark, sf).withColumn("context", sq.context(None, 12, 13))
@@ -162,18 +122,7 @@ def gap_report(spark, sf):
     return g.groupBy("source").agg(F.count(F.lit(1)).alias("gaps"), F.sum("gap_ms").alias("total_ms"), F.max("gap_ms").alias("longest_ms"))
 
 
-@query("gap_cuts_emit", f"""WITH {WORDS_SQL}, g AS (SELECT source, idx, end_ms AS s, lead(start_ms) OVER (PARTITION BY source ORDER BY idx) AS e FROM words),
-k AS (SELECT source, idx, s, e, (s + e) // 2 - 200 AS ks FROM g WHERE e - s > 800)
-SELECT source, idx, 'head' AS part, s AS start_ms, ks AS end_ms FROM k UNION ALL SELECT source, idx, 'tail', ks + 400, e FROM k""")
-def gap_cuts_emit(spark, sf):
-    """Each long gap keeps 400 ms in its middle; what lies before and after is cut."""
-    g = fx.words(spark, sf).withColumn("e", F.lead("start_ms").over(sq.by_source())).where("e - end_ms > 800")
-    ks = F.floor((F.col("end_ms") + F.col("e")) / 2) - 200
-    parts = F.explode(F.array(F.struct(F.lit("head").alias("part"), F.col("end_ms").alias("start_ms"), ks.alias("end_ms")), F.struct(F.lit("tail").alias("part"), (ks + 400).alias("start_ms"), F.col("e").alias("end_ms"))))
-    return g.select("source", "idx", parts.alias("x")).select("source", "idx", "x.*")
-
-
-@query("token_frequency_first_seen", r"""WITH t AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{12,}')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z]{12,}'), 1) AS i FROM documents))
+@query("token_frequency_first_seen", r"""WITH t AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9._-]*')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9._-]*'), 1) AS i FROM documents))
 SELECT w AS token, count(*) AS n, min(doc_id * 1000000 + i - 1) AS first_at, list_sort(list(doc_id * 1000000 + i - 1))[1:8] AS firsts FROM t GROUP BY w""")
 def token_frequency_first_seen(spark, sf):
     """Latin tokens: how often, where first, and the first eight places. Each task passes on a count and eight places a
@@ -220,18 +169,6 @@ def prose_lines(spark, sf):
     return sq.grouped(fx.words(spark, sf), sq.stop_prose)
 
 
-CHECKS = {"double dash": "contains(text, '--')", "lone letter at the end": r"regexp_matches(text, ' [A-Za-z]$')", "trailing comma": r"regexp_matches(text, '[,;:]$')", "mark only": r"NOT regexp_matches(text, '[\p{L}\p{N}]')", "too long": "length(text) > 200"}
-CHECK_LINES = "lines AS (SELECT doc_id, i - 1 AS line, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
-
-
-@query("caption_checks", f"WITH {CHECK_LINES} " + " UNION ALL ".join(f"SELECT doc_id, line, '{k}' AS failed FROM lines WHERE {v}" for k, v in CHECKS.items()))
-def caption_checks(spark, sf):
-    from loomline.operators.gates import findings
-
-    lines = fx.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
-    return findings(lines, {k: v.replace("regexp_matches(", "regexp(").replace(r"\p", r"\\p") for k, v in CHECKS.items()}, ["doc_id", "line"])
-
-
 @query("markup_parse", r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, length(html) AS n_chars, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
 def markup_parse(spark, sf):
     p = fx.table(spark, sf, "pages")
@@ -248,45 +185,9 @@ def verdict_merge(spark, sf):
     return d.select("doc_id", F.when(F.col("known").isNull(), "not verified").when(F.col("quality") == 0, "adjust").otherwise("keep").alias("verdict"))
 
 
-TOPIC_SQL = r"""a AS (SELECT doc_id, list_distinct(list_transform(string_split(text, ' ')[1:40], lambda x: lower(x))) AS ws FROM documents), c AS (SELECT item_id, list_distinct(list_transform(string_split(text, ' '), lambda x: lower(x))) AS ws FROM benchmark WHERE item_id < 20)"""
-
-
-@query("topic_overlap_suppression", f"WITH {TOPIC_SQL} SELECT doc_id FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE len(list_intersect(a.ws, c.ws)) >= 6)")
-def topic_overlap_suppression(spark, sf):
-    """Cues (here whole documents) that share six words or more with a card are dropped. Words meet by an equi-join on
-    the word, not by pairing every cue with every card; texts are dealt by document before they are split, so counting
-    a document's words by card needs no further exchange."""
-    low = lambda c: F.array_distinct(F.transform(c, lambda x: F.lower(x)))
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
-    cues_ = docs.select("doc_id", F.explode(low(F.split("text", " "))).alias("w"))
-    cards = fx.table(spark, sf, "benchmark").select("item_id", F.explode(low(F.split("text", " "))).alias("w"))
-    hit = cues_.join(cards, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 6")
-    return fx.table(spark, sf, "documents").select("doc_id").join(hit, "doc_id", "left_anti")
-
-
 @query("zero_length_repair", f"""WITH {WORDS_SQL}, z AS (SELECT source, idx, start_ms, CASE WHEN idx % 7 = 0 THEN start_ms ELSE end_ms END AS end_ms, lead(start_ms) OVER (PARTITION BY source ORDER BY idx) AS nx FROM words)
 SELECT source, idx, CASE WHEN end_ms <= start_ms THEN greatest(start_ms + 20, least(start_ms + 40, coalesce(nx, start_ms + 40))) ELSE end_ms END AS end_ms FROM z""")
 def zero_length_repair(spark, sf):
     w = fx.words(spark, sf).select("source", "idx", "start_ms", F.when(F.col("idx") % 7 == 0, F.col("start_ms")).otherwise(F.col("end_ms")).alias("end_ms"), F.lead("start_ms").over(sq.by_source()).alias("nx"))
     fixed = F.greatest(F.col("start_ms") + 20, F.least(F.col("start_ms") + 40, F.coalesce("nx", F.col("start_ms") + 40)))
     return w.select("source", "idx", F.when(F.col("end_ms") <= F.col("start_ms"), fixed).otherwise(F.col("end_ms")).alias("end_ms"))
-
-
-@query("edge_from_words", f"""WITH {WORDS_SQL}, e AS (SELECT *, lag(end_ms) OVER w AS pe, lead(start_ms) OVER w AS ns FROM words WINDOW w AS (PARTITION BY source ORDER BY idx))
-SELECT source, idx, greatest(coalesce(pe + least(30, (start_ms - pe) // 2), 0), start_ms - 120) AS a, least(coalesce(ns - least(30, (ns - end_ms) // 2), end_ms + 120), end_ms + 120) AS b FROM e WHERE idx % 10 = 3""")
-def edge_from_words(spark, sf):
-    """Where to cut one word out: close to it, and clear of its neighbours."""
-    w = sq.by_source()
-    e = fx.words(spark, sf).withColumns({"pe": F.lag("end_ms").over(w), "ns": F.lead("start_ms").over(w)})
-    a = F.greatest(F.coalesce(F.col("pe") + F.least(F.lit(30), F.floor((F.col("start_ms") - F.col("pe")) / 2)), F.lit(0)), F.col("start_ms") - 120)
-    b = F.least(F.coalesce(F.col("ns") - F.least(F.lit(30), F.floor((F.col("ns") - F.col("end_ms")) / 2)), F.col("end_ms") + 120), F.col("end_ms") + 120)
-    return e.select("source", "idx", a.alias("a"), b.alias("b"))
-
-
-@query("caption_file_parse", r"""WITH l AS (SELECT page_id, i - 1 AS line, ls[i] AS raw FROM (SELECT page_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT page_id, string_split(html, '>') AS ls FROM pages)))
-SELECT page_id, line, string_split(raw, ' ')[1] AS head, len(string_split(raw, ' ')) >= 10 AS complete FROM l WHERE raw <> ''""")
-def caption_file_parse(spark, sf):
-    """Rows of delimited fields: the first field, and whether there are ten."""
-    lines = fx.table(spark, sf, "pages").select("page_id", F.posexplode(F.split("html", ">")).alias("line", "raw")).where("raw <> ''")
-    fields = F.split("raw", " ")
-    return lines.select("page_id", F.col("line").cast("long").alias("line"), fields[0].alias("head"), (F.size(fields) >= 10).alias("complete"))

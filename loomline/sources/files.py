@@ -69,16 +69,22 @@ def accept_list(path: str) -> list[dict]:
     return found
 
 
-def captions(spark: SparkSession, path: str) -> DataFrame:
-    """Dialogue rows of caption files: file, start_ms, end_ms, text, complete (ten fields)."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value").where(F.col("value").startswith("Dialogue:"))
+def dialogue_fields(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Dialogue rows (value) as keys, start_ms, end_ms, text and complete: whether there are ten fields, the text being all
+    that follows the ninth comma."""
     f = F.split(F.regexp_replace("value", "^Dialogue: *", ""), ",", 10)
 
     def at(c: Column) -> Column:
         p = F.split(c, "[:.]")
         return (((F.try_element_at(p, F.lit(1)).cast("long") * 60 + F.try_element_at(p, F.lit(2)).cast("long")) * 60 + F.try_element_at(p, F.lit(3)).cast("long")) * 1000 + F.try_element_at(p, F.lit(4)).cast("long") * 10)
 
-    return lines.select("file", at(F.get(f, 1)).alias("start_ms"), at(F.get(f, 2)).alias("end_ms"), F.get(f, 9).alias("text"), (F.size(f) == 10).alias("complete"))
+    return lines.select(*keys, at(F.get(f, 1)).alias("start_ms"), at(F.get(f, 2)).alias("end_ms"), F.get(f, 9).alias("text"), (F.size(f) == 10).alias("complete"))
+
+
+def captions(spark: SparkSession, path: str) -> DataFrame:
+    """Dialogue rows of caption files: file, start_ms, end_ms, text, complete (ten fields)."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value").where(F.col("value").startswith("Dialogue:"))
+    return dialogue_fields(lines, ["file"])
 
 
 def interval_rows(lines: DataFrame) -> DataFrame:
@@ -113,3 +119,75 @@ def dialogue_lines(cues: DataFrame) -> DataFrame:
 def srt_entries(cues: DataFrame) -> DataFrame:
     counter = F.row_number().over(Window.partitionBy("source").orderBy("seq"))
     return cues.select("source", "seq", F.format_string("%d\n%s --> %s\n%s\n", counter, clock_srt(F.col("start_ms")), clock_srt(F.col("end_ms")), F.col("text")).alias("value"))
+
+
+def stamp(text: Column, name: str) -> Column:
+    """A number that a caption file's header carries under that name; null if it has none."""
+    return F.nullif(F.regexp_extract(text, rf"(?m)^;\s*{name}:\s*([\d.]+)", 1), F.lit("")).cast("double")
+
+
+def config(path: str) -> dict:
+    """A project's settings, read on the driver: a missing file is empty, a broken one is an error."""
+    file = Path(path)
+    found = json.loads(file.read_text()) if file.exists() else {}
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} must hold one JSON object")
+    return found
+
+
+def wait_cuts(lines: DataFrame) -> DataFrame:
+    """value: rows of a pause-cut table as text, (start, end, 'reason', ..) in seconds; those whose reason names a wait."""
+    pattern = r"\(\s*([\d.]+),\s*([\d.]+),\s*'[^']*?[\d.]+s wait"
+    found = lines.where(F.col("value").rlike(pattern))
+    return found.select(*(ms(F.regexp_extract("value", pattern, i).cast("double")).alias(n) for i, n in ((1, "start_ms"), (2, "end_ms"))))
+
+
+def pause_cut_lines(cuts: DataFrame) -> DataFrame:
+    """pause cuts (source, start_ms, end_ms, why) as rows of a table in seconds: source, start_ms, value."""
+    value = F.format_string("    (%8.2f, %8.2f, '%s', 0.0, False, False),", F.col("start_ms") / 1000.0, F.col("end_ms") / 1000.0, "why")
+    return cuts.select("source", "start_ms", value.alias("value"))
+
+
+#: Endings of recordings, the one that is taken first.
+ENDINGS = (".mov", ".mp4")
+
+
+def recordings(folder: str) -> dict[str, str]:
+    """take -> file of a project's recordings: names that begin with take, the first ending of ENDINGS where there are two."""
+    found: dict[str, str] = {}
+    rank = lambda f: (ENDINGS.index(f.suffix.lower()), f.suffix.islower() is False)
+    for file in sorted((f for f in Path(folder).glob("take*") if f.suffix.lower() in ENDINGS), key=rank):
+        found.setdefault(file.stem, str(file))
+    return dict(sorted(found.items()))
+
+
+def caption_header(title: str, total_ms: int, fps: float, settings: dict) -> str:
+    """What stands before a caption file's rows: the grid they were laid on, the picture's size and the style."""
+    c = {"play_w": 3840, "play_h": 2160, "font": "Arial", "font_size": 96, "outline": 5, "shadow": 0, "margin_h": 200, "margin_v": 120} | settings
+    style = f"Cap,{c['font']},{c['font_size']},&H00FFFFFF,&H00FFFFFF,&H00101010,&H80000000,0,0,0,0,100,100,0,0,1,{c['outline']},{c['shadow']},2,{c['margin_h']},{c['margin_h']},{c['margin_v']},1"
+    return "\n".join(["[Script Info]", f"Title: {title} captions", f"; grid-offset-total: {total_ms / 1000:.6f}", f"; grid-fps: {fps:g}", "ScriptType: v4.00+", "WrapStyle: 0", "ScaledBorderAndShadow: yes",
+                      f"PlayResX: {c['play_w']}", f"PlayResY: {c['play_h']}", "", "[V4+ Styles]",
+                      "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding",
+                      f"Style: {style}", "", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text", ""])
+
+
+def caption_style(lines: DataFrame) -> DataFrame:
+    """The picture's size and the style of a caption file: file, play_w, play_h, font, font_size, margin_v."""
+    v, style = F.col("value"), F.split(F.regexp_replace("value", "^Style: *", ""), ",")
+    number = lambda name: F.max(F.when(v.startswith(f"{name}:"), F.regexp_extract(v, r":\s*(\d+)", 1).cast("long")))
+    is_style = v.startswith("Style: ")
+    return lines.groupBy("file").agg(number("PlayResX").alias("play_w"), number("PlayResY").alias("play_h"), F.max(F.when(is_style, F.get(style, 1))).alias("font"),
+                                     F.max(F.when(is_style, F.get(style, 2).cast("long"))).alias("font_size"), F.max(F.when(is_style, F.get(style, 21).cast("long"))).alias("margin_v"))
+
+
+#: The grades that have a name.
+GRADES = {"subtle": "eq=contrast=1.03:saturation=0.98", "neutral_punch": "eq=contrast=1.06:brightness=0.0:saturation=1.0,curves=master='0/0 0.25/0.23 0.75/0.77 1/1'", "none": ""}
+AUTO = "__AUTO__"
+
+
+def grade_of(grade: Column, named: dict[str, str] | None = None) -> Column:
+    """A grade as a filter: a name becomes its filter, "auto" is left for later, anything else is a filter as it stands."""
+    names = GRADES if named is None else named
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair)) if names else F.create_map(F.lit(""), F.lit(""))
+    text = F.coalesce(grade, F.lit(""))
+    return F.when(text == "auto", AUTO).when(text.rlike(r"^[a-zA-Z0-9_\-]+$"), F.coalesce(F.try_element_at(known, text), text)).otherwise(text)

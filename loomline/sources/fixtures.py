@@ -73,7 +73,52 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("source"), (F.row_number().over(order) - 1).cast("long").alias("sec"), F.col("embedding").alias("vec"))
 
 
+def sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings: the order lines of a supplier as 20 ms frames with a level and a number; two stretches of forty frames
+    in three are loud."""
+    order = Window.partitionBy("source").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").withColumn("source", F.col("l_suppkey"))
+    frames_ = lines.select("source", (F.row_number().over(order) - 1).cast("long").alias("i"), F.col("l_partkey").alias("k"), "l_extendedprice")
+    loud = F.when(F.floor(F.col("i") / 40) % 3 == 0, 2e7).otherwise(2e5)
+    return frames_.select("source", "i", "k", (F.col("l_extendedprice") / loud).alias("level"))
+
+
+def spoken(sound_: DataFrame) -> DataFrame:
+    """Words of the recordings, one in twelve loud frames unless its number is a multiple of seven, and none in two of five
+    stretches of 120 frames: text, the measured extent start_ms to end_ms and the logged one."""
+    w = sound_.where("i % 12 = 0 AND floor(i / 40) % 3 <> 0 AND k % 7 <> 0 AND floor(i / 120) % 5 NOT IN (2, 3)")
+    start = F.col("i") * 20 + F.col("k") % 40
+    w = w.withColumns({"start_ms": start, "end_ms": start + 90 + F.col("k") % 110})
+    return w.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("i")) - 1).cast("long").alias("idx"), "k", F.concat(F.lit("w"), (F.col("k") % 50).cast("string")).alias("text"),
+                    "start_ms", "end_ms", (F.col("start_ms") - F.col("k") % 3 * 20).alias("logged_start"), (F.col("end_ms") + F.col("k") % 5 * 30).alias("logged_end"))
+
+
+def authored(spoken_: DataFrame) -> DataFrame:
+    """Cuts as an editor writes them, one for each word whose number leaves 1 modulo 6: from a to b, how much of the tail
+    to keep, and which edges may be refined."""
+    k = F.col("k")
+    return spoken_.where(k % 6 == 1).select("source", F.col("idx").alias("id"), (F.col("start_ms") - 15).alias("a"), (F.col("end_ms") + 35 + k % 3 * 40).alias("b"),
+                                            (k % 2 * 50).alias("keep_tail"), (k % 4 != 0).alias("refine_start"), (k % 5 != 0).alias("refine_end"))
+
+
+def kept_ranges(sound_: DataFrame) -> DataFrame:
+    """What an edit keeps of the recordings: of each three seconds the first 2,450 ms."""
+    ends = sound_.groupBy("source").agg(((F.max("i") + 1) * 20).alias("hi"))
+    k = ends.withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - 1) / 3000))))
+    return k.select("source", "seq", (F.col("seq") * 3000).alias("start_ms"), F.least(F.col("seq") * 3000 + 2450, F.col("hi")).alias("end_ms"))
+
+
 #: The same relations as SQL, for the oracles.
+SOUND_SQL = """snd AS (SELECT l_suppkey AS source, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i, l_partkey AS k, l_extendedprice AS v FROM lineitem),
+sound AS (SELECT source, i, k, v / CASE WHEN (i // 40) % 3 = 0 THEN 2e7 ELSE 2e5 END AS level FROM snd)"""
+SPOKEN_SQL = f"""{SOUND_SQL},
+sp0 AS (SELECT source, i, k, i * 20 + k % 40 AS start_ms FROM sound WHERE i % 12 = 0 AND (i // 40) % 3 <> 0 AND k % 7 <> 0 AND (i // 120) % 5 NOT IN (2, 3)),
+spoken AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS idx, k, 'w' || (k % 50) AS text, start_ms, start_ms + 90 + k % 110 AS end_ms,
+  start_ms - k % 3 * 20 AS logged_start, start_ms + 90 + k % 110 + k % 5 * 30 AS logged_end FROM sp0)"""
+AUTHORED_SQL = f"""{SPOKEN_SQL},
+authored AS (SELECT source, idx AS id, start_ms - 15 AS a, end_ms + 35 + k % 3 * 40 AS b, k % 2 * 50 AS keep_tail, k % 4 <> 0 AS refine_start, k % 5 <> 0 AS refine_end FROM spoken WHERE k % 6 = 1)"""
+KEPT_SQL = """ke AS (SELECT source, (max(i) + 1) * 20 AS hi FROM sound GROUP BY source),
+kept AS (SELECT source, seq, seq * 3000 AS start_ms, least(seq * 3000 + 2450, hi) AS end_ms FROM (SELECT source, hi, unnest(range(0, (hi - 1) // 3000 + 1)) AS seq FROM ke))"""
 WORDS_SQL = rf"""toks AS (SELECT doc_id AS source, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w0 AS (SELECT source, i - 1 AS idx, ws[i] AS text FROM (SELECT source, ws, unnest(range(1, len(ws) + 1)) AS i FROM toks)),
 w1 AS (SELECT *, {LETTER_MS} * length(text) + {WORD_MS} AS dur, CASE WHEN regexp_matches(text, '[.!?]$') THEN {STOP_MS} WHEN regexp_matches(text, '[,;]$') THEN {COMMA_MS} ELSE {PAUSE_MS} END AS gap FROM w0),
