@@ -1,9 +1,10 @@
 """Blocks of texts, and an exchange of sorted keys between them.
 
 A block is a few megabytes of texts in one row, so that numpy works on many texts at once. Blocks send their distinct
-keys to parts, each a range of the key space; a part sorts what it got, one part at a time, and answers every block key
-by key. Nothing but one row a block and part is shuffled, and a key that a third of all texts have comes to its part
-once from each block only.
+keys to parts, each a range of the key space; a part, one to a task, sorts what it got and answers every block key by key.
+Nothing but one row a block and part is shuffled (at most one a key, where there are more parts than a block has keys), and
+a key that a third of all texts have comes to its part once from each block only. Answers are posted to the blocks as files
+in the shared folder, so that the texts stay where they were written.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +23,8 @@ from pyspark.sql import functions as F
 from loomline.llm.shared import Scratch
 
 BLOCKS = "block long, ids array<bigint>, lens array<int>, data binary"
-#: Answers of up to so many bytes in all are broadcast to the blocks; beyond it blocks are joined to them by a shuffle.
-BROADCAST_BYTES = 64 << 20
 #: What a part sorts at once, at most, in bytes of keys.
 PART_BYTES = 16 << 20
-#: Parts that are open at a time; more of them are dealt in several passes.
-OPEN_PARTS = 16_384
 
 
 @contextmanager
@@ -80,18 +78,46 @@ def blocks(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     return scratch.keep(base.mapInArrow(lean(_pack(size)), BLOCKS), "blocks")
 
 
-def deal(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The offsets of each part's keys in sorted keys (one more than parts): equal ranges of the key space."""
-    edges = np.array([min(i * 2**64 // parts, 2**64 - 1) for i in range(1, parts)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key: equal ranges of the key space (parts under 2 ** 31), so that sorted keys have sorted parts."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def parts_for(spark: SparkSession, size: int) -> tuple[int, int]:
-    """(parts, passes) for so many bytes of keys: enough parts that none sorts more than PART_BYTES."""
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-size // PART_BYTES))
-    passes = -(-parts // OPEN_PARTS)
-    return -(-parts // passes) * passes, passes
+def by_parts(keys: np.ndarray, parts: int):
+    """(part, first, last) for each part that sorted keys fall into: as many rows as there are such parts, however many
+    parts there are."""
+    of = part_of(keys, parts)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    yield from zip(of[first].tolist(), first.tolist(), [*first[1:].tolist(), len(of)])
+
+
+def parts_for(spark: SparkSession, size: int) -> int:
+    """Enough parts for so many bytes of keys that none sorts more than PART_BYTES."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers, byte by byte of all elements, so that equal high bytes compress."""
+    out = []
+    for a in arrays:
+        raw = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+        out.append(len(raw).to_bytes(4, "little") + bytes([a.itemsize]) + len(a).to_bytes(4, "little") + raw)
+    return b"".join(out)
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(body):
+        size, item, n = int.from_bytes(body[at : at + 4], "little"), body[at + 4], int.from_bytes(body[at + 5 : at + 9], "little")
+        raw = zstandard.ZstdDecompressor().decompress(body[at + 9 : at + 9 + size], max_output_size=max(1, n * item))
+        out.append(np.frombuffer(raw, np.uint8).reshape(item, n).T.copy().view(f"<u{item}").reshape(n) if n else np.zeros(0, f"<u{item}"))
+        at += 9 + size
+    return out
+
+
+def steps(sorted_keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted unsigned numbers; np.cumsum gives them back."""
+    return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
 
 
 def lean(f):
@@ -118,15 +144,35 @@ def lean(f):
 
 
 def answered(sent: DataFrame, parts: int, answer, schema: str) -> DataFrame:
-    """Rows of sent (part, block, ...) go to their part; answer turns a task's rows into rows of the schema."""
-    return sent.repartition(parts, "part").mapInArrow(lean(answer), schema)
+    """Rows of sent (part, ...) go to their part, one part to a task; answer turns a task's rows into rows of the schema."""
+    return sent.repartitionById(parts, F.col("part").cast("int")).mapInArrow(lean(answer), schema)
+
+
+def posted(answers: DataFrame, scratch: Scratch, name: str) -> str:
+    """Writes rows for blocks (block, ..) where the tasks that hold the blocks find them: one folder for each split that the
+    blocks were made from. Blocks don't move, whatever they are sent."""
+    crated = answers.withColumn("crate", F.shiftright("block", 32)).repartition("crate")
+    crated.write.option("compression", "zstd").partitionBy("crate").parquet(scratch.path(name))
+    return scratch.path(name)
+
+
+class Mail:
+    """What was posted to blocks, read by the task that holds them, a split's blocks at a time."""
+
+    def __init__(self, path: str):
+        self.path, self.crate, self.rows = path, None, {}
 
+    def of(self, block: int) -> list[dict]:
+        if block >> 32 != self.crate:
+            from pyarrow import dataset, fs
 
-def with_answers(block_table: DataFrame, answers: DataFrame, size_column: str, columns: list[str], name: str, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Adds to each block the array of its answers (structs of part and columns); most: bytes that may be broadcast."""
-    size = answers.agg(F.sum(F.octet_length(size_column))).first()[0] or 0
-    grouped = answers.groupBy("block").agg(F.collect_list(F.struct("part", *columns)).alias(name))
-    return block_table.join(F.broadcast(grouped) if size <= most else grouped, "block", "left")
+            self.crate, self.rows = block >> 32, {}
+            store, root = fs.FileSystem.from_uri(self.path)
+            folder = f"{root}/crate={self.crate}"
+            if store.get_file_info(folder).type == fs.FileType.Directory:
+                for row in dataset.dataset(folder, filesystem=store, format="parquet").to_table().to_pylist():
+                    self.rows.setdefault(row["block"], []).append(row)
+        return self.rows.get(block, [])
 
 
 def all_rows(batches) -> dict[str, list]:

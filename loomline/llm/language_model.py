@@ -1,39 +1,44 @@
-"""LM scoring by a hierarchical Pitman-Yor model with Chinese-restaurant seating.
+"""LM scoring by a hierarchical Pitman-Yor model with Chinese-restaurant seating, sampled by Gibbs.
 
-Each word is a restaurant for the words that follow it; all of them share one parent restaurant, whose base is uniform
-over the known words and one unknown. A pair (u, w) seen c times has c customers at t tables in u's restaurant, and each
-table sends one customer to the parent. Tables are sampled by blocked Gibbs sweeps: all customers of a dish are seated
-anew, given the parent's probabilities and the restaurant's table count of the last round. The last round's samples are
-averaged in the predictive probabilities
+Each word is a restaurant for the words that follow it; all of them share one parent restaurant, whose base is uniform over
+the known words and one unknown. A pair (u, w) seen c times has c customers at t tables in u's restaurant, and each table
+sends one customer to the parent. The seating enters the probabilities by t alone, so the state is t, with the sizes of
+tables summed out: a customer of the pair sits alone with probability S(c - 1, t - 1) / S(c, t), S being the generalised
+Stirling numbers of the discount. In a sweep customers of every pair get up, one after the other, and sit down again given
+the present tables of their restaurant and the parent's; then the parent's customers do. After the burn-in each sweep gives
+a sample, and predictive probabilities
 
     P(w | u) = (c - d t + (theta + d T_u) P(w)) / (theta + c_u)
     P(w)     = (n_w - d0 t_w + (theta0 + d0 T) / (V + 1)) / (theta0 + n)
 
-so that they sum to 1 over the known words and the unknown. Discounts follow from how many pairs were seen once and twice.
+are averaged over the samples. Each sums to 1 over the known words and the unknown. Discounts follow from how many pairs
+were seen once and twice.
 
-Pairs are dealt by a hash of the whole pair, so the restaurant of a frequent word is spread over all parts; parts exchange
-sums by word. Counts are of all training tokens: nothing is pruned.
+Pairs are dealt to desks by u, those of a frequent u by the whole pair, so that no restaurant is one task's. Desks work at a
+time; between sweeps they send the tables of their pairs by word, and get back what the others' came to. A pair seen once
+has one table whatever happens: it is counted once and not sent again. Counts are of all training tokens: nothing is pruned.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.exchange import BROADCAST_BYTES, all_rows, answered, arrow_rows, blocks, deal, lean, parts_for, with_answers
+from loomline.llm.exchange import Mail, all_rows, answered, arrow_rows, blocks, by_parts, lean, pack, part_of, parts_for, posted, steps, unpack
 from loomline.llm.hashing import LOWER, U, chunks, mix, word_hashes
 from loomline.llm.shared import Scratch, tables
 
 THETA, THETA0 = 1.0, 1.0
-ROUNDS, SWEEPS, BURN_IN = 2, 4, 1
-SAMPLES = SWEEPS - BURN_IN
+#: Sweeps before the first sample, samples, and customers of a pair that get up in a sweep.
+BURN_IN, SAMPLES, MOVES = 3, 3, 8
+#: Up to so many customers S(c, t) is tabled; beyond it a customer sits alone with probability d (t - 1) / (c - 1), which S
+#: tends to, and customers that come or go do so in groups of a sixteenth of those seated.
+TABLED = 1024
 BLOCK_BYTES = 3 << 20
 #: The end of a text, a token that no word hashes to but by chance.
 END = 0x5851F42D4C957F2D
@@ -45,33 +50,6 @@ def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD
 
 
-# ---- bodies: arrays of whole numbers, compressed ----
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned numbers, byte by byte of all elements, so that equal high bytes compress."""
-    out = []
-    for a in arrays:
-        raw = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
-        out.append(len(raw).to_bytes(4, "little") + bytes([a.itemsize]) + len(a).to_bytes(4, "little") + raw)
-    return b"".join(out)
-
-
-def unpack(body: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(body):
-        size, item, n = int.from_bytes(body[at : at + 4], "little"), body[at + 4], int.from_bytes(body[at + 5 : at + 9], "little")
-        raw = zstandard.ZstdDecompressor().decompress(body[at + 9 : at + 9 + size], max_output_size=max(1, n * item))
-        out.append(np.frombuffer(raw, np.uint8).reshape(item, n).T.copy().view(f"<u{item}").reshape(n) if n else np.zeros(0, f"<u{item}"))
-        at += 9 + size
-    return out
-
-
-def steps(sorted_keys: np.ndarray) -> np.ndarray:
-    """Differences of sorted unsigned numbers; np.cumsum gives them back."""
-    return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
-
-
 def rows(found: list[tuple]) -> pa.RecordBatch:
     part, block, n, body = zip(*found) if found else ([], [], [], [])
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(n, pa.int32()), pa.array(body, pa.binary())], ["part", "block", "n", "body"])
@@ -85,6 +63,16 @@ def by_part(batches) -> dict[int, list[dict]]:
     return out
 
 
+def whole(x: np.ndarray) -> np.ndarray:
+    """Steps of sorted numbers added up again."""
+    return np.cumsum(x, dtype=np.uint64).astype(np.int64)
+
+
+def ints(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as they take."""
+    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)
+
+
 # ---- blocks ----
 
 
@@ -109,29 +97,43 @@ class Block:
         self.words, self.at = np.unique(self.tokens, return_inverse=True)
         self.at = self.at.reshape(-1)
 
-    def known(self, row, starts: dict[int, int]) -> None:
-        """Reads the answers: count and id of each distinct word (id -1 where it isn't in the training texts)."""
-        got = [(a["part"], *unpack(a["body"])) for a in sorted(row["words"] or [], key=lambda a: a["part"])]
+    def known(self, answers: list[dict], bits: int) -> None:
+        """Reads the answers: count and id of each distinct word (id -1 where it isn't in the training texts). An id is the
+        word's part and, in so many bits, its rank there."""
+        got = [(a["part"], *unpack(a["body"])) for a in sorted(answers, key=lambda a: a["part"])]
         self.count = np.concatenate([c for _, c, _ in got]).astype(np.int64) if got else np.zeros(0, np.int64)
-        self.id = np.concatenate([np.cumsum(i, dtype=np.int64) + starts[p] for p, _, i in got]) if got else np.zeros(0, np.int64)
+        self.id = np.concatenate([whole(i) + (p << bits) for p, _, i in got]) if got else np.zeros(0, np.int64)
         self.id[self.count == 0] = -1
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of known words (u << 32 | w) in order of their hash, how often they are in training texts, and
-        each token's place among them (-1: u or w isn't known)."""
+    def pairs(self, desks: int, often: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of known words (u << 32 | w), ordered by desk, with their desks, how often they are in training
+        texts, and each token's place among them (-1: u or w isn't known)."""
         w = self.id[self.at]
-        u = np.empty_like(w)
-        u[1:] = w[:-1]
-        u[self.offsets[:-1]] = self.id[np.searchsorted(self.words, U(END))] if len(self.words) else -1
-        self.u = u
+        u, cu = np.empty_like(w), np.empty_like(w)
+        end = np.searchsorted(self.words, U(END)) if len(self.words) else 0
+        before = np.empty(len(w), np.int64)
+        before[1:] = self.at[:-1]
+        before[self.offsets[:-1]] = end
+        u, cu = self.id[before], self.count[before]
+        self.before = before
         both = (u >= 0) & (w >= 0)
-        hashed = mix((u[both].astype(np.uint64) << U(32)) | w[both].astype(np.uint64), 31)
-        own, first, back = np.unique(hashed, return_index=True, return_inverse=True)
-        count = np.bincount(back.reshape(-1), self.train[both], len(own)).astype(np.int64)
+        keys, first, back = np.unique((u[both].astype(np.uint64) << U(32)) | w[both].astype(np.uint64), return_index=True, return_inverse=True)
+        count = np.bincount(back.reshape(-1), self.train[both], len(keys)).astype(np.int64)
+        # The restaurant of a frequent word is spread over all desks.
+        desk = part_of(mix(np.where(cu[both][first] > often, keys, keys >> U(32)), 31), desks)
+        order = np.argsort(desk, kind="stable")
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
         place = np.full(len(w), -1, np.int64)
-        place[both] = back.reshape(-1)
-        keys = (u[both][first].astype(np.uint64) << U(32)) | w[both][first].astype(np.uint64)
-        return own, keys, count, place
+        place[both] = rank[back.reshape(-1)]
+        self.context_known = u >= 0
+        return keys[order], desk[order], count[order], place
+
+
+def runs_of(sorted_parts: np.ndarray):
+    """(part, first, last) of each run of equal numbers."""
+    first = np.flatnonzero(np.diff(sorted_parts, prepend=-1))
+    yield from zip(sorted_parts[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_parts)])
 
 
 def _send_words(parts: int):
@@ -140,14 +142,13 @@ def _send_words(parts: int):
             for row in batch.to_pylist():
                 b = Block(row)
                 count = np.bincount(b.at, b.train, len(b.words)).astype(np.uint32)
-                cut = deal(b.words, parts)
-                yield rows([(p, row["block"], int(e - s), pack(steps(b.words[s:e]), count[s:e])) for p, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s])
+                yield rows([(p, row["block"], e - s, pack(steps(b.words[s:e]), count[s:e])) for p, s, e in by_parts(b.words, parts)])
 
     return run
 
 
 def _answer_words(batches):
-    """Counts and ids within the part for each block; the part's known words and tokens as a row of block -1."""
+    """Counts and ranks within the part for each block; the part's known words and tokens as a row of block -1."""
     for p, got in by_part(batches).items():
         sent = [unpack(g["body"]) for g in got]
         keys = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in sent])
@@ -158,138 +159,218 @@ def _answer_words(batches):
         for g in got:
             own = back.reshape(-1)[at : at + g["n"]]
             at += g["n"]
-            yield rows([(p, g["block"], g["n"], pack(total[own].astype(np.uint64), steps(ids[own].astype(np.uint32))))])
-        yield rows([(p, -1, int((total > 0).sum()), pack(total[total > 0].astype(np.uint64)))])
+            yield rows([(p, g["block"], g["n"], pack(ints(total[own]), steps(ids[own].astype(np.uint32))))])
+        yield rows([(p, -1, int((total > 0).sum()), int(total.sum()).to_bytes(8, "little"))])
+
 
+class Sizes:
+    """What the tasks of a run share."""
 
-def _send_pairs(parts: int, starts: dict[int, int]):
+    def __init__(self, words: int, tokens: int, bits: int, word_parts: int, desks: int):
+        self.words, self.tokens, self.bits, self.word_parts, self.desks = words, tokens, bits, word_parts, desks
+        self.often = tokens / (4 * desks)
+
+
+def _send_pairs(sizes: Sizes, mail: str):
     def run(batches):
+        box = Mail(mail)
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                b.known(row, starts)
-                hashed, keys, count, _ = b.pairs()
-                cut = deal(hashed, parts)
-                out = []
-                for p, (s, e) in enumerate(zip(cut[:-1], cut[1:])):
-                    if e > s:
-                        order = np.argsort(keys[s:e])
-                        out.append((p, row["block"], int(e - s), pack(steps(keys[s:e][order]), count[s:e][order].astype(np.uint32))))
-                yield rows(out)
+                b.known(box.of(row["block"]), sizes.bits)
+                keys, desk, count, _ = b.pairs(sizes.desks, sizes.often)
+                yield rows([(p, row["block"], e - s, pack(steps(keys[s:e]), ints(count[s:e]))) for p, s, e in runs_of(desk)])
 
     return run
 
 
-DESK = "part int, state binary, asked array<struct<block: bigint, n: int, body: binary>>, once long, twice long"
+DESK = "part int, state binary, fixed binary, counts binary, asked array<struct<block: bigint, n: int, body: binary>>, once long, twice long"
+ASKED = pa.list_(pa.struct([("block", pa.int64()), ("n", pa.int32()), ("body", pa.binary())]))
 
 
 def _desks(batches):
-    """One row for each part: its training pairs with their counts, and what the blocks asked for."""
+    """One row for each desk. state: its training pairs seen twice or more, with counts and one table each. fixed: how often
+    each word is u, and w, of a pair seen once. counts, of all pairs that were sent, and where those of each block are."""
     for p, got in by_part(batches).items():
         sent = [unpack(g["body"]) for g in got]
         keys = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in sent])
         pairs, back = np.unique(keys, return_inverse=True)
         total = np.bincount(back.reshape(-1), np.concatenate([c for _, c in sent]), len(pairs)).astype(np.int64)
-        seen = total > 0
-        state = pack(steps(pairs[seen]), total[seen].astype(np.uint64))
-        asked = [{"block": g["block"], "n": g["n"], "body": pack(steps(np.cumsum(k, dtype=np.uint64)))} for g, (k, _) in zip(got, sent)]
-        once, twice = int((total == 1).sum()), int((total == 2).sum())
-        schema = pa.struct([("block", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([state], pa.binary()), pa.array([asked], pa.list_(schema)), pa.array([once], pa.int64()), pa.array([twice], pa.int64())],
-                                         ["part", "state", "asked", "once", "twice"])
+        many, one = total > 1, pairs[total == 1]
+        us, tu = np.unique(one >> U(32), return_counts=True)
+        ws, tw = np.unique(one & U(0xFFFFFFFF), return_counts=True)
+        state = pack(steps(pairs[many]), ints(total[many]), np.ones(int(many.sum()), np.uint32))
+        fixed = pack(steps(us), ints(tu), steps(ws), ints(tw))
+        asked, at = [], 0
+        for g in got:
+            asked.append({"block": g["block"], "n": g["n"], "body": pack(steps(back.reshape(-1)[at : at + g["n"]].astype(np.uint32)))})
+            at += g["n"]
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([state], pa.binary()), pa.array([fixed], pa.binary()), pa.array([pack(ints(total))], pa.binary()), pa.array([asked], ASKED),
+                                          pa.array([len(one)], pa.int64()), pa.array([int((total == 2).sum())], pa.int64())], ["part", "state", "fixed", "counts", "asked", "once", "twice"])
 
 
 # ---- seating ----
 
 
-def seat(c: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after c customers of one dish sat down; fresh: the weight of a new table. Beyond the 64th customer they
-    come in groups of a sixteenth of those seated, which share the probability of a new table."""
-    order = np.argsort(-c)
-    c, fresh = c[order], fresh[order]
-    t = np.minimum(c, 1).astype(np.float64)
-    k = 1
-    while True:
-        n = int(np.searchsorted(-c, -k))  # the first n have a customer left to seat
-        if not n:
-            break
-        step = max(1, k // 16) if k > 64 else 1
-        chance = fresh[:n] / (fresh[:n] + np.maximum(k - d * t[:n], 1e-9))
-        t[:n] += rng.random(n) < chance if step == 1 else rng.binomial(np.minimum(c[:n] - k, step), chance)
-        k += step
-    out = np.empty(len(c), np.int64)
-    out[order] = t.astype(np.int64)
+@lru_cache(maxsize=4)
+def alone_table(d: float, most: int = TABLED) -> np.ndarray:
+    """For c customers at t tables (row c, column t) the probability that a given one sits alone."""
+    s = np.full((most + 1, most + 1), -np.inf)
+    s[1, 1] = 0.0
+    t = np.arange(most + 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for c in range(2, most + 1):
+            stay = np.log(np.maximum(c - 1 - d * t[1:c], 0)) + s[c - 1, 1:c]
+            s[c, 1:c] = np.logaddexp(stay, s[c - 1, : c - 1])
+            s[c, c] = s[c - 1, c - 1]
+        out = np.zeros((most + 1, most + 1), np.float32)
+        out[1:, 1:] = np.nan_to_num(np.exp(s[:-1, :-1] - s[1:, 1:]), nan=0.0)
+    out[1, 1] = 1.0
     return out
 
 
-def _tables(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A desk's pairs, counts and tables in samples (SAMPLES for each table)."""
-    steps_, c = unpack(row["state"])
-    t = np.full(len(c), SAMPLES, np.int64)
-    if row["tables"]:
-        t[c > 1] = unpack(row["tables"])[0].astype(np.int64)
-    return np.cumsum(steps_, dtype=np.uint64), c.astype(np.int64), t
-
+def alone(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    few = c <= TABLED
+    p = np.where(few, 0.0, d * (t - 1) / np.maximum(c - 1, 1))
+    p[few] = alone_table(d)[c[few], t[few]]
+    return p
+
+
+def joined(c: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables after c customers of a dish sat down one after the other; fresh: the weight of a new table."""
+    return moved(np.minimum(c, 1), np.minimum(c, 1), c, fresh, d, rng)
+
+
+def moved(n: np.ndarray, t: np.ndarray, to: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables when a dish's customers go from n at t tables to so many: one after the other, in groups beyond TABLED."""
+    n, t = n.astype(np.int64).copy(), t.astype(np.int64).copy()
+    todo = np.flatnonzero(n != to)
+    while len(todo):
+        a, b, k = n[todo], to[todo], t[todo]
+        step = np.minimum(np.abs(b - a), np.where(a > TABLED, a // 16, 1))
+        up = b > a
+        chance = np.where(up, fresh[todo] / (fresh[todo] + np.maximum(a - d * k, 0)), 0.0)
+        chance[~up] = alone(a[~up], k[~up], d)
+        change = rng.binomial(step, np.clip(np.where(a == 0, 1.0, chance), 0.0, 1.0))
+        n[todo] = np.where(up, a + step, a - step)
+        # A dish with customers has a table, and not more tables than customers.
+        t[todo] = np.clip(np.where(up, k + change, k - change), np.minimum(n[todo], 1), n[todo])
+        todo = todo[n[todo] != to[todo]]
+    return t
+
+
+def sat_again(c: np.ndarray, t: np.ndarray, fresh, d: float, moves: int, rng: np.random.Generator, changed=None) -> np.ndarray:
+    """moves times a customer of each dish gets up and sits down again. fresh(): the weights of a new table just then;
+    changed(by): what to do when a dish's tables have changed by so many."""
+    t = t.astype(np.int64).copy()
+    for _ in range(moves if len(c) else 0):
+        gone = rng.random(len(c)) < alone(c, t, d)
+        t -= gone
+        if changed is not None:
+            changed(-gone.astype(np.int64))
+        new = fresh()
+        come = rng.random(len(c)) * (new + np.maximum(c - 1 - d * t, 0)) < new
+        come = (come | (t == 0)) & (c > 0)
+        t += come
+        if changed is not None:
+            changed(come.astype(np.int64))
+    return t
+
+
+def by_word(keys: np.ndarray) -> tuple:
+    """The distinct words of pairs as u and as w, and each pair's place among them."""
+    us, ub = np.unique(keys >> U(32), return_inverse=True)
+    ws, wb = np.unique(keys & U(0xFFFFFFFF), return_inverse=True)
+    return us, ub.reshape(-1), ws, wb.reshape(-1)
+
+
+def letters(part: int, us, tu, ws, tw, sizes: Sizes) -> list[tuple]:
+    """Rows to the word parts with sums by u and by w."""
+    pu, pw = (us >> U(sizes.bits)).astype(np.int64), (ws >> U(sizes.bits)).astype(np.int64)
+    at_u, at_w = ({p: (s, e) for p, s, e in runs_of(x)} for x in (pu, pw))
+    out = []
+    for p in sorted(at_u.keys() | at_w.keys()):
+        (a, b), (c, e) = at_u.get(p, (0, 0)), at_w.get(p, (0, 0))
+        out.append((p, part, b - a, pack(steps(us[a:b].astype(np.uint64)), ints(tu[a:b]), steps(ws[c:e].astype(np.uint64)), ints(tw[c:e]))))
+    return out
 
-def _by_word(keys: np.ndarray) -> tuple:
-    """The distinct words of a desk's pairs as u and as w, and each pair's place among them."""
-    return *np.unique(keys >> U(32), return_inverse=True), *np.unique(keys & U(0xFFFFFFFF), return_inverse=True)
 
+def _send_fixed(sizes: Sizes):
+    def run(batches):
+        for batch in batches:
+            for row in batch.select(["part", "fixed"]).to_pylist():
+                us, tu, ws, tw = unpack(row["fixed"])
+                yield rows(letters(row["part"], np.cumsum(us, dtype=np.uint64), tu.astype(np.int64), np.cumsum(ws, dtype=np.uint64), tw.astype(np.int64), sizes))
 
-def _word_parts(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.searchsorted(ids, edges), [len(ids)]])
+    return run
 
 
-def _send_sums(parts: int, edges: np.ndarray):
-    """To each word part the desk's tables by word: in its restaurant, and in the parent."""
+def _send_sums(sizes: Sizes):
+    """The tables of a desk's pairs by u and by w."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, _, t = _tables(row)
-                us, ub, ws, wb = _by_word(keys)
-                tu, tw = (np.bincount(b.reshape(-1), t, len(x)).astype(np.uint64) for x, b in ((us, ub), (ws, wb)))
-                cu, cw = _word_parts(us, edges), _word_parts(ws, edges)
-                yield rows([(p, row["part"], 0, pack(steps(us[cu[p] : cu[p + 1]]), tu[cu[p] : cu[p + 1]], steps(ws[cw[p] : cw[p + 1]]), tw[cw[p] : cw[p + 1]]))
-                            for p in range(parts) if cu[p + 1] > cu[p] or cw[p + 1] > cw[p]])
+            for row in batch.select(["part", "state"]).to_pylist():
+                keys, _, t = unpack(row["state"])[:3]
+                us, ub, ws, wb = by_word(np.cumsum(keys, dtype=np.uint64))
+                yield rows(letters(row["part"], us, np.bincount(ub, t, len(us)).astype(np.int64), ws, np.bincount(wb, t, len(ws)).astype(np.int64), sizes))
 
     return run
 
 
-WORDS = "part int, n int, body binary, customers long, once long, twice long"
+WORDS = "part int, block long, n int, body binary, customers long, tables long, once long, twice long"
+WORD_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+WORD_NAMES = ["part", "block", "n", "body", "customers", "tables", "once", "twice"]
+
+
+def word_row(p: int, block: int, n: int, body: bytes, customers: int = 0, tables_: int = 0, once: int = 0, twice: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((p, block, n, body, customers, tables_, once, twice), WORD_KINDS)], WORD_NAMES)
+
+
+def summed(sent: list[dict], n: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    own, customers = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for g in sent:
+        us, tu, ws, tw = unpack(g["body"])
+        own[whole(us) - start] += tu.astype(np.int64)
+        customers[whole(ws) - start] += tw.astype(np.int64)
+    return own, customers
 
 
-def _word_tables(starts: dict[int, int], sizes: dict[int, int]):
-    """For each word of the part: tables in its restaurant, and customers in the parent (in samples)."""
+def _fixed_words(sizes: Sizes):
+    """A word part's first state: tables of pairs seen once, by u and by w, and nothing else yet."""
 
     def run(batches):
         for p, got in by_part(batches).items():
-            own, customers = np.zeros(sizes[p], np.int64), np.zeros(sizes[p], np.int64)
-            for g in got:
-                us, tu, ws, tw = unpack(g["body"])
-                own[np.cumsum(us, dtype=np.uint64).astype(np.int64) - starts[p]] += tu.astype(np.int64)
-                customers[np.cumsum(ws, dtype=np.uint64).astype(np.int64) - starts[p]] += tw.astype(np.int64)
-            whole = np.maximum(1, -(-customers // SAMPLES))
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([sizes[p]], pa.int32()), pa.array([pack(own.astype(np.uint64), customers.astype(np.uint64))], pa.binary()),
-                                              *(pa.array([int(x)], pa.int64()) for x in (customers.sum(), (whole == 1).sum(), (whole == 2).sum()))], ["part", "n", "body", "customers", "once", "twice"])
+            n = next(g["n"] for g in got if g["block"] < 0)
+            own, customers = summed([g for g in got if g["block"] >= 0], n, p << sizes.bits)
+            zero = np.zeros(n, np.uint32)
+            yield word_row(p, -1, n, pack(ints(own), ints(customers), zero, zero, zero))
 
     return run
 
 
-def _seat_parent(words: int, d0: float, turn: int):
-    """Adds the parent's tables for each word, in samples, and their sum."""
+def _sit_parent(sizes: Sizes, d0: float, total: float, turn: int, keep: bool):
+    """A word part between two sweeps: tables in each word's restaurant and customers in the parent are added up anew; the
+    parent's customers come or go as they changed, and get up and sit down again. Replies for each desk: the tables of the
+    restaurants it asked for, the customers and tables of the words. keep: the state is a sample."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                own, customers = unpack(row["body"])
-                rng = np.random.default_rng([row["part"], turn, 1])
-                whole = np.maximum(1, -(-customers.astype(np.int64) // SAMPLES))
-                t = sum(seat(whole, np.full(len(whole), (THETA0 + d0 * words) / (words + 1)), d0, rng) for _ in range(SAMPLES)) if len(whole) else whole
-                # Not more tables than customers, as customers are averages too.
-                t = np.minimum(t, customers.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), pa.array([row["n"]], pa.int32()), pa.array([pack(own, customers, t.astype(np.uint64))], pa.binary()), pa.array([int(t.sum())], pa.int64())],
-                                                 ["part", "n", "body", "tables"])
+        for p, got in by_part(batches).items():
+            state = next(g for g in got if g["block"] < 0)
+            own0, customers0, _, was, t, *samples = unpack(state["body"])
+            sent = [g for g in got if g["block"] >= 0]
+            own, customers = summed(sent, state["n"], p << sizes.bits)
+            own, customers = own + own0.astype(np.int64), customers + customers0.astype(np.int64)
+            rng = np.random.default_rng([p, turn, 1])
+            fresh = np.full(state["n"], (THETA0 + d0 * total) / (sizes.words + 1))
+            t = moved(was.astype(np.int64), t.astype(np.int64), customers, fresh, d0, rng)
+            t = sat_again(customers, t, lambda: fresh, d0, min(MOVES, 4), rng)
+            mine = [ints(own), ints(customers), ints(t)]
+            yield word_row(p, -1, state["n"], pack(own0, customers0, *mine, *samples, *(mine if keep else [])), int(customers.sum()), int(t.sum()), int((customers == 1).sum()), int((customers == 2).sum()))
+            for g in sent:
+                us, _, ws, _ = unpack(g["body"])
+                u, w = whole(us) - (p << sizes.bits), whole(ws) - (p << sizes.bits)
+                yield word_row(p, g["block"], g["n"], pack(ints(own[u]), ints(customers[w]), ints(t[w])))
 
     return run
 
@@ -304,203 +385,188 @@ class Parent:
         return (customers - self.d0 * tables_ + (THETA0 + self.d0 * self.t) / (self.words + 1)) / (THETA0 + self.n)
 
 
-def _answer_sums(parent: Parent, starts: dict[int, int]):
-    """For each desk that asked: the tables in each u's restaurant, and P(w) for each w."""
+def _sweep(parent: Parent, d: float, turn: int, mail: str, first: bool, keep: bool):
+    """A desk's sweep (the first one: all customers sit down). keep: its tables are a sample."""
 
     def run(batches):
-        for p, got in by_part(batches).items():
-            own, customers, t = unpack(next(g["body"] for g in got if g["block"] < 0))
-            chance = parent.p(customers / SAMPLES, t / SAMPLES).astype(np.float32)
-            for g in got:
-                if g["block"] >= 0:
-                    us, _, ws, _ = unpack(g["body"])
-                    u, w = (np.cumsum(x, dtype=np.uint64).astype(np.int64) - starts[p] for x in (us, ws))
-                    yield rows([(int(g["block"]), p, 0, pack(own[u].astype(np.uint64), chance[w].view(np.uint32)))])
+        box = Mail(mail)
+        for batch in batches:
+            for row in batch.select(["part", "state"]).to_pylist():
+                keys, c, t, *samples = unpack(row["state"])
+                us, ub, ws, wb = by_word(np.cumsum(keys, dtype=np.uint64))
+                got = [unpack(a["body"]) for a in sorted(box.of(row["part"] << 32), key=lambda a: a["from"])]
+                own, customers, parents = (np.concatenate([g[k] for g in got]).astype(np.float64) if got else np.zeros(0) for k in range(3))
+                chance = parent.p(customers, parents)[wb] if len(wb) else np.zeros(0)
+                count = c.astype(np.int64)
+                rng = np.random.default_rng([row["part"], turn, 0])
+
+                def changed(by):
+                    np.add(own, np.bincount(ub, by, len(us)), out=own)
+
+                fresh = lambda: (THETA + d * own[ub]) * chance
+                if first:
+                    t = joined(count, fresh(), d, rng)
+                else:
+                    t = sat_again(count, t.astype(np.int64), fresh, d, MOVES, rng, changed)
+                state = pack(keys, c, ints(t), *samples, *([ints(t)] if keep else []))
+                yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), pa.array([state], pa.binary())], ["part", "state"])
 
     return run
 
 
-def _reseat(d: float, turn: int):
-    """Gibbs sweeps over a desk's pairs; its tables are the sums of the samples after the burn-in."""
+# ---- answers and scores ----
+
+
+def _answer_pairs(mail: str):
+    """For each block its pairs' counts and, of those seen twice or more, the tables in each sample."""
 
     def run(batches):
+        box = Mail(mail)
         for batch in batches:
             for row in batch.to_pylist():
-                keys, c, _ = _tables(row)
-                us, ub, ws, wb = _by_word(keys)
-                got = [unpack(a["body"]) for a in sorted(row["answers"] or [], key=lambda a: a["block"])]
-                own = np.concatenate([x for x, _ in got]).astype(np.float64) / SAMPLES if got else np.zeros(0)
-                chance = np.concatenate([x for _, x in got]).view(np.float32).astype(np.float64) if got else np.zeros(0)
-                many = c > 1
-                fresh = (THETA + d * own[ub.reshape(-1)[many]]) * chance[wb.reshape(-1)[many]]
-                rng = np.random.default_rng([row["part"], turn])
-                total = np.zeros(int(many.sum()), np.int64)
-                for sweep in range(SWEEPS):
-                    t = seat(c[many], fresh, d, rng)
-                    if sweep >= BURN_IN:
-                        total += t
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), pa.array([pack(total.astype(np.uint32))], pa.binary())], ["part", "tables"])
+                c = unpack(row["counts"])[0]
+                found = box.of(row["part"] << 32)
+                samples = unpack(found[0]["state"])[3:] if found else []
+                rank = np.cumsum(c > 1) - 1
+                for ask in row["asked"]:
+                    own = whole(unpack(ask["body"])[0])
+                    many = rank[own[c[own] > 1]]
+                    yield rows([(row["part"], ask["block"], ask["n"], pack(c[own], *(s[many] for s in samples)))])
 
     return run
 
 
-def _answer_pairs(batches):
-    """For each block its pairs' counts and tables, in the order of its keys."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            keys, c, t = _tables(row)
-            for ask in row["asked"]:
-                own = np.cumsum(unpack(ask["body"])[0], dtype=np.uint64)
-                at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-                there = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-                count, tabs = (np.where(there, x[at] if len(keys) else 0, 0).astype(np.uint32) for x in (c, t))
-                yield rows([(row["part"], ask["block"], ask["n"], pack(count, tabs[count > 1]))])
-
-
-def _answer_words_last(batches):
-    """For each block, by its words: tables in the word's restaurant, customers and tables in the parent."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids = np.cumsum(unpack(row["body"])[1], dtype=np.int64)
-            own, customers, t = unpack(row["stats"]) if row["stats"] else (np.zeros(1, np.uint64),) * 3
-            if not len(own):
-                own = customers = t = np.zeros(1, np.uint64)
-            yield rows([(row["part"], row["block"], row["n"], pack(own[ids], customers[ids], t[ids]))])
+def _answer_words_last(mail: str):
+    """For each block, by its words: tables in the word's restaurant, customers and tables in the parent, in each sample."""
 
+    def run(batches):
+        box = Mail(mail)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] < 0:
+                    continue
+                found = box.of(row["part"] << 32)
+                samples = unpack(found[0]["body"])[5:] if found else []
+                ids = whole(unpack(row["body"])[1])
+                yield rows([(row["part"], row["block"], row["n"], pack(*(s[ids] if len(s) else np.zeros(len(ids), np.uint32) for s in samples)))])
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return run
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def _score(starts: dict[int, int], parts: int, parent: Parent, d: float, tokens: int):
+def _score(sizes: Sizes, parents: list[Parent], d: float, words: str, of_words: str, pairs: str):
     def run(batches):
+        boxes = [Mail(path) for path in (words, of_words, pairs)]
         for batch in batches:
             for row in batch.to_pylist():
+                known, stats, seated = (sorted(box.of(row["block"]), key=lambda a: a["part"]) for box in boxes)
                 b = Block(row)
-                b.known(row, starts)
-                got = [unpack(a["body"]) for a in sorted(row["answers"] or [], key=lambda a: a["part"]) if a["kind"] == 0]
-                own, customers, t = (np.concatenate(x).astype(np.float64) / SAMPLES for x in zip(*got)) if got else (np.zeros(0),) * 3
+                b.known(known, sizes.bits)
+                keys, desk, _, place = b.pairs(sizes.desks, sizes.often)
                 count = b.count[b.at]
-                known = count > 0
-                p_word = np.where(b.count > 0, parent.p(customers, t), parent.p(np.zeros(1), np.zeros(1)))
-                hashed, keys, _, place = b.pairs()
-                c_pair, t_pair = np.zeros(len(keys)), np.zeros(len(keys))
-                cut = deal(hashed, parts)
-                for a in (a for a in row["answers"] or [] if a["kind"] == 1):
-                    s, e = cut[a["part"]], cut[a["part"] + 1]
-                    order = np.argsort(keys[s:e])
-                    x, many = unpack(a["body"])
-                    y = np.minimum(x, 1) * float(SAMPLES)
-                    y[x > 1] = many
-                    c_pair[s + order], t_pair[s + order] = x, y / SAMPLES
-                p = p_word[b.at]
-                # The restaurant of the word before: its customers and tables.
-                before = np.empty(len(p), np.int64)
-                before[1:] = b.at[:-1]
-                if len(b.words):
-                    before[b.offsets[:-1]] = np.searchsorted(b.words, U(END))
-                c_u, t_u = b.count[before].astype(np.float64), own[before]
-                seen = place >= 0
-                add = np.zeros(len(p))
-                add[seen] = (c_pair - d * t_pair)[place[seen]]
-                p = np.where(b.u >= 0, (add + (THETA + d * t_u) * p) / (THETA + c_u), p)
-                base = np.log10((count + 0.5) / (tokens + 0.5 * (parent.words + 1)))
+                p = np.zeros(len(count))
+                got = [unpack(a["body"]) for a in stats]
+                given = [unpack(a["body"]) for a in seated]
+                c = np.concatenate([g[0] for g in given]).astype(np.float64) if given else np.zeros(0)
+                cu = b.count[b.before].astype(np.float64)
+                pair = place >= 0
+                for s, parent in enumerate(parents):
+                    own, customers, tabs = (np.concatenate([g[3 * s + k] for g in got]).astype(np.float64) if got else np.zeros(0) for k in range(3))
+                    unknown = parent.p(np.zeros(1), np.zeros(1))[0]
+                    base = np.where(b.count > 0, parent.p(customers, tabs), unknown)[b.at]
+                    t = np.minimum(c, 1)
+                    if given:
+                        t[c > 1] = np.concatenate([g[1 + s] for g in given])
+                    add = np.zeros(len(base))
+                    add[pair] = (c - d * t)[place[pair]]
+                    p += np.where(b.context_known, (add + (THETA + d * own[b.before]) * base) / (THETA + cu), base)
+                log = np.log10(p / len(parents))
+                plain = np.log10((count + 0.5) / (sizes.tokens + 0.5 * (sizes.words + 1)))
                 run_ = lambda x: np.add.reduceat(x, b.offsets[:-1]) if len(x) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(np.diff(b.offsets)), pa.array(run_(known.astype(np.int64)).astype(np.int64)),
-                                                  pa.array(np.full(len(b.ids), tokens), pa.int64()), pa.array(run_(base).astype(float)), pa.array(run_(np.log10(p)).astype(float))],
-                                                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                n, score = np.diff(b.offsets), run_(log).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(n), pa.array(run_((count > 0).astype(np.int64)).astype(np.int64)), pa.array(np.full(len(b.ids), sizes.tokens), pa.int64()),
+                                                  pa.array(run_(plain).astype(float)), pa.array(score), pa.array(10.0 ** (-score / np.maximum(n, 1)))],
+                                                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return run
 
 
-def _discount(once: int, twice: int) -> float:
-    return min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+def _discount(once: int | None, twice: int | None) -> float:
+    return min(0.95, max(0.05, (once or 0) / max(1, (once or 0) + 2 * (twice or 0))))
 
 
-def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text).
+def score_texts(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity for every row of docs (doc_id, text).
 
     Tokens are the words, A-Z lower-cased, and one end for each text. Counts come from the rows whose crc32 of the
     doc_id as text is not 1 modulo 5 (a null id is among them). score is the log10 probability of the text under the
-    averaged model, base_score under smoothed word counts. Words are told apart by 64-bit hashes.
+    averaged predictive probabilities, base_score under smoothed word counts, perplexity 10 to the minus score by tokens.
+    Words are told apart by 64-bit hashes.
 
     A null or empty text is its end only. Texts are read whole. Repeated rows count and score each for itself. Without
     training rows every token is the one unknown and both scores are 0. An empty table gives an empty result.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "model")
-
-    def tidy() -> None:
-        """Lets Spark remove the shuffle files of steps that are written."""
-        for _ in range(2):
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
-
     with arrow_rows(spark, 16, 8 << 20):
         table = blocks(docs, scratch, BLOCK_BYTES)
         size = table.agg(F.sum(F.octet_length("data"))).first()[0] or 0
 
-        word_parts, _ = parts_for(spark, size // 4)
+        word_parts, desks = parts_for(spark, size // 4), parts_for(spark, size * 2)
         words = scratch.keep(answered(table.mapInArrow(lean(_send_words(word_parts)), ROW), word_parts, _answer_words, ROW), "words")
-        sizes, starts, tokens, at = {}, {}, 0, 0
-        for row in words.where("block < 0").select("part", "n").collect():  # one number for each part
-            sizes[row[0]] = row[1]
-        for p in range(word_parts):
-            starts[p], at = at, at + sizes.setdefault(p, 0)
-        tidy()
-        n_words = at
-        if n_words >= 1 << 32:
+        own = words.where("block < 0")
+        n_words, most = own.agg(F.sum("n"), F.max("n")).first()
+        tokens = own.mapInArrow(lean(_token_sums), "n long").agg(F.sum("n")).first()[0] or 0
+        bits = max(1, int(most or 1).bit_length())
+        if word_parts << bits > 1 << 32:
             raise ValueError("more than 2 ** 32 distinct words")
-        sums = words.where("block < 0").select("body").mapInArrow(lean(_token_sums), "n long")
-        tokens = sums.agg(F.sum("n")).first()[0] or 0
-        answers = words.where("block >= 0")
-        edges = np.array([starts[p] for p in range(word_parts)], np.uint64)
-
-        pair_parts, _ = parts_for(spark, size * 2)
-        known = with_answers(table, answers, "body", ["body"], "words")
-        desk = scratch.keep(answered(known.mapInArrow(lean(_send_pairs(pair_parts, starts)), ROW), pair_parts, _desks, DESK), "desk")
-        tidy()
-        once, twice = desk.agg(F.sum("once"), F.sum("twice")).first()
-        d = _discount(once or 0, twice or 0)
-
-        seated = desk.select("part", "state", F.lit(None).cast("binary").alias("tables"))
-        for turn in range(rounds + 1):
-            sent = scratch.keep(seated.mapInArrow(lean(_send_sums(word_parts, edges)), ROW), f"sums{turn}")
-            stats = scratch.keep(answered(sent, word_parts, _word_tables(starts, sizes), WORDS), f"stats{turn}")
-            customers, one, two = stats.agg(F.sum("customers"), F.sum("once"), F.sum("twice")).first()
-            d0 = _discount(one or 0, two or 0)
-            parents = scratch.keep(stats.mapInArrow(lean(_seat_parent(n_words, d0, turn)), "part int, n int, body binary, tables long"), f"parents{turn}")
-            tables_ = parents.agg(F.sum("tables")).first()[0] or 0
-            parent = Parent(n_words, (customers or 0) / SAMPLES, tables_ / SAMPLES, d0)
-            if turn == rounds:
+        sizes = Sizes(n_words or 0, tokens, bits, word_parts, desks)
+        mail = posted(words.where("block >= 0"), scratch, "of_blocks")
+
+        desk = scratch.keep(answered(table.mapInArrow(lean(_send_pairs(sizes, mail)), ROW), desks, _desks, DESK), "desk")
+        d = _discount(*desk.agg(F.sum("once"), F.sum("twice")).first())
+
+        # The words' first state: what pairs seen once come to.
+        fixed = desk.select("part", "fixed").mapInArrow(lean(_send_fixed(sizes)), ROW)
+        begin = own.select("part", "block", "n", F.lit(b"").alias("body"))
+        state = scratch.keep(answered(fixed.unionByName(begin), word_parts, _fixed_words(sizes), WORDS), "words0")
+        seats = desk.select("part", "state")
+        parents: list[Parent] = []
+        total, d0 = float(n_words or 0), 0.5
+        for turn in range(burn_in + samples + 1):
+            keep = turn > burn_in
+            sent = seats.mapInArrow(lean(_send_sums(sizes)), ROW)
+            both = sent.unionByName(state.where("block < 0").select("part", "block", "n", "body"))
+            state = scratch.keep(answered(both, word_parts, _sit_parent(sizes, d0, total, turn, keep), WORDS), f"words{turn + 1}")
+            customers, tables_, once, twice = state.agg(*(F.sum(c) for c in ("customers", "tables", "once", "twice"))).first()
+            parent = Parent(n_words or 0, float(customers or 0), float(tables_ or 0), d0)
+            if keep:
+                parents.append(parent)
+            scratch.drop(f"words{turn}", *([f"replies{turn - 1}"] if turn else []))
+            if turn == burn_in + samples:
                 break
-            both = sent.unionByName(parents.select("part", F.lit(-1).cast("long").alias("block"), "n", "body"))
-            replies = answered(both, word_parts, _answer_sums(parent, starts), ROW)
-            replies = scratch.keep(replies.groupBy("part").agg(F.collect_list(F.struct("block", "body")).alias("answers")), f"replies{turn}")
-            todo = desk.select("part", "state", F.lit(None).cast("binary").alias("tables")).join(replies, "part", "left")
-            new = scratch.keep(todo.mapInArrow(lean(_reseat(d, turn)), "part int, tables binary"), f"tables{turn}")
-            scratch.drop(f"sums{turn}", f"stats{turn}", f"parents{turn}", f"replies{turn}")
-            tidy()
-            # Tables are a byte or so for each pair seen twice or more; beyond the bound the desks are joined by a shuffle.
-            few = (new.agg(F.sum(F.octet_length("tables"))).first()[0] or 0) <= BROADCAST_BYTES
-            new = F.broadcast(new) if few else new
-            seated = desk.select("part", "state").join(new, "part", "left")
-        asked = desk.select("part", "state", "asked").join(new, "part", "left") if rounds else desk.withColumn("tables", F.lit(None).cast("binary"))
-        pairs = scratch.keep(asked.mapInArrow(lean(_answer_pairs), ROW), "pairs")
-        last = parents.select("part", F.col("body").alias("stats"))
-        of_words = scratch.keep(answers.join(last, "part", "left").mapInArrow(lean(_answer_words_last), ROW), "of_words")
-        scratch.drop("desk", f"sums{rounds}")
-        tidy()
-        # One table, so that the texts move once; they always do, as these answers grow as the texts do.
-        both = of_words.withColumn("kind", F.lit(0)).unionByName(pairs.withColumn("kind", F.lit(1)))
-        full = with_answers(known, both, "body", ["kind", "body"], "answers", most=0)
-        done = scratch.keep(full.mapInArrow(lean(_score(starts, pair_parts, parent, d, tokens)), SCORED), "result")
-    scratch.drop("blocks", "words", "pairs", "of_words")
+            if not turn:
+                d0 = _discount(once, twice)
+            total = parent.t
+            replies = posted(state.where("block >= 0").select((F.shiftleft("block", 32)).alias("block"), F.col("part").alias("from"), "body"), scratch, f"replies{turn}")
+            # A desk's sample is what its sums of the next turn are.
+            seats = scratch.keep(seats.mapInArrow(lean(_sweep(parent, d, turn, replies, not turn, turn >= burn_in)), "part int, state binary"), f"seats{turn}")
+            if turn:
+                scratch.drop(f"seats{turn - 1}")
+        tables_of = posted(seats.select(F.shiftleft(F.col("part").cast("long"), 32).alias("block"), "state"), scratch, "tables")
+        pairs = posted(desk.select("part", "counts", "asked").mapInArrow(lean(_answer_pairs(tables_of)), ROW), scratch, "pairs")
+        stats = posted(state.where("block < 0").select(F.shiftleft(F.col("part").cast("long"), 32).alias("block"), "body"), scratch, "stats")
+        of_words = posted(words.where("block >= 0").mapInArrow(lean(_answer_words_last(stats)), ROW), scratch, "of_words")
+        scratch.drop("desk", "tables", "stats", "words")
+        done = scratch.keep(table.mapInArrow(lean(_score(sizes, parents, d, mail, of_words, pairs)), SCORED), "result")
+    scratch.drop_but("result")
     return done
 
 
 def _token_sums(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([int(unpack(b)[0].sum()) for b in batch.column(0).to_pylist()], pa.int64())], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(b, "little") for b in batch.column("body").to_pylist()], pa.int64())], ["n"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

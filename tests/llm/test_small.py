@@ -345,6 +345,50 @@ def test_repeats_against_all_positions(spark, seed, monkeypatch):
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
 
 
+def test_repeats_in_hard_texts(spark, monkeypatch):
+    """Texts that differ by the signs of the Thue-Morse sequence, periodic ones, and ones that are cut into many pieces."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
+    signs = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = "".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
+    far, shared = make(21_000), make(700)
+    texts = [a, b, "ab" * 2000, "x" * 6500, "z" * 250, far, make(900) + far[5_900:6_200] + make(9000), shared + make(8000) + shared, make(6_000), "y" * 199, ""]
+    texts.append(texts[8])
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in suffix_dedup.cut_repeats(docs.repartition(3)).collect()}
+    for i, want in enumerate(plain_cut([t.encode() for t in texts])):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
+    # One copy alone: nothing of either is removed, though they are made of the same letters.
+    two = spark.createDataFrame([(0, a[:150] + make(60), "en", "a", 0), (1, b[:150] + make(60), "en", "a", 0)], SCHEMA)
+    assert [r.n_removed for r in suffix_dedup.cut_repeats(two).collect()] == [0, 0]
+
+
+def test_equal_fingerprints_of_different_bytes_are_noticed(spark, monkeypatch):
+    """With fingerprints that tell nothing apart every window has a false partner, and no result is given."""
+    monkeypatch.setattr(suffix_dedup.Block, "prints", lambda self, at, length: np.full(len(at), 7, np.uint64))
+    job = suffix_dedup.Job(200, 1)
+    texts = [("a" * 200 + "b") * 1, ("c" * 201)]
+    made = [next(suffix_dedup._packed(1 << 20, 200)(iter([pa_batch([(i, t)])]))).to_pylist()[0] for i, t in enumerate(texts)]
+    blocks = [suffix_dedup.Block(m | {"block": i}, 200, job.bases) for i, m in enumerate(made)]
+    empty = {"copies": [], "ranks": []}
+    monkeypatch.setattr(suffix_dedup.Job, "places", lambda self, block, mail: np.array([0], np.int64))
+    bodies = [suffix_dedup.spread(i, b.prints(np.array([0]), 200), 1)[0] for i, b in enumerate(blocks)]
+    ties = suffix_dedup.shared_keys([x[2] for x in bodies], [x[3] for x in bodies], [0, 1])
+    for i, other in ((0, 1), (1, 0)):
+        runs = job.runs(blocks[i], empty | {"ties": [{"part": 0, "body": ties[i], "n": 1}]}).to_pylist()[0]
+        asked = [r for r in next(suffix_dedup._questions(iter([job.runs(blocks[i], empty | {"ties": [{"part": 0, "body": ties[i], "n": 1}]})]))).to_pylist() if r["block"] == other]
+        reply = job.answer(blocks[other], empty | {"asked": [a | {"asker": i} for a in asked]}).to_pylist()
+        out = job.finish(blocks[i].row, {"runs": [runs], "copies": [], "replies": [{"asker": other, "body": reply[0]["body"]}]}, False)
+        assert out.to_pylist()[0]["bad"] > 0
+
+
+def pa_batch(rows):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "text"])
+
+
 def test_cover_has_every_difference():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
 
@@ -391,6 +435,87 @@ def test_model_counts_and_sums_to_one(spark, monkeypatch):
     assert 0 < total <= 1 + 1e-9 and got[held[len(probe) - 1]].score < 0
 
 
+def plain_model(texts, sweeps, burn_in, seed):
+    """P(w | u) by a sampler that keeps every customer at a table and seats them one at a time, averaged over its sweeps."""
+    rng = random.Random(seed)
+    seqs = [[None, *t.lower().split(), None] for t in texts]
+    pairs = Counter((u, w) for s in seqs for u, w in zip(s, s[1:]))
+    vocabulary = {w for _, w in pairs}
+    discount = lambda c: language_model._discount(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    d, v = discount(pairs), len(vocabulary) + 1
+    desks = {p: [] for p in pairs}  # sizes of tables
+    parent = {w: [] for w in vocabulary}
+    t_of, d0 = Counter(), 0.5
+    size = lambda tabs: sum(tabs)
+
+    def p0(w):
+        n, t = sum(map(size, parent.values())), sum(map(len, parent.values()))
+        return (size(parent[w]) - d0 * len(parent[w]) + (1 + d0 * t) / v) / (1 + n)
+
+    def sit(tabs, fresh, disc):
+        x = rng.random() * (fresh + sum(tabs) - disc * len(tabs))
+        for k, n in enumerate(tabs):
+            x -= n - disc
+            if x < 0:
+                tabs[k] += 1
+                return False
+        tabs.append(1)
+        return True
+
+    def leave(tabs):
+        k = rng.choices(range(len(tabs)), tabs)[0]
+        tabs[k] -= 1
+        if not tabs[k]:
+            del tabs[k]
+            return True
+        return False
+
+    sit_parent = lambda w: sit(parent[w], (1 + d0 * sum(map(len, parent.values()))) / v, d0)
+    total = Counter()
+    for sweep in range(sweeps + 1):
+        for (u, w), c in pairs.items():
+            for _ in range(c):
+                if sweep and leave(desks[u, w]):
+                    t_of[u] -= 1
+                    leave(parent[w])
+                if sit(desks[u, w], (1 + d * t_of[u]) * p0(w), d):
+                    t_of[u] += 1
+                    sit_parent(w)
+        if not sweep:
+            d0 = discount({w: size(t) for w, t in parent.items()})
+        for w in vocabulary:
+            for _ in range(size(parent[w])):
+                leave(parent[w])
+                sit_parent(w)
+        if sweep > burn_in:
+            cu = Counter()
+            for (u, _), c in pairs.items():
+                cu[u] += c
+            for u in cu:
+                for w in vocabulary:
+                    tabs = desks.get((u, w), [])
+                    total[u, w] += (sum(tabs) - d * len(tabs) + (1 + d * t_of[u]) * p0(w)) / (1 + cu[u])
+    return {k: x / (sweeps - burn_in) for k, x in total.items()}
+
+
+def test_model_agrees_with_one_customer_at_a_time(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", [12, 8, 5, 3, 2, 1, 1, 1], k=rng.randint(3, 14))) for _ in range(40)]
+    train = [i for i in range(2000) if not language_model.held_out(i)][:40]
+    held = [i for i in range(2000) if language_model.held_out(i)]
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    # Texts of one and two words: their scores hold P(w | start) and P(w | u).
+    probes = vocabulary + [f"{u} {w}" for u in vocabulary[:4] for w in vocabulary]
+    data = [(i, t, "en", "s", 0) for i, t in zip(train, texts)] + [(i, t, "en", "s", 0) for i, t in zip(held, probes)]
+    got = {r.doc_id: r for r in language_model.score_texts(spark.createDataFrame(data, SCHEMA), 6, 30).collect()}
+    want = plain_model(texts, 150, 30, 1)
+    for i, probe in zip(held, probes):
+        seq = [None, *probe.split(), None]
+        plain = sum(np.log10(want[u, w]) for u, w in zip(seq, seq[1:]))
+        assert abs(got[i].score - plain) < 0.06 * len(seq), (probe, got[i].score, plain)
+        assert np.isclose(got[i].perplexity, 10 ** (-got[i].score / got[i].n_tokens))
+
+
 def test_predictive_probabilities_sum_to_one():
     """P(. | u) over the known words and the unknown, from counts, tables and totals that belong together."""
     rng = np.random.default_rng(2)
@@ -410,8 +535,33 @@ def test_predictive_probabilities_sum_to_one():
 def test_seating_has_a_table_and_no_more_than_customers():
     rng = np.random.default_rng(1)
     c = np.array([1, 2, 5, 80, 5000, 0])
-    t = language_model.seat(c, np.full(6, 0.5), 0.6, rng)
-    assert np.all(t <= c) and np.all(t[c > 0] >= 1) and t[5] == 0 and t[4] > 1
+    t = language_model.joined(c, np.full(6, 0.5), 0.6, rng)
+    again = language_model.sat_again(c, t, lambda: np.full(6, 0.5), 0.6, 20, rng)
+    back = language_model.moved(c, again, c // 3, np.full(6, 0.5), 0.6, rng)
+    for n, x in ((c, t), (c, again), (c // 3, back)):
+        assert np.all(x <= n) and np.all(x[n > 0] >= 1) and x[5] == 0
+    assert t[4] > 1
+
+
+def test_gibbs_steps_leave_the_seating_as_it_is():
+    """Tables after many steps are spread as after a first seating, whose distribution is exact: 6 customers of one dish,
+    nobody else, so that a first seating is the posterior."""
+    rng = np.random.default_rng(5)
+    n, c, d, theta = 40_000, 6, 0.5, 1.0
+    first = np.ones(n, np.int64)
+    for k in range(1, c):
+        first += rng.random(n) < (theta + d * first) / (theta + k)
+    # The restaurant is the dish alone: a new table weighs theta + d t, which the step sees through fresh().
+    t = np.ones(n, np.int64)
+
+    def step(t):
+        now = [t.copy()]
+        return language_model.sat_again(np.full(n, c), t, lambda: theta + d * now[0], d, 1, rng, lambda by: now.__setitem__(0, now[0] + by))
+
+    for _ in range(60):
+        t = step(t)
+    a, b = (np.bincount(x, minlength=c + 1) / n for x in (first, t))
+    assert np.abs(a - b).max() < 0.012
 
 
 def test_pack_round_trip():
