@@ -391,7 +391,9 @@ def first_of_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # doc_id and digest name a row; the order of the struct puts null ids last.
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h"))
     best = groups.groupBy("label").agg(F.min(key).alias("best"))
-    judged = groups.select("label", key.alias("_k")).join(best, "label").groupBy("_k").agg(F.bool_or(F.col("_k") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    # A key is in one group, so a row stays if its key is some group's best: no join by group.
+    counted = groups.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+    judged = counted.join(best.select(F.col("best").alias("_k"), F.lit(True).alias("_best")), "_k", "left").select("_k", F.coalesce("_best", F.lit(False)).alias("stays"), "n")
     judged = scratch.keep(judged.where("NOT stays OR n > 1"), "judged")
     gone, many = judged.where("NOT stays").select("_k"), judged.where("stays").select("_k")
     own = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("h"))

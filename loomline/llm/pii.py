@@ -7,6 +7,7 @@ unequal ones never collide. What doesn't validate (a number that fails its check
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from datetime import date
 from functools import lru_cache
@@ -19,7 +20,10 @@ from pyspark.sql import types as T
 from loomline.llm.exchange import small_batches
 from loomline.llm.shared import tables
 
-KEY = "pseudonyms-1"
+#: Where the key comes from: a setting of the session, or a variable of the driver's environment. There is no default.
+KEY_SETTING, KEY_VARIABLE = "spark.loomline.pii.key", "LOOMLINE_PII_KEY"
+#: The registered queries run on made-up tables; without a configured key they show the method with this one.
+DEMONSTRATION_KEY = "demonstration only"
 ROUNDS = 10
 KINDS = ("email", "card", "phone", "ip", "ssn", "date")
 
@@ -205,12 +209,12 @@ RULES = {"email": _email, "card": _card, "phone": _phone, "ip": _ip, "ssn": _ssn
 
 
 @lru_cache(maxsize=100_000)
-def pseudonym(kind: str, value: str, way: str = "encrypt", key: str = KEY) -> str | None:
+def pseudonym(kind: str, value: str, way: str = "encrypt", key: str = DEMONSTRATION_KEY) -> str | None:
     """The value's pseudonym, or null if it doesn't validate. way="decrypt" gives the value back."""
     return RULES[kind](value, way, hashlib.sha256(key.encode()).hexdigest()[:24])
 
 
-def replace(text: str, way: str = "encrypt", key: str = KEY) -> tuple[str, list[tuple[str, int, int]]]:
+def replace(text: str, way: str = "encrypt", key: str = DEMONSTRATION_KEY) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and the spans replaced (kind, start, end) in the text given."""
     if not MAYBE.search(text):
         return text, []
@@ -242,14 +246,23 @@ def _batches(key: str, way: str):
     return run
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, way: str = "encrypt", report: bool = True) -> DataFrame:
+def configured_key(spark: SparkSession) -> str | None:
+    return spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, way: str = "encrypt", report: bool = True) -> DataFrame:
     """docs with text's personal data replaced; with report also n_email .. n_date and pii_spans.
 
+    key: the secret of the permutation; without it the configured one, and an error if there is none.
+
     Emails (local part), card numbers that pass their check digit, phone numbers, IPv4 addresses, social security
     numbers and dates from 1900 to 2099. Other columns pass unchanged, whatever their names; with report, columns of
     the added names are replaced. A null text stays null and counts 0; an empty one stays empty. Texts are read whole.
     Repeated rows stay repeated rows; an empty table gives an empty result.
     """
+    key = key or configured_key(docs.sparkSession)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: set {KEY_SETTING} or {KEY_VARIABLE}")
     small_batches(docs.sparkSession)
     added = [*(f"n_{k}" for k in KINDS), "pii_spans"] if report else []
     own = [c for c in docs.columns if c not in added]
@@ -266,4 +279,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, way: str = "encrypt", report:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(tables(sf_dir, "documents"))
-    return pseudonymise(docs.select("doc_id", "text"))
+    return pseudonymise(docs.select("doc_id", "text"), configured_key(spark) or DEMONSTRATION_KEY)

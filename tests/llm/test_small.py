@@ -40,7 +40,7 @@ def test_operators_take_odd_rows(spark, odd, none):
     clash = odd.withColumns({"size": F.lit("x"), "kept": F.lit(1), "_row": F.lit(2), "key": F.lit(3), "n_words": F.lit("y"), "taken": F.lit(0), "_text": F.lit("z")})
     runs = {
         "mix": mixing.mix_sources, "mix whole": lambda d: mixing.mix_sources(d, texts=True), "secrets": secrets.find_secrets, "quality": quality.assess,
-        "tokens": token_counts.count_tokens, "jaccard": jaccard.jaccard_groups, "pii": pii.pseudonymise, "repeats": suffix_dedup.cut_repeats,
+        "tokens": token_counts.count_tokens, "jaccard": jaccard.jaccard_groups, "pii": lambda d: pii.pseudonymise(d, "k"), "repeats": suffix_dedup.cut_repeats,
         "model": language_model.score_texts, "toxicity": lambda d: toxicity.score(d, toxicity.train(d, labels)),
     }
     for name, run in runs.items():
@@ -92,6 +92,19 @@ def test_machine_learns_pairs():
     assert score("insult people w1") > 0 > max(score("insult w1"), score("people w1"), score("w1"))
 
 
+def test_toxicity_scores_row_by_row(spark, odd):
+    """The operator's scores are the machine's for each text alone, whatever the batches."""
+    texts = [f"{'you idiot' if i % 3 == 0 else 'kind words'} number{i % 7} {PROSE[: i % 50]}" for i in range(120)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)] + [(500, None, None, None, None), (501, "", "en", "b", 0)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    machine = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs.repartition(5), machine).collect()}
+    for i, text in [*enumerate(texts), (500, ""), (501, "")]:
+        logit = machine.logit(np.array([machine.place[s] for s in toxicity.features(text) if int(s) in machine.place], np.int64))
+        assert abs(got[i].score - 1 / (1 + np.exp(-logit))) < 1e-4 and got[i].predicted == int(got[i].score >= 0.5), i
+    assert sum((got[i].score >= 0.5) == (i % 3 == 0) for i in range(120)) >= 114
+
+
 def test_toxicity_held_out(spark):
     import os
 
@@ -299,6 +312,27 @@ def test_pseudonyms_keep_formats_and_link():
     assert a == b and pii.luhn(a.split()[1]) == 0
 
 
+def test_pseudonyms_of_a_table(spark, odd, monkeypatch):
+    """Row by row what replace() gives for a key of the table's, the same value alike in all rows, and back again; no key, no
+    pseudonyms."""
+    rng = random.Random(9)
+    cards, mails = ["4539 1488 0343 6467", "4111111111111111", "1234 5678 9012 3456"], ["ann.lee@mail3.example.com", "bo@x.org"]
+    rows_ = [(i, f"{PROSE[: rng.randint(0, 40)]} {rng.choice(cards)} or {rng.choice(mails)}, born {rng.randint(1950, 2005)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", "en", "a", i) for i in range(60)] + [(60, None, None, None, None), (61, "", "en", "b", 0)]
+    docs = spark.createDataFrame(rows_, SCHEMA)
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, "table").collect()}
+    for i, text, *rest in rows_:
+        new, spans = pii.replace(text, "encrypt", "table") if text is not None else (None, [])
+        assert (got[i].text, got[i].lang, got[i].source, got[i].n_chars) == (new, *rest)
+        assert got[i].pii_spans == ",".join(f"{k}:{s}:{e}" for k, s, e in spans) and got[i].n_card == sum(k == "card" for k, _, _ in spans)
+    back = pii.pseudonymise(pii.pseudonymise(docs, "table", report=False), "table", "decrypt", False)
+    assert sorted((r.doc_id, r.text) for r in back.collect() if r.text) == sorted((i, t) for i, t, *_ in rows_ if t)
+    monkeypatch.delenv(pii.KEY_VARIABLE, raising=False)
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs)
+    monkeypatch.setenv(pii.KEY_VARIABLE, "table")
+    assert pii.pseudonymise(docs).where("doc_id = 0").first().text == got[0].text
+
+
 def test_what_does_not_validate_stays():
     for text in ("id 2123465659789240 is", "1987-13-40", "999.1.1.1", "000-12-3456", "version 1.2.3", "a@b", "", "no digits here"):
         new, spans = pii.replace(text)
