@@ -24,8 +24,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with pseudonyms for personal data."""
-    return pii.pseudonymise(docs, report=False)
+    """The same documents with pseudonyms for personal data, under the configured key (a stated one for demonstration where
+    none is)."""
+    return pii.pseudonymise(docs, pii.configured_key(spark) or pii.DEMONSTRATION_KEY, report=False)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
