@@ -239,7 +239,7 @@ def swallow_report(spark, sf):
 
 CARD_SQL = r"""t AS (SELECT conv_id, turn, role, lower(regexp_replace(w, '[^\p{L}\p{N}_]', '', 'g')) AS w FROM (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM conversations)),
 tw AS (SELECT DISTINCT * FROM t WHERE w <> '' AND w NOT IN ({0})),
-win AS (SELECT conv_id, turn, turn * 10000 - 4000 AS ws, turn * 10000 + 8000 AS we, CASE WHEN conv_id % 2 = 0 THEN 'lowerthird' ELSE 'card' END AS kind FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+win AS (SELECT conv_id, turn, turn * 10000 - 6000 AS ws, turn * 10000 + 8000 AS we, CASE WHEN conv_id % 2 = 0 THEN 'lowerthird' ELSE 'card' END AS kind FROM conversations WHERE role = 'assistant' GROUP BY ALL),
 cq AS (SELECT conv_id, turn, turn * 10000 AS a, turn * 10000 + 6000 AS b FROM conversations WHERE role = 'user' GROUP BY ALL),
 cn AS (SELECT conv_id, turn, count(*) AS n FROM tw WHERE role = 'user' GROUP BY ALL),
 sh AS (SELECT c.conv_id, c.turn, w.turn AS card, any_value(w.kind) AS kind, count(*) AS shared FROM cq c JOIN win w ON w.conv_id = c.conv_id AND c.a < w.we AND c.b > w.ws JOIN tw x ON x.conv_id = c.conv_id AND x.turn = c.turn AND x.role = 'user' JOIN tw y ON y.conv_id = w.conv_id AND y.turn = w.turn AND y.role = 'assistant' AND y.w = x.w GROUP BY ALL)""".replace("{0}", ", ".join(f"'{s}'" for s in STOPWORDS))
@@ -256,7 +256,7 @@ def topic_overlap_suppression(spark, sf):
     at = F.col("turn") * 10000
     timed = cues.withColumns({"a": at, "b": at + 6000})
     cards = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("card")).distinct()
-    cards = cards.withColumns({"ws": F.col("card") * 10000 - 4000, "we": F.col("card") * 10000 + 8000, "kind": F.when(F.col("conv_id") % 2 == 0, "lowerthird").otherwise("card")})
+    cards = cards.withColumns({"ws": F.col("card") * 10000 - 6000, "we": F.col("card") * 10000 + 8000, "kind": F.when(F.col("conv_id") % 2 == 0, "lowerthird").otherwise("card")})
     meet = timed.join(cards, "conv_id").where("a < we AND b > ws")
     said = words.where("role = 'user'").select("conv_id", "turn", "w")
     shown = words.where("role = 'assistant'").select("conv_id", F.col("turn").alias("card"), "w")
