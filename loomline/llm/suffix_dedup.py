@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.exchange import Mail, all_rows, answered, arrow_rows, by_parts, lean, pack, parts_for, posted, unpack
+from loomline.llm.exchange import Mail, all_rows, answered, arrow_rows, by_parts, lean, pack, parts_for, posted, steps, unpack
 from loomline.llm.hashing import U, mix
 from loomline.llm.shared import Scratch, tables
 
@@ -145,7 +145,7 @@ class Block:
 def spread(block: int, keys: np.ndarray, parts: int) -> list[tuple]:
     """Rows (part, block, body, n) with the distinct keys in order, and a bit for each that is there twice or more."""
     own, count = np.unique(keys, return_counts=True)
-    return [(p, block, own[s:e].tobytes() + np.packbits(count[s:e] > 1).tobytes(), e - s) for p, s, e in by_parts(own, parts)]
+    return [(p, block, pack(steps(own[s:e]), np.packbits(count[s:e] > 1)), e - s) for p, s, e in by_parts(own, parts)]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -156,8 +156,9 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def shared_keys(bodies: list[bytes], ns: list[int], blocks: list[int] | None = None) -> list[bytes]:
     """For each body a bit for each key: whether it is there twice or in another body. With blocks also, for the keys that
     are, another block that has it (its own, if it is there twice and nowhere else)."""
-    keys = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(bodies, ns)])
-    own = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, offset=8 * n), count=n).astype(bool) for b, n in zip(bodies, ns)])
+    sent = [unpack(b) for b in bodies]
+    keys = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in sent])
+    own = np.concatenate([np.unpackbits(b, count=n).astype(bool) for (_, b), n in zip(sent, ns)])
     order = np.argsort(keys)
     tie = np.concatenate([[False], keys[order[1:]] == keys[order[:-1]], [False]])
     twice = own.copy()
