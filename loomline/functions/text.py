@@ -28,16 +28,6 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
 
 
-def clean(text: Column) -> Column:
-    """A caption's text: doubled words once, dashes at word ends away, marks without a word and a lone last letter away,
-    no blank before a mark, no trailing comma or dash."""
-    text = F.regexp_replace(collapse(text), r"(?i)\b(\w{3,})( \1\b)+", "$1")
-    text = F.regexp_replace(text, r"(?<=\w)--?(?= |$)", "")
-    text = F.regexp_replace(text, r"(^| )[^\w ]+(?= |$)", "$1")
-    text = F.regexp_replace(collapse(text), r" +([.,;:!?])", "$1")
-    return F.regexp_replace(text, r"[,;:\-]+$", "")
-
-
 def clock_short(ms: Column) -> Column:
     """MM:SS.ss"""
     cs = F.floor(ms / 10).cast("long")
@@ -54,22 +44,3 @@ def clock_srt(ms: Column) -> Column:
     """hh:mm:ss,mmm"""
     ms = ms.cast("long")
     return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000).cast("long"), F.floor(ms / 60000).cast("long") % 60, F.floor(ms / 1000).cast("long") % 60, ms % 1000)
-
-
-def wrap(text: str, width: int = 23, lines: int = 2) -> str:
-    """Greedy lines of about width letters; if that gives more than lines, the words are spread over lines evenly."""
-    out: list[str] = []
-    for word in text.split():
-        if out and len(out[-1]) + 1 + len(word) <= width:
-            out[-1] += " " + word
-        else:
-            out.append(word)
-    if len(out) > lines:
-        whole, words, out = " ".join(out), " ".join(out).split(), []
-        share = -(-len(whole) // lines)
-        for word in words:
-            if out and (len(out[-1]) + 1 + len(word) <= share or len(out) == lines):
-                out[-1] += " " + word
-            else:
-                out.append(word)
-    return "\n".join(out)

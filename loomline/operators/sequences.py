@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.functions.text import norm, wrap
+from loomline.functions import captions
+from loomline.functions.captions import PREFIXES
+from loomline.functions.text import FOLD_FROM, FOLD_TO, norm
+from loomline.operators.intervals import quantised
+from loomline.operators.joins import in_ranges
 
 #: (n, how many words back a repeat may lie), longest first.
 GATE = ((6, 40), (5, 25), (4, 15), (3, 8))
@@ -129,44 +135,99 @@ def sessions(words: DataFrame, least: int) -> DataFrame:
 
 
 def fold_words(rows: list[tuple[int, int, str]], stop) -> Iterator[tuple[int, int, int, str]]:
-    """(start, end, number of words, text) of groups of (start, end, text); stop(parts, words, row, next) ends a group."""
-    parts: list[tuple[int, int, str]] = []
-    for i, row in enumerate(rows):
-        parts.append(row)
-        after = rows[i + 1] if i + 1 < len(rows) else None
-        if after is None or stop(parts, " ".join(p[2] for p in parts), row, after):
-            yield parts[0][0], parts[-1][1], len(parts), " ".join(p[2] for p in parts)
-            parts = []
+    """(start, end, number of words, text) of groups of (start, end, text), linear in the words. stop(group, row, next) ends
+    a group after row, next being None at the end; group has the texts so far and their length joined by blanks."""
+    group = Group()
+    for row, after in zip(rows, [*rows[1:], None]):
+        if not group.texts:
+            start = row[0]
+        group.add(row[2])
+        if after is None or stop(group, row, after):
+            yield start, row[1], len(group.texts), " ".join(group.texts)
+            group = Group()
 
 
-def stop_utterance(parts, text, row, after) -> bool:
-    return after[0] - row[1] >= 800 or len(text) > 220
+class Group:
+    def __init__(self):
+        self.texts: list[str] = []
+        self.length = -1
 
+    def add(self, text: str) -> None:
+        self.texts.append(text)
+        self.length += len(text) + 1
 
-def stop_cue(parts, text, row, after) -> bool:
-    return row[2][-1:] in ".!?" or len(text) >= 46 or after[0] - row[1] >= 550
 
+#: Marks that end a sentence in a caption.
+SENTENCE_END = ".!؟?…"
 
-def stop_srt(parts, text, row, after) -> bool:
-    return len(parts) >= 2 or row[2][-1:] in ".,!?;:"
 
+def stop_utterance(group, row, after) -> bool:
+    return after[0] - row[1] >= 800 or group.length > 220
 
-def stop_prose(parts, text, row, after) -> bool:
-    return row[2][-1:] in ".!?" or len(parts) >= 15
 
+def stop_srt(group, row, after) -> bool:
+    return len(group.texts) >= 2 or row[2][-1:] in tuple(".,!?;:")
 
-def grouped(words: DataFrame, stop) -> DataFrame:
-    """Ordered folds by source: source, seq, start_ms, end_ms, n_words, text. One source's words are one group in
-    memory: the fold needs them in order."""
-    schema = "source long, seq long, start_ms long, end_ms long, n_words long, text string"
+
+def stop_prose(group, row, after) -> bool:
+    return row[2][-1:] in tuple(".!?") or len(group.texts) >= 15
+
+
+def plain_norm(word: str) -> str:
+    """norm() of one word, in Python."""
+    word = re.sub("[ً-ْـ]", "", word).translate(str.maketrans(FOLD_FROM, FOLD_TO))
+    return "".join(c for c in word if c == "_" or unicodedata.category(c)[0] in "LN").lower()
+
+
+def cue_stop(together: tuple[str, ...] = (), width: int = 46, pause: int = 550):
+    """A cue ends with a sentence, at width letters, or before a pause; not while its last words are the beginning of a phrase
+    of together, nor after a prefix that holds on to the next word."""
+    begun = {tuple(ph[:k]) for ph in ([plain_norm(x) for x in phrase.split()] for phrase in together) for k in range(1, len(ph))}
+    most = max(map(len, begun), default=0)
+
+    def stop(group, row, after) -> bool:
+        if row[2] in PREFIXES:
+            return False
+        tail = [plain_norm(x) for text in group.texts[-most:] for x in text.split()][-most:] if most else []
+        if any(tuple(tail[-k:]) in begun for k in range(1, len(tail) + 1)):
+            return False
+        return row[2][-1:] in tuple(SENTENCE_END) or group.length >= width or after[0] - row[1] >= pause
+
+    return stop
+
+
+stop_cue = cue_stop()
+
+
+def grouped(words: DataFrame, stop, by: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Ordered folds by the columns of by (long): them, n (the group's number), start_ms, end_ms, n_words, text. What is
+    folded is one group in memory: the fold needs its words in order."""
+    schema = f"{', '.join(f'{c} long' for c in by)}, seq long, start_ms long, end_ms long, n_words long, text string"
+    if "seq" in by:
+        schema = schema.replace(", seq long, start_ms", ", n long, start_ms")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx")
-        found = list(fold_words(list(zip(part["start_ms"], part["end_ms"], part["text"])), stop))
-        rows = [(part["source"].iloc[0], i, *f) for i, f in enumerate(found)]
-        return pd.DataFrame(rows, columns=["source", "seq", "start_ms", "end_ms", "n_words", "text"])
+        own = [part[c].iloc[0] for c in by]
+        found = fold_words(list(zip(part["start_ms"].tolist(), part["end_ms"].tolist(), part["text"].tolist())), stop)
+        return pd.DataFrame([(*own, i, *f) for i, f in enumerate(found)], columns=names)
+
+    return words.select(*by, "idx", "start_ms", "end_ms", "text").groupBy(*by).applyInPandas(fold, schema)
+
 
-    return words.select("source", "idx", "start_ms", "end_ms", "text").groupBy("source").applyInPandas(fold, schema)
+def caption_cues(words: DataFrame, ranges: DataFrame, fps: int = 25, together: tuple[str, ...] = (), corrections: tuple[tuple[str, str], ...] = (), size: int = 60_000) -> DataFrame:
+    """Cues of the words that end in each range (source, seq, start_ms, end_ms), on the delivered timeline: source, seq (by
+    start), start_ms, end_ms, text. Every range ends a cue; cues that clean to nothing are left out."""
+    length = quantised(F.col("end_ms") - F.col("start_ms"), fps) * (1000 // fps)
+    before = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    laid = ranges.withColumn("out_ms", F.coalesce(F.sum(length).over(before), F.lit(0)))
+    inside = in_ranges(words, laid.select("source", "seq", "start_ms", "end_ms", "out_ms"), "end", size)
+    shift = F.col("out_ms") - F.col("r_start")
+    moved = inside.select("source", "seq", "idx", "text", (F.greatest("start_ms", "r_start") + shift).alias("start_ms"), (F.col("end_ms") + shift).alias("end_ms"))
+    cues = grouped(moved, cue_stop(together), ("source", "seq")).withColumn("text", captions.clean(F.col("text"), corrections)).where("text <> ''")
+    numbered = cues.withColumn("seq", (F.row_number().over(Window.partitionBy("source").orderBy("start_ms", "seq", "n")) - 1).cast("long"))
+    return cue_times(numbered).select("source", "seq", "start_ms", "end_ms", "text")
 
 
 def cue_times(cues: DataFrame, longest: int = 7000, shortest: int = 550) -> DataFrame:
@@ -178,7 +239,7 @@ def cue_times(cues: DataFrame, longest: int = 7000, shortest: int = 550) -> Data
 
 @F.pandas_udf(T.StringType())
 def wrap_udf(text: pd.Series) -> pd.Series:
-    return text.map(wrap)
+    return text.map(lambda t: "\n".join(captions.wrap(t)))
 
 
 def with_norm(words: DataFrame) -> DataFrame:

@@ -147,14 +147,27 @@ def utterances_gap_len(spark, sf):
     return sq.grouped(fx.words(spark, sf), sq.stop_utterance)
 
 
+def cue_ranges(words):
+    """What an edit keeps of a text's time: of each three minutes the first two."""
+    from loomline.plans.intervals import word_ranges
+
+    return word_ranges(words).withColumn("seq", F.floor(F.col("start_ms") / 180_000))
+
+
+#: Phrases that stay in one cue and one line.
+TOGETHER = ("of the", "in the house")
+
+
 @query("cues")
 def cues(spark, sf):
-    return sq.cue_times(sq.grouped(fx.words(spark, sf), sq.stop_cue))
+    words = fx.words(spark, sf)
+    return sq.caption_cues(words, cue_ranges(words), together=TOGETHER)
 
 
 @query("cue_lines")
 def cue_lines(spark, sf):
-    return sq.cue_times(sq.grouped(fx.words(spark, sf), sq.stop_cue)).withColumn("lines", sq.wrap_udf("text")).select("source", "seq", "lines")
+    words = fx.words(spark, sf)
+    return sq.caption_cues(words, cue_ranges(words), together=TOGETHER).withColumn("lines", sq.wrap_udf("text")).select("source", "seq", "lines")
 
 
 @query("srt_chunks")

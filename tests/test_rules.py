@@ -145,3 +145,62 @@ def test_project_files(spark, tmp_path):
     assert (style.play_w, style.play_h, style.font, style.font_size, style.margin_v) == (3840, 2160, "Noto", 96, 120)
     grades = spark.createDataFrame([("subtle",), ("auto",), (None,), ("eq=gamma=1.1",), ("other",), ("none",)], "g string").select(files.grade_of(F.col("g")).alias("g"))
     assert [r.g for r in grades.collect()] == [files.GRADES["subtle"], files.AUTO, "", "eq=gamma=1.1", "other", ""]
+
+
+def plain_groups(rows, ends):
+    """Groups of (start, end, text): a list of texts grows until ends says so."""
+    out, now = [], []
+    for i, row in enumerate(rows):
+        now.append(row)
+        if i + 1 == len(rows) or ends(now, rows[i + 1]):
+            out.append((now[0][0], now[-1][1], len(now), " ".join(x[2] for x in now)))
+            now = []
+    return out
+
+
+def spoken_rows(seed, n=400):
+    rng, t, out = random.Random(seed), 0, []
+    for _ in range(n):
+        text = rng.choice(["in", "the", "house", "Of", "THE", "a-b", "الـ", "و", "word.", "what?", "long, ", "x…", "abcdefghijkl"]).strip()
+        out.append((t, t + 40 + 20 * len(text), text))
+        t = out[-1][1] + rng.choice([10, 10, 10, 549, 550, 800, 900])
+    return out
+
+
+def test_folds_against_plain_ones(spark):
+    rows = spoken_rows(4)
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "source long, idx long, start_ms long, end_ms long, text string")
+    joined = lambda now: " ".join(x[2] for x in now)
+    phrases = [["in", "the", "house"], ["of", "the"]]
+
+    def begun(now):
+        tail = [sq.plain_norm(x) for x in joined(now).split()]
+        return any(tail[-k:] == p[:k] for p in phrases for k in range(1, len(p)))
+
+    rules = {
+        sq.stop_utterance: lambda now, after: after[0] - now[-1][1] >= 800 or len(joined(now)) > 220,
+        sq.stop_srt: lambda now, after: len(now) >= 2 or now[-1][2][-1] in ".,!?;:",
+        sq.stop_prose: lambda now, after: now[-1][2][-1] in ".!?" or len(now) >= 15,
+        sq.cue_stop(("in the house", "of the")): lambda now, after: now[-1][2] not in cp.PREFIXES and not begun(now) and (now[-1][2][-1] in ".!؟?…" or len(joined(now)) >= 46 or after[0] - now[-1][1] >= 550),
+    }
+    for stop, ends in rules.items():
+        got = [(r.start_ms, r.end_ms, r.n_words, r.text) for r in sq.grouped(df, stop).orderBy("seq").collect()]
+        assert got == plain_groups(rows, ends)
+
+
+def test_captions_of_ranges(spark):
+    rows = spoken_rows(6, 250)
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "source long, idx long, start_ms long, end_ms long, text string")
+    ranges = [(1, k, k * 9000 + 500, k * 9000 + 7510) for k in range(rows[-1][1] // 9000 + 1)]
+    got = [(r.start_ms, r.end_ms, r.text) for r in sq.caption_cues(df, spark.createDataFrame(ranges, "source long, seq long, start_ms long, end_ms long"), size=5000).orderBy("seq").collect()]
+    want, out = [], 0
+    for _, _, a, b in ranges:
+        inside = [(max(s, a) - a + out, e - a + out, t) for s, e, t in rows if a < e <= b]
+        ends = lambda now, after: now[-1][2] not in cp.PREFIXES and (now[-1][2][-1] in ".!؟?…" or len(" ".join(x[2] for x in now)) >= 46 or after[0] - now[-1][1] >= 550)
+        for s, e, _, text in plain_groups(inside, ends):
+            if plain_clean(text):
+                want.append([s, max(min(e, s + 7000), s + 550), plain_clean(text)])
+        out += -(-(b - a) * 25 // 1000) * 40
+    for x, y in zip(want, want[1:]):
+        x[1] = min(x[1], y[0])
+    assert got == [tuple(x) for x in want]
