@@ -25,6 +25,7 @@ from loomline.llm.shared import Scratch
 BLOCKS = "block long, ids array<bigint>, lens array<int>, data binary"
 #: What a part sorts at once, at most, in bytes of keys.
 PART_BYTES = 16 << 20
+LEAST_PART_BYTES = 1 << 20
 
 
 @contextmanager
@@ -92,15 +93,20 @@ def by_parts(keys: np.ndarray, parts: int):
 
 
 def parts_for(spark: SparkSession, size: int) -> int:
-    """Enough parts for so many bytes of keys that none sorts more than PART_BYTES."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    """Enough parts for so many bytes of keys that none sorts more than PART_BYTES; as many as the session has shuffle
+    partitions if each gets LEAST_PART_BYTES then, so that messages between parts and blocks don't outnumber their keys."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(wanted, -(-size // LEAST_PART_BYTES)), -(-size // PART_BYTES))
+
+
+PACKER, UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of unsigned numbers, byte by byte of all elements, so that equal high bytes compress."""
     out = []
     for a in arrays:
-        raw = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+        raw = PACKER.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
         out.append(len(raw).to_bytes(4, "little") + bytes([a.itemsize]) + len(a).to_bytes(4, "little") + raw)
     return b"".join(out)
 
@@ -109,7 +115,7 @@ def unpack(body: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(body):
         size, item, n = int.from_bytes(body[at : at + 4], "little"), body[at + 4], int.from_bytes(body[at + 5 : at + 9], "little")
-        raw = zstandard.ZstdDecompressor().decompress(body[at + 9 : at + 9 + size], max_output_size=max(1, n * item))
+        raw = UNPACKER.decompress(body[at + 9 : at + 9 + size], max_output_size=max(1, n * item))
         out.append(np.frombuffer(raw, np.uint8).reshape(item, n).T.copy().view(f"<u{item}").reshape(n) if n else np.zeros(0, f"<u{item}"))
         at += 9 + size
     return out
