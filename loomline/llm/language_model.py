@@ -55,6 +55,19 @@ def rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(n, pa.int32()), pa.array(body, pa.binary())], ["part", "block", "n", "body"])
 
 
+def in_batches(found, size: int = 4 << 20):
+    """Rows, the body last, as batches of about so many bytes."""
+    held, bytes_ = [], 0
+    for row in found:
+        held.append(row)
+        bytes_ += len(row[-1])
+        if bytes_ > size:
+            yield rows(held)
+            held, bytes_ = [], 0
+    if held:
+        yield rows(held)
+
+
 def by_part(batches) -> dict[int, list[dict]]:
     """A task's rows by part; a part is worked on alone."""
     got, out = all_rows(batches), {}
@@ -155,11 +168,9 @@ def _answer_words(batches):
         words, back = np.unique(keys, return_inverse=True)
         total = np.bincount(back.reshape(-1), np.concatenate([c for _, c in sent]), len(words)).astype(np.int64)
         ids = np.maximum(np.cumsum(total > 0) - 1, 0)
-        at = 0
-        for g in got:
-            own = back.reshape(-1)[at : at + g["n"]]
-            at += g["n"]
-            yield rows([(p, g["block"], g["n"], pack(ints(total[own]), steps(ids[own].astype(np.uint32))))])
+        ends = np.cumsum([0, *(g["n"] for g in got)])
+        places = [back.reshape(-1)[s:e] for s, e in zip(ends[:-1], ends[1:])]
+        yield from in_batches((p, g["block"], g["n"], pack(ints(total[own]), steps(ids[own].astype(np.uint32)))) for g, own in zip(got, places))
         yield rows([(p, -1, int((total > 0).sum()), int(total.sum()).to_bytes(8, "little"))])
 
 
@@ -323,8 +334,8 @@ WORD_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.in
 WORD_NAMES = ["part", "block", "n", "body", "customers", "tables", "once", "twice"]
 
 
-def word_row(p: int, block: int, n: int, body: bytes, customers: int = 0, tables_: int = 0, once: int = 0, twice: int = 0) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((p, block, n, body, customers, tables_, once, twice), WORD_KINDS)], WORD_NAMES)
+def word_rows(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), WORD_KINDS)], WORD_NAMES)
 
 
 def summed(sent: list[dict], n: int, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -344,7 +355,7 @@ def _fixed_words(sizes: Sizes):
             n = next(g["n"] for g in got if g["block"] < 0)
             own, customers = summed([g for g in got if g["block"] >= 0], n, p << sizes.bits)
             zero = np.zeros(n, np.uint32)
-            yield word_row(p, -1, n, pack(ints(own), ints(customers), zero, zero, zero))
+            yield word_rows([(p, -1, n, pack(ints(own), ints(customers), zero, zero, zero), 0, 0, 0, 0)])
 
     return run
 
@@ -366,11 +377,14 @@ def _sit_parent(sizes: Sizes, d0: float, total: float, turn: int, keep: bool):
             t = moved(was.astype(np.int64), t.astype(np.int64), customers, fresh, d0, rng)
             t = sat_again(customers, t, lambda: fresh, d0, min(MOVES, 4), rng)
             mine = [ints(own), ints(customers), ints(t)]
-            yield word_row(p, -1, state["n"], pack(own0, customers0, *mine, *samples, *(mine if keep else [])), int(customers.sum()), int(t.sum()), int((customers == 1).sum()), int((customers == 2).sum()))
-            for g in sent:
-                us, _, ws, _ = unpack(g["body"])
-                u, w = whole(us) - (p << sizes.bits), whole(ws) - (p << sizes.bits)
-                yield word_row(p, g["block"], g["n"], pack(ints(own[u]), ints(customers[w]), ints(t[w])))
+            yield word_rows([(p, -1, state["n"], pack(own0, customers0, *mine, *samples, *(mine if keep else [])), int(customers.sum()), int(t.sum()), int((customers == 1).sum()), int((customers == 2).sum()))])
+            for i in range(0, len(sent), 16):
+                replies = []
+                for g in sent[i : i + 16]:
+                    us, _, ws, _ = unpack(g["body"])
+                    u, w = whole(us) - (p << sizes.bits), whole(ws) - (p << sizes.bits)
+                    replies.append((p, g["block"], g["n"], pack(ints(own[u]), ints(customers[w]), ints(t[w])), 0, 0, 0, 0))
+                yield word_rows(replies)
 
     return run
 
@@ -428,10 +442,14 @@ def _answer_pairs(mail: str):
                 found = box.of(row["part"] << 32)
                 samples = unpack(found[0]["state"])[3:] if found else []
                 rank = np.cumsum(c > 1) - 1
-                for ask in row["asked"]:
+
+                def answer(ask):
                     own = whole(unpack(ask["body"])[0])
-                    many = rank[own[c[own] > 1]]
-                    yield rows([(row["part"], ask["block"], ask["n"], pack(c[own], *(s[many] for s in samples)))])
+                    count = c[own]
+                    many = rank[own[count > 1]]
+                    return row["part"], ask["block"], ask["n"], pack(ints(count), *(s[many] for s in samples))
+
+                yield from in_batches(map(answer, row["asked"]))
 
     return run
 
