@@ -9,14 +9,15 @@ from loomline.operators import pauses as pz
 from loomline.plans.registry import query
 from loomline.sources import fixtures as fx
 from loomline.sources.fixtures import AUTHORED_SQL, KEPT_SQL, SPOKEN_SQL, WORDS_SQL
+from loomline.sources.store import kept
 
 BOTH_SQL = f"{AUTHORED_SQL}, {KEPT_SQL}, spans AS (SELECT source, hi AS dur_ms FROM ke)"
 
 
 def recordings(spark, sf):
     """sound, words, authored cuts and spans."""
-    sound = fx.sound(spark, sf)
-    words = fx.spoken(sound)
+    sound = kept(fx.sound(spark, sf), "sound")
+    words = kept(fx.spoken(sound), "words")
     return sound, words, fx.authored(words), sound.groupBy("source").agg(((F.max("i") + 1) * 20).alias("dur_ms"))
 
 
@@ -229,8 +230,8 @@ tight AS (SELECT n.source, a AS gap_start, CASE WHEN good THEN nlo ELSE n.lo END
 
 
 def gap_pieces(spark, sf):
-    sound = fx.sound(spark, sf)
-    words, ranges = fx.spoken(sound), fx.kept_ranges(sound)
+    sound = kept(fx.sound(spark, sf), "sound")
+    words, ranges = kept(fx.spoken(sound), "words"), fx.kept_ranges(sound)
     ends = sound.groupBy("source").agg(((F.max("i") + 1) * 20).alias("hi"))
     k = ends.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("hi") / 20000))))
     protect = k.select("source", (F.col("k") * 20000 + 500).alias("start_ms"), (F.col("k") * 20000 + 1500).alias("end_ms"))
@@ -256,7 +257,7 @@ xg AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms - reach >= 2 THEN 1 ELS
 SELECT source, min(start_ms) AS start_ms, max(end_ms) AS end_ms, arg_min(kind, start_ms) AS why FROM xg GROUP BY source, g""")
 def pause_cuts(spark, sf):
     """The pause cuts without what speech cuts (90 ms of each 1.7 s here) declare already."""
-    pieces = gap_pieces(spark, sf)
+    pieces = kept(gap_pieces(spark, sf), "pieces")
     ends = fx.sound(spark, sf).groupBy("source").agg(((F.max("i") + 1) * 20).alias("hi"))
     k = ends.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("hi") / 1700))))
     return pz.pause_cuts(pieces, k.select("source", (F.col("k") * 1700).alias("start_ms"), (F.col("k") * 1700 + 90).alias("end_ms")))

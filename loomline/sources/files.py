@@ -102,12 +102,16 @@ def silence_log(lines: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "seq", ms(F.col("p")["a"].cast("double")).alias("start_ms"), ms(F.col("p")["b"].cast("double")).alias("end_ms"))
 
 
-def edit_document(ranges: DataFrame) -> DataFrame:
-    """One JSON document a project from ranges(project, seq, source, start_ms, end_ms, beat, reason), in order."""
+def edit_document(ranges: DataFrame, sources: dict[str, str] | None = None, offsets: dict[str, float] | None = None, grade: str = "", subtitles: str = "master.ass") -> DataFrame:
+    """One JSON document a project from ranges(project, seq, source, start_ms, end_ms, beat, reason), in order. sources: the
+    file of each source; offsets: by how many seconds its sound runs ahead."""
     sec = lambda c: F.round(F.col(c) / 1000.0, 2)
     entry = F.struct("seq", "source", sec("start_ms").alias("start"), sec("end_ms").alias("end"), "beat", "reason")
+    named = lambda m, kind: F.create_map(*(F.lit(x) for pair in m.items() for x in pair)) if m else F.create_map().cast(f"map<string,{kind}>")
     doc = ranges.groupBy("project").agg(F.array_sort(F.collect_list(entry)).alias("ranges"), F.round(F.sum(F.col("end_ms") - F.col("start_ms")) / 1000.0, 3).alias("total_duration_s"))
-    return doc.select("project", F.to_json(F.struct(F.lit(1).alias("version"), F.transform("ranges", lambda r: r.dropFields("seq")).alias("ranges"), "total_duration_s")).alias("value"))
+    fields = [F.lit(1).alias("version"), named(sources, "string").alias("sources"), named(offsets, "double").alias("av_offset_s"), F.lit(grade).alias("grade"),
+              F.transform("ranges", lambda r: r.dropFields("seq")).alias("ranges"), F.array().cast("array<string>").alias("overlays"), F.lit(subtitles).alias("subtitles"), "total_duration_s"]
+    return doc.select("project", F.to_json(F.struct(*fields)).alias("value"))
 
 
 def dialogue_lines(cues: DataFrame) -> DataFrame:

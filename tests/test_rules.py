@@ -204,3 +204,34 @@ def test_captions_of_ranges(spark):
     for x, y in zip(want, want[1:]):
         x[1] = min(x[1], y[0])
     assert got == [tuple(x) for x in want]
+
+
+def test_edits_are_written_or_refused(spark, tmp_path):
+    from loomline.operators.gates import GateError
+    from loomline.plans import chains
+
+    words = spark.createDataFrame([(1, 0, "a", 100, 400), (1, 1, "b", 900, 1300), (1, 2, "c", 2000, 2400)], "source long, idx long, text string, start_ms long, end_ms long")
+    spans = spark.createDataFrame([(1, 3000)], "source long, dur_ms long")
+    cuts = spark.createDataFrame([(1, 600, 1500, "b goes"), (1, 1400, 1700, "and more"), (1, 2900, 2950, "too short")], "source long, na long, nb long, why string")
+    ranges = ed.ranges_of(cuts, words, spans)
+    assert [(r.start_ms, r.end_ms, r.label, r.reason) for r in ranges.orderBy("seq").collect()] == [(0, 600, "SEG-00", "Resumes after cutting: b goes + and more"), (1700, 3000, "SEG-01", "tail")]
+    chains.write_edit(ranges, cuts, words, str(tmp_path / "edit"), sources={"1": "take1.mov"}, offsets={"1": 0.24})
+    import json
+
+    doc = json.loads(spark.read.parquet(str(tmp_path / "edit")).first().value)
+    assert [(r["start"], r["end"]) for r in doc["ranges"]] == [(0.0, 0.6), (1.7, 3.0)] and doc["sources"] == {"1": "take1.mov"} and doc["av_offset_s"] == {"1": 0.24} and doc["total_duration_s"] == 1.9
+    wrong = ranges.withColumn("end_ms", F.when(F.col("seq") == 0, 300).otherwise(F.col("end_ms")))
+    with pytest.raises(GateError):
+        chains.write_edit(wrong, cuts, words, str(tmp_path / "never"))
+    with pytest.raises(GateError):
+        chains.untightened(cuts.withColumn("why", F.lit("wait")))
+    built, edits = spark.createDataFrame([(1, 5), (2, 9), (3, 1)], "source long, built_at long"), spark.createDataFrame([(1, 6), (2, 8)], "source long, edited_at long")
+    assert sorted(r.source for r in chains.stale(built, edits).collect()) == [1, 3]
+
+
+def test_slivers_and_protected_gaps(spark):
+    words = spark.createDataFrame([(1, 0, "a", 5000, 5050)], "source long, idx long, text string, start_ms long, end_ms long")
+    spans = spark.createDataFrame([(1, 10_000)], "source long, dur_ms long")
+    cuts = spark.createDataFrame([(1, 1000, 2000, "x"), (1, 2080, 3000, "y"), (1, 3040, 4990, "z"), (1, 5060, 6000, "u"), (1, 6400, 6500, "short")], "source long, na long, nb long, why string")
+    # 80 ms without a word and 40 ms go, 70 ms with a word stay; the cut under 150 ms is passed over.
+    assert [(r.start_ms, r.end_ms) for r in ed.ranges_of(cuts, words, spans).orderBy("seq").collect()] == [(0, 1000), (4990, 5060), (6000, 10_000)]
