@@ -135,6 +135,26 @@ def test_base_spans_are_those_of_the_plain_patterns():
         assert secrets.base_spans(text) == plain_base(text), text
 
 
+def test_secrets_of_a_table(spark, tmp_path):
+    """The query's columns against the plain patterns, and its learned spans against the network on each candidate alone."""
+    rng = random.Random(12)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    shapes = [lambda: f'token = "{hexes(40)}"', lambda: f"export X={key(32)}", lambda: "AKIA" + key(16).upper(), lambda: f"pwd=\"{key(12)}\"", lambda: "see page-of-the-book-2", lambda: f"mail ann{rng.randint(1, 99)}@mail7.example.com",
+              lambda: hexes(23), lambda: f"Secret: {key(5)}", lambda: "x" * 70 + "1", lambda: key(150)]
+    texts = [" ".join(f"{PROSE[: rng.randint(0, 30)]} {rng.choice(shapes)()}" for _ in range(rng.randint(0, 4))) for _ in range(150)] + [None, "", "é token=abcdef123456 é"]
+    spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in secrets.query(spark, str(tmp_path)).collect()}
+    net = secrets.fitted(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    for i, text in enumerate(t or "" for t in texts):
+        base = plain_base(text)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+        alone = [(s, 3, e) for s, e in secrets.candidates(text) if not any(a < e and s < b for a, _, b in base) and secrets.judge(net, np.array(secrets.windows(text, s, e))).max() >= net["threshold"]]
+        assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base + alone)), text
+    assert net["recall"] >= secrets.RECALL and net["false_rate"] <= 0.02 and net["n_held"] > 0
+
+
 def test_network_finds_and_leaves():
     net = secrets.network()
     assert net["recall"] >= secrets.RECALL and net["false_rate"] <= 0.02
