@@ -47,6 +47,21 @@ def test_operators_take_odd_rows(spark, odd, none):
         assert run(none).count() == 0, name
         assert run(odd).count() == odd.count(), name
         assert run(clash).count() == odd.count(), name
+    # Values: ids with nulls, empties and ties are told apart, and clashing columns change nothing.
+    pick = lambda df, *cols: sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+    for name, columns in (("jaccard", ("doc_id", "n_shingles", "component_id")), ("tokens", ("doc_id", "n_bytes", "n_tokens", "over_limit")), ("repeats", ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")),
+                          ("quality", ("doc_id", "n_words", "kept")), ("model", ("doc_id", "n_tokens", "n_known", "train_tokens")), ("secrets", ("doc_id", "n_assign", "spans"))):
+        assert pick(runs[name](odd), *columns) == pick(runs[name](clash), *columns), name
+        assert runs[name](none).dtypes == runs[name](odd).dtypes, name
+    by = {r.doc_id: r for r in jaccard.jaccard_groups(odd).collect()}
+    assert [(by[i].n_shingles, by[i].component_id) for i in (2, 3, 5)] == [(0, 2), (0, 3), (0, 5)]
+    assert by[6].component_id == by[1].component_id == by[7].component_id == by[None].component_id == 1 and by[4].component_id == 4 and by[4].n_shingles == 977
+    cut = {r.doc_id: r for r in suffix_dedup.cut_repeats(odd).collect()}
+    assert cut[1].n_removed == cut[1].n_bytes > 200 and cut[2].n_removed == cut[3].n_removed == 0 and cut[4].n_removed == cut[4].n_bytes
+    tokens = {r.doc_id: r for r in token_counts.count_tokens(odd).collect()}
+    assert tokens[2].n_tokens == tokens[3].n_tokens == 0 and tokens[4].over_limit
+    kept = {r.doc_id: r for r in quality.assess(odd).collect()}
+    assert not any(kept[i].kept for i in (2, 3, 4, 5)) and kept[1].n_words == 59
     bench = items(spark, [PROSE, None, "", "two words"])
     for docs in (odd, clash, none):
         assert {(r.doc_id, r.item_id) for r in decontamination.search(docs, bench).collect()} == (set() if docs is none else {(1, 0), (6, 0), (7, 0), (None, 0)})
