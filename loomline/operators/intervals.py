@@ -99,3 +99,12 @@ def busiest(counts: DataFrame, width: int) -> DataFrame:
     full = counts.withColumn("total", F.sum("n").over(window.rowsBetween(0, width - 1))).withColumn("_k", F.count("n").over(window.rowsBetween(0, width - 1)))
     best = full.where(F.col("_k") == width).groupBy("source").agg(F.max(F.struct("total", (-F.col("slot")).alias("neg"))).alias("m"))
     return best.select("source", (-F.col("m.neg")).alias("slot"), F.col("m.total").alias("total"))
+
+
+def merge_refusals(ranges: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Why edits must not be merged, as refused and what: a source with ranges in two inputs (ranges: input, source), inputs
+    without ranges, and different subtitles (inputs: input, subtitles). No row: they may."""
+    shared = ranges.distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("ranges in two inputs").alias("refused"), F.col("source").cast("string").alias("what"))
+    empty = inputs.select("input").distinct().join(ranges.select("input").distinct(), "input", "left_anti").select(F.lit("no ranges").alias("refused"), F.col("input").alias("what"))
+    kinds = inputs.select("subtitles").distinct().agg(F.array_sort(F.collect_set("subtitles")).alias("s")).where(F.size("s") > 1)
+    return shared.unionByName(empty).unionByName(kinds.select(F.lit("inputs disagree about subtitles").alias("refused"), F.array_join("s", ", ").alias("what")))

@@ -170,7 +170,7 @@ def stop_srt(group, row, after) -> bool:
 
 
 def stop_prose(group, row, after) -> bool:
-    return row[2][-1:] in tuple(".!?") or len(group.texts) >= 15
+    return row[2][-1:] in tuple("،.؟!…") or len(group.texts) >= 15
 
 
 def plain_norm(word: str) -> str:
@@ -230,6 +230,20 @@ def caption_cues(words: DataFrame, ranges: DataFrame, fps: int = 25, together: t
     return cue_times(numbered).select("source", "seq", "start_ms", "end_ms", "text")
 
 
+def prose(words: DataFrame, ranges: DataFrame, fps: int = 25, size: int = 60_000) -> DataFrame:
+    """What a cut says, to be read in order: source, seq (the range), n, at_ms on the delivered timeline, removed_ms and text.
+    Lines of the words that end in a range, up to fifteen or to the end of a sentence; before each range but a source's first
+    a row (n -1) with what the join removed."""
+    length = quantised(F.col("end_ms") - F.col("start_ms"), fps) * (1000 // fps)
+    by = Window.partitionBy("source").orderBy("seq")
+    laid = ranges.withColumns({"out_ms": F.coalesce(F.sum(length).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "removed_ms": F.col("start_ms") - F.lag("end_ms").over(by)})
+    inside = in_ranges(words, laid.select("source", "seq", "start_ms", "end_ms", "out_ms"), "end", size)
+    moved = inside.select("source", "seq", "idx", "text", (F.col("start_ms") - F.col("r_start") + F.col("out_ms")).alias("start_ms"), "end_ms")
+    lines = grouped(moved, stop_prose, ("source", "seq")).select("source", "seq", "n", F.col("start_ms").alias("at_ms"), F.lit(None).cast("long").alias("removed_ms"), "text")
+    joins = laid.where("removed_ms IS NOT NULL").select("source", "seq", F.lit(-1).cast("long").alias("n"), F.col("out_ms").cast("long").alias("at_ms"), "removed_ms", F.lit("----").alias("text"))
+    return lines.unionByName(joins)
+
+
 def cue_times(cues: DataFrame, longest: int = 7000, shortest: int = 550) -> DataFrame:
     """Cues no longer and no shorter than that, and none reaching into the next."""
     end = F.greatest(F.least("end_ms", F.col("start_ms") + longest), F.col("start_ms") + shortest)

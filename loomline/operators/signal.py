@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.intervals import union
+
 
 def order(rows: tuple[int, int] | None = None) -> Window:
     w = Window.partitionBy("source").orderBy("i")
@@ -129,3 +131,13 @@ def measured_words(logged: DataFrame, sound: DataFrame, hop: int = 20) -> DataFr
     found = found.withColumns({"s1": F.when(first - F.col("start_ms") > 200, first).otherwise(F.col("start_ms")), "e1": F.when(F.col("end_ms") - last > 200, last).otherwise(F.col("end_ms"))})
     ok = F.col("e1") > F.col("s1")
     return found.select("source", "idx", F.when(ok, F.col("s1")).otherwise(F.col("start_ms")).alias("start_ms"), F.when(ok, F.col("e1")).otherwise(F.col("end_ms")).alias("end_ms"))
+
+
+def dead_air(sound: DataFrame, smooth: int, bridge: int, least: int, hop: int = 20) -> DataFrame:
+    """Runs of frames whose centred average over smooth frames is 20 dB under the 90th percentile: source, start_ms, end_ms.
+    Runs less than bridge frames apart are one, and those under least frames are left out."""
+    line = sound.groupBy("source").agg((F.percentile("level", F.lit(0.9)) * 10 ** (-20 / 20)).alias("thr"))
+    flagged = sound.withColumn("smooth", smoothed(smooth // 2, smooth - smooth // 2 - 1)).join(line, "source").withColumn("flag", F.col("smooth") < F.col("thr"))
+    runs = true_runs(flagged, 1).select("source", F.col("first").alias("start_ms"), (F.col("last") + 1).alias("end_ms"))
+    joined = union(runs, bridge)
+    return joined.where(F.col("end_ms") - F.col("start_ms") >= least).select("source", (F.col("start_ms") * hop).alias("start_ms"), (F.col("end_ms") * hop).alias("end_ms"))

@@ -228,10 +228,16 @@ def window_owner(spark, sf):
     return seen.groupBy("source", "idx", "tile").agg(F.count(F.lit(1)).alias("tiles_that_see_it"))
 
 
-@query("take_merge_checks", """SELECT role AS take, count(*) AS turns, count(DISTINCT conv_id) AS sources, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role""")
+@query("take_merge_checks", """WITH r AS (SELECT conv_id AS source, role AS input, count(*) AS ranges FROM conversations GROUP BY conv_id, role),
+u AS (SELECT role AS input, CASE role WHEN 'system' THEN 'other.ass' ELSE 'master.ass' END AS subtitles, min(conv_id) AS first FROM conversations GROUP BY role)
+SELECT 'ranges in two inputs' AS refused, CAST(source AS VARCHAR) AS what FROM r GROUP BY source HAVING count(*) > 1
+UNION ALL SELECT 'inputs disagree about subtitles', string_agg(subtitles, ', ' ORDER BY subtitles) FROM (SELECT DISTINCT subtitles FROM u) HAVING count(*) > 1""")
 def take_merge_checks(spark, sf):
+    """Why inputs (here by role) must not be merged: a source with ranges in two of them, different subtitles."""
     t = fx.turns(spark, sf)
-    return t.groupBy(F.col("role").alias("take")).agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("source").alias("sources"), F.sum(F.length("text")).cast("long").alias("chars"))
+    ranges = t.select(F.col("role").alias("input"), "source")
+    inputs = t.select(F.col("role").alias("input"), F.when(F.col("role") == "system", "other.ass").otherwise("master.ass").alias("subtitles")).distinct()
+    return iv.merge_refusals(ranges, inputs)
 
 
 @query("take_conflicts", "SELECT conv_id AS source, count(DISTINCT role) AS takes FROM conversations GROUP BY conv_id HAVING count(DISTINCT role) > 1")

@@ -148,3 +148,14 @@ def sampled_reference(spark, sf):
     """The speech level of a take: up to 0.9 s from each kept range of 0.5 s and more, until 2.5 s are together."""
     sound = fx.sound(spark, sf)
     return sg.reference_level(sound, fx.kept_ranges(sound), 900, 500, 2500)
+
+
+@query("dead_air", f"""WITH {SOUND_SQL}, th AS (SELECT source, quantile_cont(level, 0.9) * pow(10, -20 / 20.0) AS thr FROM sound GROUP BY source),
+sm AS (SELECT s.source, i, sum(level) OVER (PARTITION BY s.source ORDER BY i ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) / 20 < thr AS quiet FROM sound s JOIN th USING (source)),
+ru AS (SELECT source, min(i) AS a, max(i) + 1 AS b FROM (SELECT source, i, i - row_number() OVER (PARTITION BY source ORDER BY i) AS g FROM sm WHERE quiet) GROUP BY source, g),
+br AS (SELECT *, sum(CASE WHEN pb IS NULL OR a - pb >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY a) AS k FROM (SELECT *, lag(b) OVER (PARTITION BY source ORDER BY a) AS pb FROM ru))
+SELECT source, min(a) * 20 AS start_ms, max(b) * 20 AS end_ms FROM br GROUP BY source, k HAVING max(b) - min(a) >= 25""")
+def dead_air(spark, sf):
+    """Stretches of half a second and more whose level, smoothed, stays 20 dB under the source's loud level, gaps under 0.6 s
+    bridged."""
+    return sg.dead_air(fx.sound(spark, sf), smooth=20, bridge=30, least=25)

@@ -103,10 +103,15 @@ def restart_run(spark, sf):
     return p.select("source", "idx", sq.run_restart(F.col("left"), F.col("right")).alias("words_again")).where("words_again > 0")
 
 
-@query("context_window", f"WITH {WORDS_SQL} SELECT source, idx, context FROM (SELECT source, idx, text, string_agg(text, ' ') OVER (PARTITION BY source ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 13 FOLLOWING) AS context FROM words) WHERE length(text) > 20")
+#: What a speaker says to whoever cuts the recording.
+INSTRUCTIONS = "(احذف|امسح|اقطع|شيل|delete|cut|remove|idiot|sch)"
+
+
+@query("context_window", f"WITH {WORDS_SQL} SELECT source, idx, context FROM (SELECT source, idx, text, string_agg(text, ' ') OVER (PARTITION BY source ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 13 FOLLOWING) AS context FROM words) WHERE regexp_matches(text, '{INSTRUCTIONS}')")
 def context_window(spark, sf):
+    """Words by a pattern, with the twelve before and the thirteen after."""
     w = fx.words(spark, sf).withColumn("context", sq.context(None, 12, 13))
-    return w.where(F.length("text") > 20).select("source", "idx", "context")
+    return w.where(F.col("text").rlike(INSTRUCTIONS)).select("source", "idx", "context")
 
 
 @query("gap_to_previous", f"WITH {WORDS_SQL} SELECT source, idx, gap FROM (SELECT *, start_ms - lag(end_ms) OVER (PARTITION BY source ORDER BY idx) AS gap FROM words) WHERE NOT (end_ms < 20000 OR start_ms > 40000)")
@@ -179,7 +184,8 @@ def srt_chunks(spark, sf):
 
 @query("prose_lines")
 def prose_lines(spark, sf):
-    return sq.grouped(fx.words(spark, sf), sq.stop_prose)
+    words = fx.words(spark, sf)
+    return sq.prose(words, cue_ranges(words))
 
 
 @query("markup_parse", r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, length(html) AS n_chars, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
@@ -189,13 +195,23 @@ def markup_parse(spark, sf):
                     F.regexp_count("html", F.lit("<a ")).cast("long").alias("links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query("verdict_merge", """WITH v AS (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN v.doc_id IS NULL THEN 'not verified' WHEN quality = 0 THEN 'adjust' ELSE 'keep' END AS verdict FROM documents d LEFT JOIN v USING (doc_id) WHERE coalesce(toxic, 0) <> 1""")
+@query("verdict_merge", """WITH v AS (SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1),
+j AS (SELECT conv_id, CASE turn % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'adjust' ELSE 'keep' END AS verdict, turn * 10 AS start_to, turn * 10 + length(text) AS end_to FROM v),
+f AS (SELECT conv_id, turn, turn * 7 AS start_at, turn * 7 + 5 AS end_at FROM conversations WHERE role = 'user')
+SELECT f.conv_id, f.turn, CASE WHEN verdict = 'adjust' THEN start_to ELSE start_at END AS start_at, CASE WHEN verdict = 'adjust' THEN end_to ELSE end_at END AS end_at, coalesce(verdict, 'not verified') AS verifier FROM f LEFT JOIN j USING (conv_id) WHERE coalesce(verdict, '') <> 'reject'""")
 def verdict_merge(spark, sf):
-    """Findings with their verdicts: rejected ones go, those without a verdict are marked."""
-    v = fx.table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"), F.lit(True).alias("known"))
-    d = fx.table(spark, sf, "documents").select("doc_id").join(v, "doc_id", "left").where(F.coalesce("toxic", F.lit(0)) != 1)
-    return d.select("doc_id", F.when(F.col("known").isNull(), "not verified").when(F.col("quality") == 0, "adjust").otherwise("keep").alias("verdict"))
+    """Findings (user turns) with the last verdict on them (the last assistant turn): rejected ones go, adjusted ones take the
+    verdict's times, those without one are marked."""
+    turns = fx.table(spark, sf, "conversations")
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m"))
+    turn = F.col("m.turn")
+    verdict = F.when(turn % 3 == 0, "reject").when(turn % 3 == 1, "adjust").otherwise("keep")
+    judged = last.select("conv_id", verdict.alias("verdict"), (turn * 10).alias("start_to"), (turn * 10 + F.length("m.text")).alias("end_to"))
+    found = turns.where("role = 'user'").select("conv_id", "turn", (F.col("turn") * 7).alias("start_at"), (F.col("turn") * 7 + 5).alias("end_at"))
+    both = found.join(judged, "conv_id", "left").where(F.coalesce("verdict", F.lit("")) != "reject")
+    adjusted = F.col("verdict") == "adjust"
+    return both.select("conv_id", "turn", F.when(adjusted, F.col("start_to")).otherwise(F.col("start_at")).alias("start_at"), F.when(adjusted, F.col("end_to")).otherwise(F.col("end_at")).alias("end_at"),
+                       F.coalesce("verdict", F.lit("not verified")).alias("verifier"))
 
 
 @query("zero_length_repair", f"""WITH {WORDS_SQL}, z AS (SELECT source, idx, start_ms, CASE WHEN idx % 7 = 0 THEN start_ms ELSE end_ms END AS end_ms, lead(start_ms) OVER (PARTITION BY source ORDER BY idx) AS nx FROM words)

@@ -180,7 +180,7 @@ def test_folds_against_plain_ones(spark):
     rules = {
         sq.stop_utterance: lambda now, after: after[0] - now[-1][1] >= 800 or len(joined(now)) > 220,
         sq.stop_srt: lambda now, after: len(now) >= 2 or now[-1][2][-1] in ".,!?;:",
-        sq.stop_prose: lambda now, after: now[-1][2][-1] in ".!?" or len(now) >= 15,
+        sq.stop_prose: lambda now, after: now[-1][2][-1] in "،.؟!…" or len(now) >= 15,
         sq.cue_stop(("in the house", "of the")): lambda now, after: now[-1][2] not in cp.PREFIXES and not begun(now) and (now[-1][2][-1] in ".!؟?…" or len(joined(now)) >= 46 or after[0] - now[-1][1] >= 550),
     }
     for stop, ends in rules.items():
@@ -235,3 +235,12 @@ def test_slivers_and_protected_gaps(spark):
     cuts = spark.createDataFrame([(1, 1000, 2000, "x"), (1, 2080, 3000, "y"), (1, 3040, 4990, "z"), (1, 5060, 6000, "u"), (1, 6400, 6500, "short")], "source long, na long, nb long, why string")
     # 80 ms without a word and 40 ms go, 70 ms with a word stay; the cut under 150 ms is passed over.
     assert [(r.start_ms, r.end_ms) for r in ed.ranges_of(cuts, words, spans).orderBy("seq").collect()] == [(0, 1000), (4990, 5060), (6000, 10_000)]
+
+
+def test_prose_of_a_cut(spark):
+    rows = [(1, i, f"w{i}" + ("." if i % 4 == 3 else ""), i * 100, i * 100 + 80) for i in range(60)]
+    words = spark.createDataFrame(rows, "source long, idx long, text string, start_ms long, end_ms long")
+    ranges = spark.createDataFrame([(1, 0, 0, 1000), (1, 1, 3050, 4000), (2, 0, 0, 500)], "source long, seq long, start_ms long, end_ms long")
+    got = [tuple(r)[1:] for r in sq.prose(words, ranges, size=700).orderBy("source", "seq", "n").collect()]
+    assert got == [(0, 0, 0, None, "w0 w1 w2 w3."), (0, 1, 400, None, "w4 w5 w6 w7."), (0, 2, 800, None, "w8 w9"), (1, -1, 1000, 2050, "----"),
+                   (1, 0, 950, None, "w30 w31."), (1, 1, 1150, None, "w32 w33 w34 w35."), (1, 2, 1550, None, "w36 w37 w38 w39.")]
