@@ -175,14 +175,30 @@ def cue_lines(spark, sf):
     return sq.caption_cues(words, cue_ranges(words), together=TOGETHER).withColumn("lines", sq.wrap_udf("text")).select("source", "seq", "lines")
 
 
-@query("srt_chunks")
+# Groups of up to k words that a mark ends too: words since the last mark, k at a time.
+CHUNK_SQL = """{0}m AS (SELECT *, coalesce(sum(CASE WHEN {2} THEN 1 ELSE 0 END) OVER (PARTITION BY {1} ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM {0}),
+{0}p AS (SELECT *, (row_number() OVER (PARTITION BY {1}, seg ORDER BY idx) - 1) // {3} AS part FROM {0}m),
+{0}g AS (SELECT {1}, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words, string_agg(text, ' ' ORDER BY idx) AS text, min(idx) AS first FROM {0}p GROUP BY {1}, seg, part),
+{0}c AS (SELECT *, row_number() OVER (PARTITION BY {1} ORDER BY first) - 1 AS nr FROM {0}g)"""
+SRT_SQL = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+
+
+@query("srt_chunks", f"""WITH {WORDS_SQL}, {CHUNK_SQL.format('words', 'source', "regexp_matches(text, '[.,!?;:]$')", 2)}
+SELECT source, nr + 1 AS counter, {SRT_SQL.format('start_ms')} AS "from", {SRT_SQL.format('greatest(end_ms, start_ms + 400)')} AS "to", upper(replace(text, 'ß', 'SS')) AS text FROM wordsc""")
 def srt_chunks(spark, sf):
     c = sq.grouped(fx.words(spark, sf), sq.stop_srt)
     end = F.greatest("end_ms", F.col("start_ms") + 400)
     return c.select("source", (F.col("seq") + 1).alias("counter"), tx.clock_srt(F.col("start_ms")).alias("from"), tx.clock_srt(end).alias("to"), F.upper("text").alias("text"))
 
 
-@query("prose_lines")
+PROSE_SQL = f"""{WORDS_SQL}, ends AS (SELECT source, max(end_ms) AS hi FROM words GROUP BY source),
+wr AS (SELECT source, k AS seq, k * 180000 AS start_ms, least(k * 180000 + 120000, hi) AS end_ms FROM (SELECT source, hi, unnest(range(0, hi // 180000 + 1)) AS k FROM ends)),
+wo AS (SELECT *, CAST(coalesce(sum(CAST(ceil(round_even((end_ms - start_ms) * 25.0 / 1000.0, 6)) AS BIGINT) * 40) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS out_ms, start_ms - lag(end_ms) OVER (PARTITION BY source ORDER BY seq) AS removed_ms FROM wr),
+said AS (SELECT w.source, r.seq, w.idx, w.text, w.start_ms - r.start_ms + r.out_ms AS start_ms, w.end_ms FROM words w JOIN wo r ON r.source = w.source AND w.end_ms > r.start_ms AND w.end_ms <= r.end_ms),
+{CHUNK_SQL.format('said', 'source, seq', "regexp_matches(text, '[،.؟!…]$')", 15)}"""
+
+
+@query("prose_lines", f"WITH {PROSE_SQL} SELECT source, seq, nr AS n, start_ms AS at_ms, NULL AS removed_ms, text FROM saidc UNION ALL SELECT source, seq, -1, out_ms, removed_ms, '----' FROM wo WHERE removed_ms IS NOT NULL")
 def prose_lines(spark, sf):
     words = fx.words(spark, sf)
     return sq.prose(words, cue_ranges(words))
