@@ -35,6 +35,23 @@ def report(rows: DataFrame, found: DataFrame) -> dict:
     return {"measured": measured, "failed": failed, "passed": not failed}
 
 
+def passes(checks: dict, rows: DataFrame) -> dict[str, dict]:
+    """Runs named checks, each rows -> findings (.., failed), and reports on each. A check that can't run has failed; it
+    doesn't stop the others."""
+    out = {}
+    for name, check in checks.items():
+        try:
+            out[name] = report(rows, check(rows))
+        except Exception as error:  # noqa: BLE001 a crash is a finding, whatever it is
+            out[name] = {"measured": 0, "failed": {f"could not run: {type(error).__name__}": 1}, "passed": False}
+    return out
+
+
+def exit_status(reports: dict[str, dict]) -> int:
+    """How many of the passes failed."""
+    return sum(not r["passed"] for r in reports.values())
+
+
 def publish(df: DataFrame, path: str, must_be_empty: dict[str, DataFrame], mode: str = "errorifexists") -> None:
     """Writes df unless one of the named tables has a row."""
     wrong = [name for name, bad in must_be_empty.items() if bad.limit(1).count()]

@@ -33,8 +33,30 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("source", F.col("idx").cast("long").alias("idx"), "w.text", ms(F.col("w.start")).alias("start_ms"), ms(F.col("w.end")).alias("end_ms"))
 
 
-def measured_else_raw(raw: DataFrame, measured: DataFrame) -> DataFrame:
-    """Each word with its measured extent where there is one, else its logged one."""
+MEASURED = "text string, start double, end double, logged_start double, logged_end double"
+
+
+def write_measured(words: DataFrame, path: str) -> None:
+    """Measured words (source, idx, text, start_ms, end_ms, logged_start, logged_end), in seconds, as JSON lines by source, a
+    source's in order."""
+    sec = lambda c: F.round(F.col(c) / 1000.0, 3)
+    rows = words.select("source", "idx", "text", sec("start_ms").alias("start"), sec("end_ms").alias("end"), sec("logged_start").alias("logged_start"), sec("logged_end").alias("logged_end"))
+    rows.repartition("source").sortWithinPartitions("source", "idx").write.partitionBy("source").json(path)
+
+
+def measured_words(spark: SparkSession, path: str) -> DataFrame:
+    """What write_measured wrote: source, idx, text and the four times in ms."""
+    rows = spark.read.schema(f"source string, idx long, {MEASURED}").option("mode", "FAILFAST").json(path)
+    return rows.select("source", "idx", "text", ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"), ms(F.col("logged_start")).alias("logged_start"), ms(F.col("logged_end")).alias("logged_end"))
+
+
+def measured_else_raw(raw: DataFrame, measured: DataFrame, required: bool = False) -> DataFrame:
+    """Each word with its measured extent where there is one, else its logged one; required: a source of which no word was
+    measured is an error."""
+    if required:
+        missing = raw.select("source").distinct().join(measured.select("source").distinct(), "source", "left_anti").limit(3).collect()
+        if missing:
+            raise ValueError(f"not measured: {', '.join(str(r.source) for r in missing)}")
     m = measured.select("source", "idx", F.col("start_ms").alias("m_start"), F.col("end_ms").alias("m_end"))
     return raw.join(m, ["source", "idx"], "left").select("source", "idx", "text", F.coalesce("m_start", "start_ms").alias("start_ms"), F.coalesce("m_end", "end_ms").alias("end_ms"),
                                                           F.col("start_ms").alias("logged_start"), F.col("end_ms").alias("logged_end"))

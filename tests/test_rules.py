@@ -244,3 +244,25 @@ def test_prose_of_a_cut(spark):
     got = [tuple(r)[1:] for r in sq.prose(words, ranges, size=700).orderBy("source", "seq", "n").collect()]
     assert got == [(0, 0, 0, None, "w0 w1 w2 w3."), (0, 1, 400, None, "w4 w5 w6 w7."), (0, 2, 800, None, "w8 w9"), (1, -1, 1000, 2050, "----"),
                    (1, 0, 950, None, "w30 w31."), (1, 1, 1150, None, "w32 w33 w34 w35."), (1, 2, 1550, None, "w36 w37 w38 w39.")]
+
+
+def test_measured_words_round_trip(spark, tmp_path):
+    rows = [("take1", 0, "a", 500, 750, 480, 800), ("take1", 1, "b", 1000, 1250, 1000, 1250), ("take2", 0, "c", 0, 90, 0, 300)]
+    words = spark.createDataFrame(rows, "source string, idx long, text string, start_ms long, end_ms long, logged_start long, logged_end long")
+    files.write_measured(words, str(tmp_path / "m"))
+    assert sorted(map(tuple, files.measured_words(spark, str(tmp_path / "m")).collect())) == rows
+    raw = words.select("source", "idx", "text", F.col("logged_start").alias("start_ms"), F.col("logged_end").alias("end_ms"))
+    assert files.measured_else_raw(raw, words.where("source = 'take1'")).count() == 3
+    with pytest.raises(ValueError):
+        files.measured_else_raw(raw, words.where("source = 'take1'"), required=True)
+
+
+def test_a_check_that_crashes_has_failed(spark):
+    from loomline.operators import gates
+
+    rows = spark.createDataFrame([(1, 5), (2, 50)], "id long, n long")
+    checks = {"small": lambda r: gates.findings(r, {"large": "n > 10"}, ["id"]), "fine": lambda r: gates.findings(r, {"negative": "n < 0"}, ["id"]), "broken": lambda r: gates.findings(r, {"x": "no_such_column > 0"}, ["id"])}
+    got = gates.passes(checks, rows)
+    assert got["small"]["failed"] == {"large": 1} and got["fine"]["passed"] and not got["broken"]["passed"]
+    assert gates.exit_status(got) == 2
+    assert gates.exit_status(gates.passes(checks, rows.where("false"))) == 3  # nothing measured
