@@ -458,15 +458,16 @@ def _answer_words_last(mail: str):
     """For each block, by its words: tables in the word's restaurant, customers and tables in the parent, in each sample."""
 
     def run(batches):
-        box = Mail(mail)
+        box, part, samples = Mail(mail), None, []
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
-                if row["block"] < 0:
-                    continue
-                found = box.of(row["part"] << 32)
-                samples = unpack(found[0]["body"])[5:] if found else []
+                if row["part"] != part:  # a part's rows follow each other
+                    part, found = row["part"], box.of(row["part"] << 32)
+                    samples = unpack(found[0]["body"])[5:] if found else []
                 ids = whole(unpack(row["body"])[1])
-                yield rows([(row["part"], row["block"], row["n"], pack(*(s[ids] if len(s) else np.zeros(len(ids), np.uint32) for s in samples)))])
+                out.append((row["part"], row["block"], row["n"], pack(*(s[ids] if len(s) else np.zeros(len(ids), np.uint32) for s in samples))))
+            yield from in_batches(out)
 
     return run
 
