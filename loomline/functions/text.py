@@ -28,19 +28,25 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
 
 
+def digits(n: Column, least: int = 2) -> Column:
+    """A whole number with leading zeros; unlike a formatter this stays in generated code."""
+    text = n.cast("string")
+    return F.when(F.length(text) >= least, text).otherwise(F.lpad(text, least, "0"))
+
+
 def clock_short(ms: Column) -> Column:
     """MM:SS.ss"""
     cs = F.floor(ms / 10).cast("long")
-    return F.format_string("%02d:%02d.%02d", F.floor(cs / 6000).cast("long"), F.floor(cs / 100).cast("long") % 60, cs % 100)
+    return F.concat(digits(F.floor(cs / 6000)), F.lit(":"), digits(F.floor(cs / 100) % 60), F.lit("."), digits(cs % 100))
 
 
 def clock_cue(ms: Column) -> Column:
     """h:mm:ss.cc"""
     cs = F.floor(ms / 10).cast("long")
-    return F.format_string("%d:%02d:%02d.%02d", F.floor(cs / 360000).cast("long"), F.floor(cs / 6000).cast("long") % 60, F.floor(cs / 100).cast("long") % 60, cs % 100)
+    return F.concat(F.floor(cs / 360000).cast("string"), F.lit(":"), digits(F.floor(cs / 6000) % 60), F.lit(":"), digits(F.floor(cs / 100) % 60), F.lit("."), digits(cs % 100))
 
 
 def clock_srt(ms: Column) -> Column:
     """hh:mm:ss,mmm"""
     ms = ms.cast("long")
-    return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000).cast("long"), F.floor(ms / 60000).cast("long") % 60, F.floor(ms / 1000).cast("long") % 60, ms % 1000)
+    return F.concat(digits(F.floor(ms / 3600000)), F.lit(":"), digits(F.floor(ms / 60000) % 60), F.lit(":"), digits(F.floor(ms / 1000) % 60), F.lit(","), digits(ms % 1000, 3))
