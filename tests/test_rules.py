@@ -266,3 +266,15 @@ def test_a_check_that_crashes_has_failed(spark):
     assert got["small"]["failed"] == {"large": 1} and got["fine"]["passed"] and not got["broken"]["passed"]
     assert gates.exit_status(got) == 2
     assert gates.exit_status(gates.passes(checks, rows.where("false"))) == 3  # nothing measured
+
+
+def test_rebuilt_ranges_are_within_the_first(spark, sf_dir):
+    """The chain's ranges are in order, apart, and within what the speech cuts alone leave; pauses were cut out of them."""
+    from loomline import catalogue
+
+    first = [(r.source, r.start_ms, r.end_ms) for r in catalogue.QUERIES["ranges_from_cuts"](spark, sf_dir).collect()]
+    got = sorted((r.source, r.seq, r.start_ms, r.end_ms) for r in catalogue.QUERIES["rebuilt_ranges"](spark, sf_dir).collect())
+    assert sum(e - s for *_, s, e in got) < sum(e - s for _, s, e in first)
+    for (a, i, s, e), (b, j, s2, _) in zip(got, got[1:]):
+        assert e - s > 50 and (a != b or (j == i + 1 and s2 > e))
+    assert all(any(a == b and s2 <= s and e <= e2 for b, s2, e2 in first) for a, _, s, e in got)
