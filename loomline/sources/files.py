@@ -207,7 +207,9 @@ def caption_style(lines: DataFrame) -> DataFrame:
 
 
 #: The grades that have a name.
-GRADES = {"subtle": "eq=contrast=1.03:saturation=0.98", "neutral_punch": "eq=contrast=1.06:brightness=0.0:saturation=1.0,curves=master='0/0 0.25/0.23 0.75/0.77 1/1'", "none": ""}
+GRADES = {"subtle": "eq=contrast=1.03:saturation=0.98", "neutral_punch": "eq=contrast=1.06:brightness=0.0:saturation=1.0,curves=master='0/0 0.25/0.23 0.75/0.77 1/1'",
+          "warm_cinematic": "eq=contrast=1.12:brightness=-0.02:saturation=0.88,colorbalance=rs=0.02:gs=0.0:bs=-0.03:rm=0.04:gm=0.01:bm=-0.02:rh=0.08:gh=0.02:bh=-0.05,curves=master='0/0 0.25/0.22 0.75/0.78 1/1'",
+          "none": ""}
 AUTO = "__AUTO__"
 
 

@@ -134,7 +134,7 @@ def test_project_files(spark, tmp_path):
     for name in ("take2.mp4", "take1.mp4", "take1.mov", "other.mov", "take3.txt"):
         (tmp_path / name).write_text("")
     assert {k: v.rsplit("/", 1)[1] for k, v in files.recordings(str(tmp_path)).items()} == {"take1": "take1.mov", "take2": "take2.mp4"}
-    cuts = spark.createDataFrame([(1, 1230, 4560, "rule 150: 5.2s wait, trimmed to 1.2s"), (1, 5000, 6000, "rule 150: 0.90s wordless")], "source long, start_ms long, end_ms long, why string")
+    cuts = spark.createDataFrame([(1, 1230, 4560, "5.2s wait, trimmed to 1.2s"), (1, 5000, 6000, "0.90s wordless")], "source long, start_ms long, end_ms long, why string")
     lines = files.pause_cut_lines(cuts)
     assert [tuple(r) for r in files.wait_cuts(lines).collect()] == [(1230, 4560)]
     header = files.caption_header("x", 12345, 30.0, {"font": "Noto"})
