@@ -37,14 +37,13 @@ def run_not_listed(findings: DataFrame, accepts: DataFrame, run: str) -> DataFra
 
 
 def gram_not_listed(findings: DataFrame, accepts: DataFrame, gram: str, longest: int = 6) -> DataFrame:
-    """Findings of which no accepted phrase of two words or more begins the gram, nor the gram the phrase. Beginnings of
-    two to longest words meet in equi-joins."""
+    """Findings of which no accepted phrase of two words or more begins the gram, nor the gram the phrase. Each different gram
+    is looked up once; beginnings of two to longest words meet in equi-joins."""
     listed = phrases(accepts).select("norms").where(F.size("norms") >= 2).distinct()
     begun = lambda c: F.explode(F.transform(F.sequence(F.lit(2), F.least(F.size(c), F.lit(longest))), lambda k: F.slice(c, F.lit(1), k)))
-    whole = listed.select(F.col("norms").alias("_g"))
     heads = listed.where(F.size("norms") > 2).select(begun(F.col("norms")).alias("_g")).distinct()
-    named = findings.withColumn("_id", F.struct(*findings.columns))
-    # An accepted phrase that begins the gram.
-    starts = named.where(F.size(gram) >= 2).select("_id", begun(F.col(gram)).alias("_g")).join(whole, "_g", "left_semi").select("_id").distinct()
-    rest = named.join(starts, "_id", "left_anti")
-    return rest.join(heads, F.col(gram) == F.col("_g"), "left_anti").drop("_id")
+    grams = findings.select(F.col(gram).alias("_gram")).distinct()
+    # An accepted phrase that begins the gram, or the gram as the beginning of one.
+    begins = grams.where(F.size("_gram") >= 2).select("_gram", begun(F.col("_gram")).alias("_g")).join(listed.select(F.col("norms").alias("_g")), "_g", "left_semi").select("_gram")
+    ruled = begins.unionByName(heads.select(F.col("_g").alias("_gram"))).distinct()
+    return findings.join(ruled, F.col(gram) == F.col("_gram"), "left_anti")

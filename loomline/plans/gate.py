@@ -14,6 +14,7 @@ from loomline.plans.registry import query
 from loomline.plans.text import GATE_SQL, NORM_WORDS, PAUSE_SQL, RUN_CASES
 from loomline.sources import fixtures as fx
 from loomline.sources.fixtures import SPOKEN_SQL, WORDS_SQL
+from loomline.sources.store import kept
 
 # ---- accepted findings. The lists hold what was found in some sources: a ruling there holds everywhere. ----
 
@@ -57,16 +58,18 @@ ag AS (SELECT DISTINCT array_to_string(string_split(gram, ' ')[1:least(n, 2 + so
 @query("accepted_gram_prefix", f"""WITH {GRAM_SQL}, bad AS (SELECT DISTINCT h.source, h.idx, h.n FROM hg h JOIN (SELECT DISTINCT gram FROM hg) u USING (gram) WHERE gram IN (SELECT u2.gram FROM (SELECT DISTINCT gram FROM hg) u2 JOIN ag ON u2.gram = ag.g OR starts_with(u2.gram, ag.g || ' ') OR starts_with(ag.g, u2.gram || ' ')))
 SELECT source, idx, n, gram FROM hg WHERE (source, idx, n) NOT IN (SELECT (source, idx, n) FROM bad)""")
 def accepted_gram_prefix(spark, sf):
-    """Repeated runs of which no accepted phrase is a beginning, nor the other way round."""
-    words = sq.with_norm(fx.words(spark, sf))
-    w = sq.by_source()
-    six = words.select("source", "idx", F.array(*(F.lead("norm", k).over(w) if k else F.col("norm") for k in range(6))).alias("six"))
-    hits = sq.gate_repeats(words).select("source", "idx", "n").join(six, ["source", "idx"])
-    hits = hits.select("source", "idx", "n", F.slice("six", F.lit(1), F.col("n").cast("int")).alias("gram"))
+    """Repeated runs of which no accepted phrase is a beginning, nor the other way round. The runs are written once: the list
+    and both ways of the comparison read them."""
+    hits = kept(gram_hits(spark, sf), "grams")
     listed = hits.where("source % 9 = 0").select(F.array_join(F.slice("gram", F.lit(1), F.least(F.col("n"), 2 + F.col("source") % 5).cast("int")), " ").alias("phrase"), F.lit("a ruling").alias("reason"))
     return ac.gram_not_listed(hits, listed, "gram").withColumn("gram", F.array_join("gram", " "))
 
 
+def gram_hits(spark, sf):
+    hits = sq.gate_repeats(sq.with_norm(fx.words(spark, sf))).select("source", "idx", "n")
+    return sq.with_grams(hits, fx.texts(spark, sf))
+
+
 @query("accepted_run", f"""WITH {PAUSE_SQL}, e AS (SELECT source, idx, l, CAST(CASE {RUN_CASES} ELSE 0 END AS BIGINT) AS n FROM pause), f AS (SELECT source, idx, array_to_string(l[-n:], ' ') AS run FROM e WHERE n > 0)
 SELECT source, idx, run FROM f WHERE run NOT IN (SELECT run FROM f WHERE source % 3 = 0)""")
 def accepted_run(spark, sf):

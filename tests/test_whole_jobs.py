@@ -1,6 +1,9 @@
 """Queries that do the whole job, held against their oracles and plain counts."""
 
+import re
+
 from loomline import catalogue
+from loomline.plans import gate
 from tests.same import oracle_rows, rows
 
 
@@ -49,6 +52,17 @@ def test_edges_of_cuts_between_words(spark, tmp_path):
     assert (two.i, two.j, two.a_ms, two.b_ms, two.before, two.after, two.collapsed) == (2, 3, 290, None, "a bb", "", False)
 
 
+def dealt(df):
+    """What a query's own exchanges are dealt by."""
+    return re.findall(r"hashpartitioning\(([^()]*?), \d+\)", re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_accepted_grams_send_no_words(spark, sf_dir):
+    hits = gate.gram_hits(spark, sf_dir)
+    # Texts are dealt by source, and nothing after that by a word's place.
+    assert dealt(hits) and set(dealt(hits)) == {"source"}
+
+
 def test_nearest_quiet_point_takes_every_frame(spark, sf_dir, duck):
     name = "nearest_quiet_point"
     got = rows(catalogue.QUERIES[name](spark, sf_dir))
