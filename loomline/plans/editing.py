@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomline.operators import edges as ed
@@ -126,18 +127,18 @@ cf AS (SELECT *, CASE WHEN ns IS NULL THEN NULL ELSE b_ms0 END AS b_ms FROM cc)"
 
 
 def decisions(words):
-    total = words.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    j = F.least(F.col("idx") + 1 + F.length("text") % 3, F.col("n"))
-    d = words.join(total, "source").where(F.length("text") >= 9).select("source", F.col("idx").alias("i"), j.alias("j"), F.concat(F.lit("d"), F.col("idx").cast("string")).alias("why"), "n")
-    return d.where("j - i < n").drop("n")
+    """words with j and why, null where no decision begins."""
+    total = F.count(F.lit(1)).over(Window.partitionBy("source").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    d = words.withColumn("n", total).withColumn("j", F.least(F.col("idx") + 1 + F.length("text") % 3, F.col("n")))
+    made = (F.length("text") >= 9) & (F.col("j") - F.col("idx") < F.col("n"))
+    return d.withColumns({"j": F.when(made, F.col("j")), "why": F.when(made, F.concat(F.lit("d"), F.col("idx").cast("string")))}).drop("n")
 
 
 @query("edge_from_words", f"""WITH {WORD_CUTS_SQL}, dr AS (SELECT c.source, c.i, string_agg(w.text, ' ' ORDER BY w.idx) AS dropped FROM cf c JOIN words w ON w.source = c.source AND w.idx >= c.i AND w.idx < c.j GROUP BY c.source, c.i)
 SELECT c.source, c.i, c.j, c.why, a_ms, b_ms, before, dropped, after, coalesce(b_ms - a_ms < 50, false) AS collapsed FROM cf c JOIN dr ON dr.source = c.source AND dr.i = c.i""")
 def edge_from_words(spark, sf):
     """Decisions (long words, with up to two after them) as cuts between words, with the words before, dropped and after."""
-    words = fx.words(spark, sf)
-    return ed.word_cuts(decisions(words), words)
+    return ed.word_cuts(decisions(fx.words(spark, sf)))
 
 
 @query("decision_refusals", f"""WITH {WORDS_SQL}, wn AS (SELECT source, count(*) AS n FROM words GROUP BY source),

@@ -3,6 +3,7 @@
 import re
 
 from loomline import catalogue
+from loomline.operators import edges
 from loomline.plans import gate
 from tests.same import oracle_rows, rows
 
@@ -63,6 +64,15 @@ def test_accepted_grams_send_no_words(spark, sf_dir):
     assert dealt(hits) and set(dealt(hits)) == {"source"}
 
 
+def test_cuts_between_words_send_no_words(spark, sf_dir, tmp_path):
+    assert set(dealt(catalogue.QUERIES["edge_from_words"](spark, sf_dir))) == {"source"}
+    # Decisions that overlap and touch are one cut, one that reaches past the last word is none; words on both sides stay.
+    texts = "a b c d e f g h i j k".split()
+    words = [(1, i, t, 100 * i, 100 * i + 60, {2: 4, 3: 5, 5: 6, 9: 12}.get(i), f"d{i}" if i in (2, 3, 5, 9) else None) for i, t in enumerate(texts)]
+    got = edges.word_cuts(spark.createDataFrame(words, "source long, idx long, text string, start_ms long, end_ms long, j long, why string")).collect()
+    assert [(r.i, r.j, r.why, r.before, r.dropped, r.after, r.a_ms, r.b_ms) for r in got] == [(2, 6, "d2 | d3 | d5", "a b", "c d e f", "g h i j", 180, 580)]
+
+
 def test_nearest_quiet_point_takes_every_frame(spark, sf_dir, duck):
     name = "nearest_quiet_point"
     got = rows(catalogue.QUERIES[name](spark, sf_dir))
