@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -150,6 +151,19 @@ def test_base_spans_are_those_of_the_plain_patterns():
         assert secrets.base_spans(text) == plain_base(text), text
 
 
+def test_secrets_learn_from_every_candidate(spark, monkeypatch):
+    # 3,000 candidates without a secret, and as many with one, of different classes of characters; some of each are held.
+    code = lambda i: "q1" + f"{i:012b}".replace("0", "z")
+    docs = [(i, f"see {code(i)} or password: {code(i)}") for i in range(3000)]
+    seen = []
+    monkeypatch.setattr(secrets, "network", lambda *sides: seen.append(sides))
+    secrets.fitted(spark.createDataFrame(docs, "doc_id long, text string"))
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in docs]
+    for side, found in zip((False, True), seen[0]):
+        own = {x for (_, text), h in zip(docs, held) if h == side for x in secrets.labelled([text])}
+        assert len(own) == 2 * sum(h == side for h in held) and set(found) == own and len(found) == len(own)
+
+
 def test_secrets_of_a_table(spark, tmp_path):
     """The query's columns against the plain patterns, and its learned spans against the network on each candidate alone."""
     rng = random.Random(12)
