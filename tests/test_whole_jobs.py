@@ -1,9 +1,10 @@
 """Queries that do the whole job, held against their oracles and plain counts."""
 
+import random
 import re
 
 from loomline import catalogue
-from loomline.operators import edges
+from loomline.operators import edges, sequences
 from loomline.plans import gate
 from tests.same import oracle_rows, rows
 
@@ -73,6 +74,25 @@ def test_cuts_between_words_send_no_words(spark, sf_dir, tmp_path):
     assert [(r.i, r.j, r.why, r.before, r.dropped, r.after, r.a_ms, r.b_ms) for r in got] == [(2, 6, "d2 | d3 | d5", "a b", "c d e f", "g h i j", 180, 580)]
 
 
+def test_repeats_sort_hashes_alone(spark, sf_dir, tmp_path):
+    plan = re.sub(r"#\d+L?", "", catalogue.QUERIES["ngram_repeats_authoring"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
+    # No sort holds a word: one row is the place and one hash, then the place and two hashes of the run.
+    assert "lead(CASE WHEN" not in plan and "xxhash64(norm" not in plan.split("Sort [source ASC NULLS FIRST, idx ASC NULLS FIRST]")[0]
+    assert plan.count("Window [") == 2
+    rng = random.Random(3)
+    docs = {s: [rng.choice("abc") for _ in range(150)] for s in range(4)}
+    words = spark.createDataFrame([(s, i, w) for s, ws in docs.items() for i, w in enumerate(ws)], "source long, idx long, norm string")
+    for sought, drop in (((4, 70, 1),), True), (((3, 8, 2), (6, 40, 3), (4, 5, 1)), False):
+        want = set()
+        for s, ws in docs.items():
+            for n, window, distinct in sought:
+                for i in range(len(ws) - n + (0 if drop else 1)):
+                    last = [j for j in range(i) if ws[j : j + n] == ws[i : i + n]]
+                    if last and i - last[-1] <= window and len(set(ws[i : i + n])) >= distinct:
+                        want.add((s, i, n, i - last[-1]))
+        assert {tuple(r) for r in sequences.repeats(words, list(sought), drop_last=drop).collect()} == want
+
+
 def test_nearest_quiet_point_takes_every_frame(spark, sf_dir, duck):
     name = "nearest_quiet_point"
     got = rows(catalogue.QUERIES[name](spark, sf_dir))
